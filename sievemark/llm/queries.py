@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import drop_common_lines
+from .pii import KINDS as PII_KINDS
+from .pii import pseudonymise
 from .quality import quality_rules
+from .secrets import secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(_table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", sha, "spans", "n_live", "n_copied")
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymise(_table(spark, sf_dir, "documents"), key="sievemark")
+    return out.select(F.col("id").alias("doc_id"), *(f"n_{k}" for k in PII_KINDS), "n_replaced", "text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -26,6 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op10_quality_rules": op10_quality_rules,
 }
 
