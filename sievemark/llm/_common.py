@@ -39,6 +39,16 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to this number are sent to all tasks; beyond it the same join is dealt by key.
+BROADCAST_KEYS = 1_000_000
+
+
+def restricted(frame: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of ``frame`` with ``keys``, broadcast where they are few, so that wide rows need not move."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return frame.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, restricted, row_key
 from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 
 #: Characters that count as symbols.
@@ -178,3 +178,11 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
     far = (F.col("class_distance") > rules.max_class_distance) | (F.col("word_distance") > rules.max_word_distance)
     diverges = (F.col("n_words") >= rules.min_words) & F.coalesce(far, F.lit(False))
     return judged.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~diverges)
+
+
+def passing(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, whole, that ``quality_rules`` keeps."""
+    keyed = docs.withColumn("__row", row_key(id_col, lang_col, text_col))
+    judged = quality_rules(keyed, rules, text_col, lang_col, keep=("__row",))
+    gone = materialise(judged.where("not kept").select("__row").distinct(), "rejected")
+    return restricted(keyed, gone, "__row", "left_anti").drop("__row")

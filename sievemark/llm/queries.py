@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
 from .line_dedup import drop_common_lines
+from .mixing import mix
+from .ngram_join import jaccard_components
 from .pii import KINDS as PII_KINDS
 from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
+from .suffix_dedup import remove_repeats
+from .token_shards import Shards, write_shards
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +27,56 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("row.doc_id", "source", "block", "slot", "place")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(_table(spark, sf_dir, "documents"))
     sha = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
     return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", sha, "spans", "n_live", "n_copied")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", "n_shingles", "n_found")
+
+
+def shard_rows(spark: SparkSession, shards: Shards) -> DataFrame:
+    """One row per sequence, read back from the shards."""
+    read = shards.records(spark).select("slot", "shard", "at", F.sha2("ids", 256).alias("ids_sha256"))
+    return shards.index.join(read, "slot")
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(spark, write_shards(_table(spark, sf_dir, "documents")))
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymise(_table(spark, sf_dir, "documents"), key="sievemark")
     return out.select(F.col("id").alias("doc_id"), *(f"n_{k}" for k in PII_KINDS), "n_replaced", "text")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_pages(_table(spark, sf_dir, "pages"), min_payload=0)
+    ids = (F.when(F.col(c) != "null", F.col(c).cast("long")).alias(c) for c in ("page_id", "refers_to"))
+    page, refers = ids
+    return out.select(page, "payload_bytes", "payload_digest", "record_type", refers, "url_key")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -40,8 +85,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_mixing": op3_mixing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_decontamination": op6_decontamination,
+    "op7_token_shards": op7_token_shards,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
