@@ -36,13 +36,18 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyon
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Thresholds. A distance is between 0 (same distribution) and 1; fewer than ``min_words`` words are not judged by it."""
+    """Thresholds. A distance is between 0 (same distribution) and 1; fewer than ``min_words`` words are not judged by it.
+
+    A histogram of n words lies at a distance of about 2 to 3 divided by the root of n from its own distribution by chance
+    alone, so the words' threshold is ``word_noise`` divided by the root of n where that is larger.
+    """
 
     min_total_words: int = 10
     max_repeat_percent: int = 20
     min_words: int = 40
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.6
+    max_class_distance: float = 0.3
+    max_word_distance: float = 0.24
+    word_noise: float = 3.9
 
 
 def _class_table() -> np.ndarray:
@@ -175,7 +180,8 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
         _js_distance(F.col("word_counts"), F.col("all_word_counts")).alias("word_distance"),
     )
     base_failed = (F.col("n_words") < rules.min_total_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    far = (F.col("class_distance") > rules.max_class_distance) | (F.col("word_distance") > rules.max_word_distance)
+    word_limit = F.greatest(F.lit(rules.max_word_distance), rules.word_noise / F.sqrt("n_words"))
+    far = (F.col("class_distance") > rules.max_class_distance) | (F.col("word_distance") > word_limit)
     diverges = (F.col("n_words") >= rules.min_words) & F.coalesce(far, F.lit(False))
     return judged.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~diverges)
 
