@@ -7,7 +7,9 @@ for each pair, so that no task ever holds two whole long documents, let alone a
 * Documents with equal sets form one class, and classes are joined, not documents; copies cost one row each.
 * A pair that is similar enough shares an n-gram among the first of both sets in the global order (the rare ones), whose
   number follows from the threshold. Only these are shuffled.
-* Within the classes that share such an n-gram not all pairs are made. First each class is compared with one of them, and
+* Pairs are first held against bit maps of both sets: the bits in which they differ are a lower bound of the number of
+  n-grams that only one set has, so most pairs that are not linked go without their sets being read.
+* Within the classes that share such an n-gram not all pairs are made. First each class is compared with one or two centres, and
   linked classes become components; only pairs of different components are compared after that, which loses no link
   between components and leaves large groups of near copies at a few comparisons per member. What is compared last is every
   class outside the largest component around an n-gram with every class there of another component.
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, restricted, row_key
+from ._common import materialise, restricted, row_key, small_batches
 from .components import connected_components
 from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 
 #: Cells of the table of counts: its size is fixed, whatever the input.
 CELLS = 1 << 18
 FRAGMENTS = 16
+#: 64-bit words of a set's bit map; each n-gram flips one bit.
+MAP_WORDS = 16
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +109,16 @@ def _prefixed(k: int, percent: int, cells):
             first[np.unique(names, axis=0, return_index=True)[1]] = True
             wanted = np.where(first & (size > 0), size - (percent * size + 99) // 100 + 1, 0)
             head = place < wanted[of]
+            bits = np.zeros(block.n * MAP_WORDS, np.uint64)
+            np.bitwise_xor.at(bits, of * MAP_WORDS + (h & np.uint64(MAP_WORDS - 1)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(4)) & np.uint64(63)))
+            mapped = np.where(wanted > 0, MAP_WORDS, 0)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:2], pa.array(size.astype(np.int64)), _binary(names), _lists(h[head], wanted)], names=["id", "row", "n", "class", "prefix"]
-            )
+                [
+                    *part.columns[:2], pa.array(size.astype(np.int64)), _binary(names), _lists(h[head], wanted),
+                    _lists(bits[np.repeat(mapped > 0, MAP_WORDS)], mapped),
+                ],
+                names=["id", "row", "n", "class", "prefix", "bits"],
+            )
 
     return prefix
 
@@ -130,27 +141,38 @@ def _fragments(k: int):
 
 
 class _Overlaps:
-    """Counts overlaps of pairs of classes, fragment by fragment."""
-
-    def __init__(self, texts: DataFrame, classes: DataFrame, k: int, percent: int) -> None:
-        self.texts, self.classes, self.k, self.percent = texts, classes, k, percent
-        self.parts: DataFrame | None = None
+    """Finds the links among pairs of classes."""
 
-    def load(self, members: DataFrame) -> None:
-        """Fragments of the classes in ``members``, each from one document."""
-        rows = self.classes.join(members, "class", "left_semi").select("row")
-        chosen = restricted(self.texts, rows, "row").select("text")
-        cut = chosen.mapInArrow(_fragments(self.k), "class binary, fragment int, part array<long>")
-        cut = restricted(cut, members, "class").groupBy("class", "fragment").agg(F.first("part").alias("part"))
-        self.parts = materialise(cut, "fragments")
+    def __init__(self, texts: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percent: int) -> None:
+        self.texts, self.sets, self.classes, self.k, self.percent = texts, sets, classes, k, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(a, na, b, nb)`` whose overlap is large enough, as ``(a, b)``."""
-        a = self.parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("pa"))
-        b = self.parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("pb"))
-        partial = pairs.join(b, "b").join(a, ["a", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("shared"))
-        summed = partial.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
-        return summed.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+        """Those pairs ``(a, na, b, nb)`` whose overlap is large enough, as ``(a, b)``."""
+        pairs = materialise(self._possible(materialise(pairs, "pairs")), "possible")
+        members = _members(pairs)
+        rows = restricted(self.classes, members, "class").select("row")
+        cut = restricted(self.texts, rows, "row").select("text").mapInArrow(_fragments(self.k), "class binary, fragment int, part array<long>")
+        parts = materialise(restricted(cut, members, "class"), "fragments")
+        a = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("pa"))
+        b = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("pb"))
+        partial = pairs.join(b, "b").join(a, ["a", "fragment"]).select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).alias("shared"))
+        # a class read from repeated rows has its fragments twice
+        counted = partial.groupBy("a", "na", "b", "nb", "fragment").agg(F.max("shared").alias("shared"))
+        summed = counted.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
+        linked = summed.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared")))
+        return materialise(linked.select("a", "b"), "links")
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        maps = restricted(self.sets.where(F.size("bits") > 0).select("class", "bits"), _members(pairs), "class")
+        maps = materialise(maps.dropDuplicates(["class"]), "maps")
+        both = pairs.join(maps.select(F.col("class").alias("a"), F.col("bits").alias("xa")), "a")
+        both = both.join(maps.select(F.col("class").alias("b"), F.col("bits").alias("xb")), "b")
+        apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+        return both.where(apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "na", "b", "nb")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
 
 
 def _sizes_fit(percent: int):
@@ -166,6 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows like others; rows without shingles are their own component. Other columns are ignored, whatever their names, and
     an empty table gives an empty result. Texts of any length are taken whole.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -175,7 +198,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # cells near the mean are alike; only those that hold common n-grams are set apart
     cells = np.floor(np.log2(np.maximum(cells, 1) / max(1.0, cells.mean())).clip(0) * 4).astype(np.int64)
     shared = spark.sparkContext.broadcast(cells)
-    schema = f"id {kind}, row long, n long, class binary, prefix array<long>"
+    schema = f"id {kind}, row long, n long, class binary, prefix array<long>, bits array<long>"
     sets = materialise(texts.mapInArrow(_prefixed(k, percent, shared), schema), "sets")
     classes = sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"))
 
@@ -184,13 +207,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     around = posts.groupBy("gram").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("members"))
     posts = materialise(posts.join(around.where("least < most").select("gram"), "gram"), "postings")
 
-    overlaps = _Overlaps(texts, classes, k, percent)
-    overlaps.load(posts.select("class").distinct())
+    overlaps = _Overlaps(texts, sets, classes, k, percent)
     links = None
-    for pick in (F.min, F.max):
+    for pick in (F.min, F.max):  # each class with the centre that comes first of all around its n-grams
         centre = posts.groupBy("gram").agg(pick(F.struct("class", "n")).alias("c"))
-        pairs = posts.join(centre, "gram").select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb"))
-        found = materialise(overlaps.links(pairs.where(_sizes_fit(percent)).distinct()), "links")
+        near = posts.join(centre, "gram").select("c", "class", F.col("n").alias("nb")).groupBy("class", "nb").agg(pick("c").alias("c"))
+        pairs = near.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("class").alias("b"), "nb").where(_sizes_fit(percent))
+        found = overlaps.links(pairs)
         links = found if links is None else links.unionByName(found)
     labels = connected_components(links)
 
@@ -202,7 +225,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     all_ = marked.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     rest = other.join(all_, "gram").where(apart & _sizes_fit(percent)).select("a", "na", "b", "nb").distinct()
-    links = links.unionByName(materialise(overlaps.links(rest), "links"))
+    links = links.unionByName(overlaps.links(rest))
     labels = connected_components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class")

@@ -1,6 +1,6 @@
 """Vector arithmetic over the bytes of a block of texts (numpy inside Spark tasks).
 
-A block is a slice of an Arrow batch whose texts hold a few MB together; one longer text makes a block of its own.
+A block is a slice of an Arrow batch whose texts hold about a MB together; one longer text makes a block of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
