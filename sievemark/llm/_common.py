@@ -53,6 +53,15 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bound the Arrow batches of this session by rows and bytes, so that long texts do not make large ones."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def row_key(*cols: str) -> Column:
     """128-bit key of a row's values; nulls are told apart from empty values.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, restricted, row_key
+from ._common import materialise, restricted, row_key, small_batches
 from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 
 #: Characters that count as symbols.
@@ -143,18 +143,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], *f])
 
 
-def _js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two arrays of counts; null where one of them is empty."""
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def _shares(x: Column) -> Column:
+    def of(total: Column) -> Column:
+        return F.transform(x, lambda v: F.when(total > 0, v / total).otherwise(0.0))
+
+    return F.element_at(F.transform(F.array(_total(x)), of), 1)
 
-    def shares(x: Column) -> Column:
-        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-        return F.when(total > 0, F.transform(x, lambda v: v / total))
+
+def _js_distance(counts: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of an array of counts from an array of shares; null where there are no counts."""
 
     def part(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    terms = F.zip_with(shares(counts), shares(reference), lambda p, q: part(p, q) + part(q, p))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
+    def distance(total: Column) -> Column:
+        terms = F.zip_with(counts, reference, lambda v, q: part(v / total, q) + part(q, v / total))
+        return F.sqrt(F.greatest(F.lit(0.0), _total(terms) / 2))
+
+    # through an array of one element the total is worked out once, not for each term
+    return F.element_at(F.transform(F.array(_total(counts)), lambda t: F.when(t > 0, distance(t))), 1)
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -164,6 +175,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
     their own; other columns may be null. Repeated rows and ties are judged alike, each on its own row. An empty table
     gives an empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     narrow = docs.select(*columns, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
@@ -173,6 +185,9 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
         return F.array(*(F.sum(F.col(name)[i]) for i in range(width))).alias(f"all_{name}")
 
     references = counted.groupBy("lang").agg(added("class_counts", len(CLASSES)), added("word_counts", len(WORDS) + 1))
+    for name in ("all_class_counts", "all_word_counts"):
+        references = references.withColumn(name, _shares(F.col(name)))
+    references = materialise(references, "references")  # one row per language
     judged = counted.join(references, "lang").select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

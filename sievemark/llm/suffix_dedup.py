@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, small_batches
 from .textvec import Block, blocks, mix, span_hashes
 
 PIECE = 32
@@ -352,6 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     if length < 2 * PIECE:
         raise ValueError(f"length must be {2 * PIECE} or more")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(
         F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, scratch_path
+from ._common import materialise, scratch_path, small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that goes with the vocabulary.
@@ -174,6 +174,7 @@ def write_shards(
     last sequence of every input partition is filled up with end-of-text ids, ``n_tokens`` says how many are its own. A
     text of any length runs over as many sequences as it needs. An empty table writes nothing. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     ranks = spark.sparkContext.broadcast(read_ranks(spark, tokenizer))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, scratch_path, text_or_empty
+from ._common import materialise, scratch_path, small_batches, text_or_empty
 
 CRLF = "\r\n"
 #: Fixed value: the alphabet of base32.
@@ -197,6 +197,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_index(spark: SparkSession, path: str, rows_per_range: int = 50_000) -> DataFrame:
     """The capture index of the archives under ``path``, in order of URL key, timestamp and page over all partitions."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     runs = materialise(files.mapInArrow(_runs, INDEX), "warc-runs")
     ranges = max(1, math.ceil(runs.count() / rows_per_range))
