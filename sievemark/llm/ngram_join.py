@@ -9,7 +9,7 @@ for each pair, so that no task ever holds two whole long documents, let alone a
   number follows from the threshold. Only these are shuffled.
 * Pairs are first held against bit maps of both sets: the bits in which they differ are a lower bound of the number of
   n-grams that only one set has, so most pairs that are not linked go without their sets being read.
-* Within the classes that share such an n-gram not all pairs are made. First each class is compared with one or two centres, and
+* Within the classes that share such an n-gram not all pairs are made. First each class is compared with two centres, and
   linked classes become components; only pairs of different components are compared after that, which loses no link
   between components and leaves large groups of near copies at a few comparisons per member. What is compared last is every
   class outside the largest component around an n-gram with every class there of another component.
@@ -31,8 +31,9 @@ from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 #: Cells of the table of counts: its size is fixed, whatever the input.
 CELLS = 1 << 18
 FRAGMENTS = 16
-#: 64-bit words of a set's bit map; each n-gram flips one bit.
-MAP_WORDS = 16
+#: 64-bit words of a set's bit map, in which each n-gram flips one bit: so many for up to ``MAP_SETS`` n-grams, and
+#: eight times as many for each further factor of eight.
+MAP_WORDS, MAP_SETS = 16, 2000
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +109,19 @@ def _prefixed(k: int, percent: int, cells):
             first = np.zeros(block.n, bool)
             first[np.unique(names, axis=0, return_index=True)[1]] = True
             wanted = np.where(first & (size > 0), size - (percent * size + 99) // 100 + 1, 0)
-            head = place < wanted[of]
-            bits = np.zeros(block.n * MAP_WORDS, np.uint64)
-            np.bitwise_xor.at(bits, of * MAP_WORDS + (h & np.uint64(MAP_WORDS - 1)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(4)) & np.uint64(63)))
+            prefixes = _lists(h[place < wanted[of]], wanted)
             mapped = np.where(wanted > 0, MAP_WORDS, 0)
+            most = MAP_SETS
+            while (size > most).any():
+                mapped[size > most] *= 8
+                most *= 8
+            bits = np.zeros(mapped.sum(), np.uint64)
+            of, h = of[mapped[of] > 0], h[mapped[of] > 0]
+            cell = (h & (mapped[of] - 1).astype(np.uint64)).astype(np.int64) + (np.cumsum(mapped) - mapped)[of]
+            np.bitwise_xor.at(bits, cell, np.uint64(1) << (h >> np.uint64(58)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *part.columns[:2], pa.array(size.astype(np.int64)), _binary(names), _lists(h[head], wanted),
-                    _lists(bits[np.repeat(mapped > 0, MAP_WORDS)], mapped),
+                    *part.columns[:2], pa.array(size.astype(np.int64)), _binary(names), prefixes, _lists(bits, mapped),
                 ],
                 names=["id", "row", "n", "class", "prefix", "bits"],
             )
@@ -167,7 +173,14 @@ class _Overlaps:
         maps = materialise(maps.dropDuplicates(["class"]), "maps")
         both = pairs.join(maps.select(F.col("class").alias("a"), F.col("bits").alias("xa")), "a")
         both = both.join(maps.select(F.col("class").alias("b"), F.col("bits").alias("xb")), "b")
-        apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+        width = F.least(F.size("xa"), F.size("xb"))
+
+        def folded(x: str):
+            """The map at ``width`` words: words that fall together are joined by exclusive or."""
+            word = lambda i: F.aggregate(F.sequence(i, F.size(x), width), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.element_at(x, j)))
+            return F.when(F.size(x) == width, F.col(x)).otherwise(F.transform(F.sequence(F.lit(1), width), word))
+
+        apart = F.aggregate(F.zip_with(folded("xa"), folded("xb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
         return both.where(apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "na", "b", "nb")
 
 
@@ -204,23 +217,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     posts = sets.where(F.size("prefix") > 0).select(F.explode("prefix").alias("gram"), "class", F.col("n").cast("int").alias("n"))
     posts = posts.repartition("gram").dropDuplicates(["gram", "class"])
-    around = posts.groupBy("gram").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("members"))
-    posts = materialise(posts.join(around.where("least < most").select("gram"), "gram"), "postings")
+    one = F.struct("class", "n")
+    around = posts.groupBy("gram").agg(F.min(one).alias("least"), F.max(one).alias("most")).where("least.class < most.class")
+    posts = materialise(posts.join(around, "gram"), "postings")
 
+    # each class with the centre that comes first, and the one that comes last, of all around its n-grams
     overlaps = _Overlaps(texts, sets, classes, k, percent)
-    links = None
-    for pick in (F.min, F.max):  # each class with the centre that comes first of all around its n-grams
-        centre = posts.groupBy("gram").agg(pick(F.struct("class", "n")).alias("c"))
-        near = posts.join(centre, "gram").select("c", "class", F.col("n").alias("nb")).groupBy("class", "nb").agg(pick("c").alias("c"))
-        pairs = near.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("class").alias("b"), "nb").where(_sizes_fit(percent))
-        found = overlaps.links(pairs)
-        links = found if links is None else links.unionByName(found)
+    near = posts.groupBy("class", "n").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    near = near.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("least", "most")).alias("c"))
+    links = overlaps.links(near.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), "b", "nb").where(_sizes_fit(percent)).distinct())
     labels = connected_components(links)
 
-    marked = posts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    labelled = posts.select("gram", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    # all that follows is by n-gram and shares this one exchange
+    marked = labelled.select("gram", "class", "n", F.coalesce("label", "class").alias("label")).repartition("gram")
     by_label = marked.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m"))
     main = by_label.groupBy("gram").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    marked = materialise(marked.join(main.select("gram", "main"), "gram"), "mixed")
+    marked = marked.join(main.select("gram", "main"), "gram")
     other = marked.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     all_ = marked.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
