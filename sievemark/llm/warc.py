@@ -36,16 +36,13 @@ INDEX = (
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 in upper-case base32: five hexadecimal digits make four characters."""
-    digest = F.sha1(payload.cast("binary"))
-    letter = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.substr(
-            F.lit(BASE32),
-            F.pmod(F.floor(F.conv(F.substr(digest, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("long") / F.pow(32, 3 - i % 4)), F.lit(32)).cast("int") + 1,
-            F.lit(1),
-        ),
-    )
-    return F.array_join(letter, "")
+    def letters(digest: Column) -> Column:
+        five = lambda i: F.conv(F.substr(digest, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("long")
+        place = lambda i: F.pmod(F.floor(five(i) / F.pow(32, 3 - i % 4)), F.lit(32)).cast("int") + 1
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit(BASE32), place(i), F.lit(1))), "")
+
+    # through an array of one element the digest is worked out once, not for each letter
+    return F.element_at(F.transform(F.array(F.sha1(payload.cast("binary"))), letters), 1)
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0, records_per_file: int = 1000) -> None:
