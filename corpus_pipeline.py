@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm._common import materialise
+from sievemark.llm._common import SCRATCH, delete_path, scratch_path
 from sievemark.llm.decontaminate import decontaminate
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import one_of_each
@@ -13,28 +13,39 @@ from sievemark.llm.queries import shard_rows
 from sievemark.llm.token_shards import write_shards
 
 
+def _cleared(spark: SparkSession) -> None:
+    """Delete the scratch tables of earlier stages: a stage starts when the result of the one before has been written."""
+    for path in list(SCRATCH):
+        delete_path(spark, path)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
+    _cleared(spark)
     return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
+    _cleared(spark)
     return one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    _cleared(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, threshold=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in shares of their size to the power 0.7; those below their share are read again. Rows are in mixed order."""
+    _cleared(spark)
     return mix(docs, alpha=0.7, repeat=True).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order; one row per sequence, read back from them."""
+    _cleared(spark)
     return shard_rows(spark, write_shards(docs))
 
 
@@ -50,7 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        path = scratch_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

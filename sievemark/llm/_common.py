@@ -36,7 +36,27 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    SCRATCH.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+#: Scratch tables that this driver has written and not yet deleted, oldest first.
+SCRATCH: list[str] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in SCRATCH:
+        SCRATCH.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` whose results have been written; nothing may read them any more."""
+    for table in tables:
+        delete_path(table.sparkSession, table.scratch)
 
 
 #: Keys up to this number are sent to all tasks; beyond it the same join is dealt by key.

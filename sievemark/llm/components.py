@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = down.join(smallest, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
         new = materialise(small.union(smallest.select("a", F.col("least").alias("b"))).distinct(), "edges")
         same = new.exceptAll(edges).isEmpty() and new.count() == edges.count()
+        discard(edges)
         edges = new
         if same:
             break

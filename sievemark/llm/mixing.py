@@ -19,7 +19,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import BROADCAST_KEYS, materialise
 
 MAX_SOURCES = 10_000
 
@@ -72,7 +72,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
     parts = dealt.groupBy("source", part).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    joined = dealt.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.shiftright("at", 33) == F.col("p_part")))
+    parts = materialise(parts, "mix-parts")
+    few = parts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    joined = dealt.join(F.broadcast(parts) if few else parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.shiftright("at", 33) == F.col("p_part")))
     return joined.withColumn("rank", F.col("at") + F.col("shift")).drop("p_source", "p_part", "shift", "at", "h")
 
 

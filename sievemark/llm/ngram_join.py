@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, restricted, row_key, small_batches
+from ._common import discard, materialise, restricted, row_key, small_batches
 from .components import connected_components
 from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 
@@ -154,7 +154,10 @@ class _Overlaps:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs ``(a, na, b, nb)`` whose overlap is large enough, as ``(a, b)``."""
-        pairs = materialise(self._possible(materialise(pairs, "pairs")), "possible")
+        given = materialise(pairs, "pairs")
+        maps = materialise(self._maps(given), "maps")
+        pairs = materialise(self._possible(given, maps), "possible")
+        discard(given, maps)
         members = _members(pairs)
         rows = restricted(self.classes, members, "class").select("row")
         cut = restricted(self.texts, rows, "row").select("text").mapInArrow(_fragments(self.k), "class binary, fragment int, part array<long>")
@@ -166,11 +169,15 @@ class _Overlaps:
         counted = partial.groupBy("a", "na", "b", "nb", "fragment").agg(F.max("shared").alias("shared"))
         summed = counted.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
         linked = summed.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared")))
-        return materialise(linked.select("a", "b"), "links")
+        links = materialise(linked.select("a", "b"), "links")
+        discard(pairs, parts)
+        return links
 
-    def _possible(self, pairs: DataFrame) -> DataFrame:
+    def _maps(self, pairs: DataFrame) -> DataFrame:
         maps = restricted(self.sets.where(F.size("bits") > 0).select("class", "bits"), _members(pairs), "class")
-        maps = materialise(maps.dropDuplicates(["class"]), "maps")
+        return maps.dropDuplicates(["class"])
+
+    def _possible(self, pairs: DataFrame, maps: DataFrame) -> DataFrame:
         both = pairs.join(maps.select(F.col("class").alias("a"), F.col("bits").alias("xa")), "a")
         both = both.join(maps.select(F.col("class").alias("b"), F.col("bits").alias("xb")), "b")
         width = F.least(F.size("xa"), F.size("xb"))
@@ -239,6 +246,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     rest = other.join(all_, "gram").where(apart & _sizes_fit(percent)).select("a", "na", "b", "nb").distinct()
     links = links.unionByName(overlaps.links(rest))
+    discard(posts)
     labels = connected_components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "class"), "class")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, scratch_path, small_batches
+from ._common import SCRATCH, materialise, scratch_path, small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that goes with the vocabulary.
@@ -183,6 +183,7 @@ def write_shards(
     packed = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_pack(ranks, length, to_arrow_type(id_type)), SEQUENCES.format(id=id_type.simpleString()))
     folder = scratch_path(spark, "sequences")
     packed.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 9).parquet(folder)
+    SCRATCH.append(folder)
     sequences = spark.read.schema(packed.schema).parquet(folder)
 
     parts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per input partition

@@ -199,3 +199,26 @@ def test_quality(spark, sf, docs):
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got} == want
     assert not any(r.kept and r.base_failed for r in got)
     assert math.isclose(sum(r.kept for r in got) / sum(not r.base_failed for r in got), 1, abs_tol=0.2)
+
+
+def test_pipeline(spark, sf, docs):
+    import corpus_pipeline as P
+    from sievemark.llm.quality import quality_rules
+
+    rows_ = spark.read.parquet(f"{sf}/documents.parquet")
+    one = P.quality(spark, rows_, sf).select("doc_id", "text").collect()
+    kept = {r.doc_id for r in quality_rules(rows_).where("kept").collect()}
+    assert {r.doc_id for r in one} == kept
+    left = spark.createDataFrame(rows_.where(rows_.doc_id.isin(list(kept))).collect(), rows_.schema)
+    two = P.near_duplicates(spark, left, sf).collect()
+    roots = components([d for d in docs if d[0] in kept], 5, 80)
+    assert {r.doc_id for r in two} == {i for _, i in roots.values()}
+    two = spark.createDataFrame(two, rows_.schema)
+    three = P.decontamination(spark, two, sf).collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    mine = [d for d in docs if d[0] in {r.doc_id for r in two.select("doc_id").collect()}]
+    assert {r.doc_id for r in three} == {d[0] for d in mine} - {x[0] for x in contained(mine, items)}
+    four = P.mixing(spark, spark.createDataFrame(three, rows_.schema), sf)
+    assert four.columns == rows_.columns
+    assert {r.doc_id for r in four.collect()} == {r.doc_id for r in three}
+    assert P.run(spark, sf).count() > 0
