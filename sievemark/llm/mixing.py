@@ -11,6 +11,7 @@ Weights are multiples of 1/``period``, so the schedule repeats after ``period``
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Mapping
@@ -60,6 +61,14 @@ def pfair_slots(quota: Mapping) -> dict:
     return out
 
 
+def _slot_of(number: int, slots: list[int], period: int) -> int:
+    return number // len(slots) * period + slots[number % len(slots)]
+
+
+def _blocks_before(slot: int, slots: list[int], period: int) -> int:
+    return slot // period * len(slots) + bisect.bisect_left(slots, slot % period)
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     """Adds ``rank``, the place of a row within its source by ``h``, with no source gathered in one task.
 
@@ -102,11 +111,12 @@ def mix(
         raise ValueError(f"more than {min(MAX_SOURCES, period)} sources")
     quota = quotas(target_weights(counts, weights, alpha), period) if counts else {}
     slots = pfair_slots(quota)
-    # rows that a source must supply until the end; without repetition, each row once
-    periods = max((math.ceil(n / (block * quota[s])) for s, n in counts.items()), default=0)
+    # rows that a source must supply until the last slot that some source needs; without repetition, each row once
+    last = max((_slot_of(math.ceil(n / block) - 1, slots[s], period) for s, n in counts.items()), default=-1)
+    supply = {s: max(n, _blocks_before(last + 1, slots[s], period) * block) for s, n in counts.items()}
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        [(s, n, quota[s], slots[s], periods * quota[s] * block if repeat else n) for s, n in counts.items()],
+        [(s, n, quota[s], slots[s], supply[s] if repeat else n) for s, n in counts.items()],
         "p_source string, n long, quota long, slots array<long>, wanted long",
     )
     out = _ranked(rows).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))  # one row per source, at most ``period``
