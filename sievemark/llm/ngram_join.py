@@ -9,7 +9,7 @@ for each pair, so that no task ever holds two whole long documents, let alone a
   number follows from the threshold. Only these are shuffled.
 * Pairs are first held against bit maps of both sets: the bits in which they differ are a lower bound of the number of
   n-grams that only one set has, so most pairs that are not linked go without their sets being read.
-* Within the classes that share such an n-gram not all pairs are made. First each class is compared with two centres, and
+* Within the classes that share such an n-gram not all pairs are made. First each class is compared with a few centres, and
   linked classes become components; only pairs of different components are compared after that, which loses no link
   between components and leaves large groups of near copies at a few comparisons per member. What is compared last is every
   class outside the largest component around an n-gram with every class there of another component.
@@ -31,6 +31,8 @@ from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 #: Cells of the table of counts: its size is fixed, whatever the input.
 CELLS = 1 << 18
 FRAGMENTS = 16
+#: Further rounds with one centre around each n-gram, before the pairs that are left are compared.
+ROUNDS = 3
 #: 64-bit words of a set's bit map, in which each n-gram flips one bit: so many for up to ``MAP_SETS`` n-grams, and
 #: eight times as many for each further factor of eight.
 MAP_WORDS, MAP_SETS = 16, 2000
@@ -235,6 +237,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     links = overlaps.links(near.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), "b", "nb").where(_sizes_fit(percent)).distinct())
     labels = connected_components(links)
 
+    # more rounds with other centres, for the classes that the first two did not reach
+    for turn in range(ROUNDS):
+        known = posts.select("gram", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
+        known = known.select("gram", F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), "class", "n", F.coalesce("label", "class").alias("label")).alias("x"))
+        centre = known.groupBy("gram").agg(F.min("x").alias("c"))
+        met = known.join(centre, "gram").where("x.label <> c.label").groupBy("x.class", "x.n").agg(F.min("c").alias("c"))
+        pairs = met.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb"))
+        found = overlaps.links(pairs.where(_sizes_fit(percent)))
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = connected_components(links)
+
     labelled = posts.select("gram", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
     # all that follows is by n-gram and shares this one exchange
     marked = labelled.select("gram", "class", "n", F.coalesce("label", "class").alias("label")).repartition("gram")
