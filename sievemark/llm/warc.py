@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, scratch_path, small_batches, text_or_empty
+from ._common import BROADCAST_KEYS, materialise, scratch_path, small_batches, text_or_empty
 
 CRLF = "\r\n"
 #: Fixed value: the alphabet of base32.
@@ -62,7 +62,9 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, records_per_fi
     firsts = firsts.where("first < other").select("digest", "first")
     revisits = own.select("digest", "rank", "size").where(F.col("size") >= min_payload).join(firsts, "digest").where("rank > first")
     revisits = revisits.select("digest", "rank", F.col("first").cast("string").alias("refers_to")).distinct()
-    marked = own.join(revisits, ["digest", "rank"], "left")
+    revisits = materialise(revisits, "revisits")
+    few = revisits.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS  # then pages need not move; beyond it they are dealt by key
+    marked = own.join(F.broadcast(revisits) if few else revisits, ["digest", "rank"], "left")
 
     page = F.coalesce(F.col("page").cast("string"), F.lit("null"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
