@@ -159,8 +159,9 @@ class Shards:
         files = spark.read.format("binaryFile").load(f"{self.path}/shard=*").select(
             F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content"
         )
-        at = F.sequence(F.lit(0), (F.octet_length("content") / self.stride).cast("int") - 1)
-        rows = files.select("shard", F.posexplode(F.transform(at, lambda i: F.substr("content", i * self.stride + 1, F.lit(2 * self.length)))).alias("row", "ids"))
+        # the file is cut in the projection over the row numbers: inside a lambda each record would copy the whole file
+        rows = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.octet_length("content") / self.stride).cast("int") - 1)).alias("row"))
+        rows = rows.select("shard", "row", F.substr("content", F.col("row") * self.stride + 1, F.lit(2 * self.length)).alias("ids"))
         return rows.select((F.col("shard") * self.per_shard + F.col("row")).alias("slot"), "shard", (F.col("row") * self.stride).cast("long").alias("at"), "ids")
 
 
