@@ -250,7 +250,10 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.struct(F.col("url").alias("value")).alias("title"), F.struct(F.array(F.lit("regular"), F.lit("x")).alias("positionLevelIds")).alias("employment")).alias("attributes"),
         F.array(F.struct(F.lit("Tasks").alias("title"), F.struct(F.array(F.lit("Do it")).alias("paragraphs"), F.array(F.lit("one"), F.lit(" ")).alias("bullets")).alias("model"))).alias("jsonSections"),
     ).alias("offer")).alias("pageProps")).alias("props")))
-    pages = _table(spark, sf_dir, "pages").where("page_id % 2 = 0").select("url", F.concat(F.lit('<script id="__NEXT_DATA__" type="x">'), body, F.lit("</script>")).alias("html"))
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="x">'), body, F.lit("</script>"))
+    # every page is searched whole, after its own html; those that get no script hold no offer, and parse_pages drops them
+    html = F.concat(F.coalesce("html", F.lit("")), F.when(F.pmod("page_id", F.lit(2)) == 0, script).otherwise(""))
+    pages = _table(spark, sf_dir, "pages").select("url", html.alias("html"))
     return curate.parse_pages(pages).select("offer_id", "url", "prose", F.col("gold.title").alias("title"), F.array_join("gold.seniority", ",").alias("seniority"))
 
 
