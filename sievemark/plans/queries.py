@@ -101,16 +101,36 @@ def normalise_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.normalise_terms(words, records.aliases(spark, TERMS))
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _variants(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b")))).where("variant = 'a' OR doc_id % 5 <> 0")
+
+
+def _scored(preds: DataFrame, gold: DataFrame, got: Column) -> DataFrame:
+    parsed = _gold(tech_expected=got, tech_optional=got, title=F.when(F.pmod("doc_id", F.lit(3)) == 0, F.upper("source")).otherwise("lang"))
+    preds = preds.select("variant", F.col("doc_id").alias("offer_id"), (F.pmod("doc_id", F.lit(7)) != 0).alias("valid"), parsed.alias("parsed"))
+    return scoring.matched(preds, gold)
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of windows of 120 characters, as the SQL of ``set_scores``, ``headline_f1`` and ``pick_winner`` has them."""
     docs = _table(spark, sf_dir, "documents")
     words = lambda start: F.filter(F.split(F.substring("text", start, 120), " "), lambda w: w != "")
     gold = docs.select(F.col("doc_id").alias("offer_id"), _gold(tech_expected=words(1), tech_optional=words(31), title=F.col("source")).alias("gold"))
-    preds = docs.withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b")))).where("variant = 'a' OR doc_id % 5 <> 0")
     shift = F.when(F.col("variant") == "a", 11).otherwise(21)
     got = F.filter(F.split(F.substr("text", shift, F.lit(120)), " "), lambda w: w != "")
-    parsed = _gold(tech_expected=got, tech_optional=got, title=F.when(F.pmod("doc_id", F.lit(3)) == 0, F.upper("source")).otherwise("lang"))
-    preds = preds.select("variant", F.col("doc_id").alias("offer_id"), (F.pmod("doc_id", F.lit(7)) != 0).alias("valid"), parsed.alias("parsed"))
-    return scoring.matched(preds, gold)
+    return _scored(_variants(docs), gold, got)
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of all words of the whole text: gold as they are, and without those of three letters; predictions with the words
+    of seven letters misspelt (a), or without those of four (b)."""  # noqa: D205
+    docs = _table(spark, sf_dir, "documents")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    some = F.filter(words, lambda w: F.length(w) != 3)
+    gold = docs.select(F.col("doc_id").alias("offer_id"), _gold(tech_expected=words, tech_optional=some, title=F.col("source")).alias("gold"))
+    misspelt = F.transform(words, lambda w: F.when(F.length(w) == 7, F.concat(w, F.lit("~"))).otherwise(w))
+    got = F.when(F.col("variant") == "a", misspelt).otherwise(F.filter(words, lambda w: F.length(w) != 4))
+    return _scored(_variants(docs), gold, got)
 
 
 _SQL_SETS = """
@@ -131,12 +151,46 @@ _SQL_SETS = """
 """
 
 
-def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.set_scores(_predictions(spark, sf_dir), ("tech_expected", "tech_optional"))
+_SQL_WHOLE = """
+    words AS (
+        SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda w : w <> '') AS w FROM documents
+    ), preds AS (
+        SELECT v.variant, doc_id, w,
+               CASE WHEN doc_id % 7 = 0 THEN [] WHEN v.variant = 'a' THEN list_transform(w, lambda x : CASE WHEN length(x) = 7 THEN concat(x, '~') ELSE x END)
+                    ELSE list_filter(w, lambda x : length(x) <> 4) END AS p
+        FROM words, (VALUES ('a'), ('b')) v(variant) WHERE v.variant = 'a' OR doc_id % 5 <> 0
+    ), pairs AS (
+        SELECT variant, f.field, list_distinct(CASE WHEN f.field = 'tech_expected' THEN w ELSE list_filter(w, lambda x : length(x) <> 3) END) AS g, list_distinct(p) AS p
+        FROM preds, (VALUES ('tech_expected'), ('tech_optional')) f(field)
+    ), c AS (
+        SELECT *, len(list_intersect(p, g)) AS tp, len(p) - len(list_intersect(p, g)) AS fp, len(g) - len(list_intersect(p, g)) AS fn FROM pairs
+    ), sums AS (
+        SELECT variant, field, count(*) AS n, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (len(g) > 0) AS support,
+               count(*) FILTER (len(g) > 0 AND fp = 0 AND fn = 0) AS exact_supported FROM c GROUP BY ALL
+    ), scored AS (
+        SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM sums
+    )
+"""
+
+
+def _set_scores(rows: DataFrame) -> DataFrame:
+    out = scoring.set_scores(rows, ("tech_expected", "tech_optional"))
     return out.select("variant", "field", "n", "tp", "fp", "fn", "support", "exact_supported", "precision", "recall", "f1", "exact")
 
 
+def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_scores(_windows(spark, sf_dir))
+
+
+def set_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_scores(_predictions(spark, sf_dir))
+
+
 def headline_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.headline(scoring.set_scores(_windows(spark, sf_dir)))
+
+
+def headline_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.headline(scoring.set_scores(_predictions(spark, sf_dir)))
 
 
@@ -175,13 +229,19 @@ def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.failures(rows, 80)
 
 
-def pick_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _predictions(spark, sf_dir)
-    totals = scoring.totals(rows, _table(spark, sf_dir, "documents").count())
-    report = totals.join(scoring.headline(scoring.set_scores(rows)), "variant").withColumns({"latency_p50": F.lit(1.0), "pos": F.col("variant")})
+def _winner(rows: DataFrame, n: int) -> DataFrame:
+    report = scoring.totals(rows, n).join(scoring.headline(scoring.set_scores(rows)), "variant").withColumns({"latency_p50": F.lit(1.0), "pos": F.col("variant")})
     return scoring.pick_winner(report).select("variant")
 
 
+def pick_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _winner(_windows(spark, sf_dir), _table(spark, sf_dir, "documents").count())
+
+
+def pick_winner_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _winner(_predictions(spark, sf_dir), _table(spark, sf_dir, "documents").count())
+
+
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     level = lambda x: F.when(x, "senior").otherwise("junior")
@@ -268,7 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         build_stats, build_records, temporal_split, split_manifest, dedupe_two_key, dev_split, spread_sample, shots_split, stratified_sample,
-        normalise_vocabulary, normalise_terms, set_scores, headline_f1, run_totals, salary_scores, cost_and_latency, failure_taxonomy, pick_winner,
+        normalise_vocabulary, normalise_terms, set_scores, set_scores_whole, headline_f1, headline_f1_whole, run_totals, salary_scores, cost_and_latency, failure_taxonomy, pick_winner, pick_winner_whole,
         cohen_kappa, raw_agreement, triangulate, disagreeing_ids, term_ceiling, bootstrap_intervals, parse_failures, load_completed, extract_pages, build_messages,
     )
 }
@@ -318,6 +378,13 @@ ORACLES = {
     """,
     "headline_f1": f"WITH {_SQL_SETS} SELECT variant, round(2 * p * r / (p + r), 4) AS headline_f1 FROM scored WHERE field = 'tech_expected'",
     "pick_winner": f"WITH {_SQL_SETS} SELECT variant FROM scored WHERE field = 'tech_expected' ORDER BY round(2 * p * r / (p + r), 4) DESC LIMIT 1",
+    "set_scores_whole": f"""
+        WITH {_SQL_WHOLE}
+        SELECT variant, field, n, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, support, exact_supported, round(p, 4) AS precision,
+               round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1, round(exact_supported / support, 4) AS exact FROM scored
+    """,
+    "headline_f1_whole": f"WITH {_SQL_WHOLE} SELECT variant, round(2 * p * r / (p + r), 4) AS headline_f1 FROM scored WHERE field = 'tech_expected'",
+    "pick_winner_whole": f"WITH {_SQL_WHOLE} SELECT variant FROM scored WHERE field = 'tech_expected' ORDER BY round(2 * p * r / (p + r), 4) DESC LIMIT 1",
     "cost_and_latency": """
         SELECT l_returnflag AS variant, round(avg((l_quantity * 10 + l_quantity * 5) / 1e6) FILTER (l_linenumber <> 3) * 1000, 4) AS cost_per_1k,
                round(quantile_cont(l_quantity / 8, 0.5), 3) AS latency_p50, round(quantile_cont(l_quantity / 8, 0.95), 3) AS latency_p95,
