@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import rounded
-from .scoring import COUNTS, headline, ratios, set_contributions
+from .scoring import COUNTS, ratios, set_contributions
+
+#: Records whose draws are made together, and resamples that are multiplied at once.
+CHUNK, AT_ONCE = 8192, 32
+
+
+def _stream(*parts) -> np.random.RandomState:
+    """A stream of random numbers that stays the same in all versions of numpy."""
+    return np.random.RandomState(np.frombuffer(hashlib.md5(":".join(map(str, parts)).encode()).digest(), np.uint32))
+
 
+def _weights(n: int, at: int, resamples: range, seed: str, chunk: int) -> np.ndarray:
+    """How often each record of chunk ``at`` is in each resample.
 
-def draws(ids: DataFrame, resamples: int, seed: str, id_col: str = "offer_id") -> DataFrame:
-    """``(b, id, w)``: how often each record is in resample b. Draw i of b takes the record ``md5(seed:b:i) mod n``.
+    n draws with replacement fall on the chunks by a multinomial draw that every task makes alike, and within a chunk
+    evenly on its records: no draw has to be sent anywhere.
+    """
+    sizes = np.full(-(-n // chunk), chunk)
+    sizes[-1] = n - chunk * (len(sizes) - 1)
+    out = np.zeros((len(resamples), sizes[at]))
+    for row, b in enumerate(resamples):
+        mine = _stream(seed, b).multinomial(n, sizes / n)[at]
+        drawn = (_stream(seed, b, at).random_sample(mine) * sizes[at]).astype(np.int64)
+        out[row] = np.bincount(drawn, minlength=sizes[at])
+    return out
+
+
+def resampled(rows: DataFrame, ids: DataFrame, resamples: int, seed: str, id_col: str = "offer_id", chunk: int = CHUNK) -> DataFrame:
+    """``(variant, b, headline_f1, validity)``; every variant and resample has its row, all variants have the same draws.
 
-    ``ids`` has a dense ``pos`` from 0. The draws are made where they are counted, ``resamples`` times n rows in all.
+    ``ids`` has a dense ``pos`` from 0. What a record adds to the sums is worked out once; a chunk of records is multiplied
+    with its weights in all resamples, and only those sums are shuffled.
     """
     if resamples < 1:
         raise ValueError("at least one resample")
     n = ids.count()
     if not n:
         raise ValueError("no gold records")
-    number = lambda b, i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), b, i)), 1, 13), 16, 10).cast("long")
-    grid = ids.select(F.col("pos").alias("i")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = grid.withColumn("pos", F.pmod(number(F.col("b").cast("string"), F.col("i").cast("string")), F.lit(n)))
-    return drawn.groupBy("b", "pos").agg(F.count(F.lit(1)).alias("w")).join(ids.select("pos", id_col), "pos").select("b", id_col, "w")
-
-
-def resampled(rows: DataFrame, drawn: DataFrame, resamples: int, id_col: str = "offer_id") -> DataFrame:
-    """``(variant, b, headline_f1, validity)``; every variant and resample has its row."""
-    counts = set_contributions(rows, vocab.HEADLINE_FIELDS).join(drawn, id_col)
-    sums = counts.groupBy("variant", "b", F.col("c.field").alias("field")).agg(*(F.sum(F.col(f"c.{c}") * F.col("w")).alias(c) for c in COUNTS))
-    key = F.struct("variant", "b")
-    f1 = headline(ratios(sums).withColumn("variant", key)).select("variant.*", "headline_f1")
-    valid = rows.join(drawn, id_col).groupBy("variant", "b").agg(rounded(F.sum(F.col("valid").cast("double") * F.col("w")) / F.sum("w")).alias("validity"))
-    grid = rows.select("variant").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    out = grid.join(f1, ["variant", "b"], "left").join(valid, ["variant", "b"], "left")
-    return out.withColumn("validity", F.coalesce("validity", F.lit(0.0)))
+    counts = set_contributions(rows, vocab.HEADLINE_FIELDS).join(ids.select("pos", id_col), id_col)
+    added = [F.sum(f"c.{c}").alias(c) for c in COUNTS] + [F.sum(F.col("valid").cast("long")).alias("n_valid"), F.count(F.lit(1)).alias("n")]
+    counts = counts.groupBy("pos", "variant", F.col("c.field").alias("field")).agg(*added)
+    names = [*COUNTS, "n_valid", "n"]
+
+    def sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        at = int(key[0])
+        groups = part.groupby(["variant", "field"], sort=True)
+        size, made = min(chunk, n - at * chunk), []
+        table = np.zeros((size, groups.ngroups, len(names)))
+        table[part["pos"] - at * chunk, groups.ngroup()] = part[names]
+        for first in range(0, resamples, AT_ONCE):
+            bs = range(first, min(first + AT_ONCE, resamples))
+            total = (_weights(n, at, bs, seed, chunk) @ table.reshape(size, -1)).reshape(len(bs) * groups.ngroups, -1)
+            made.append(pd.DataFrame(total, columns=names).assign(b=np.repeat(bs, groups.ngroups)))
+        out = pd.concat(made, ignore_index=True)
+        keys = list(groups.groups) * resamples
+        return out.assign(variant=[k[0] for k in keys], field=[k[1] for k in keys]).astype(dict.fromkeys(names, "int64"))
+
+    schema = ", ".join(f"{c} long" for c in names) + ", b long, variant string, field string"
+    total = counts.groupBy(F.floor(F.col("pos") / chunk).alias("chunk")).applyInPandas(sums, schema)
+    total = total.groupBy("variant", "b", "field").agg(*(F.sum(c).alias(c) for c in names))
+    validity = F.coalesce(F.try_divide(F.max("n_valid").cast("double"), F.max("n")), F.lit(0.0))
+    return ratios(total).groupBy("variant", "b").agg(rounded(F.avg("f1")).alias("headline_f1"), rounded(validity).alias("validity"))
 
 
 def intervals(metrics: DataFrame, ci: float = 95.0) -> DataFrame:

@@ -281,8 +281,7 @@ def term_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
     ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("offer_id"))
-    metrics = bootstrap.resampled(rows, bootstrap.draws(ids, 20, "seed"), 20)
-    return bootstrap.intervals(metrics)
+    return bootstrap.intervals(bootstrap.resampled(rows, ids, 2000, "seed"))
 
 
 def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Queries of the plans read whole tables and whole texts."""
 
+import numpy as np
+
 import sievemark.plans.queries as plans
+from sievemark.operators import bootstrap
 
 
 def test_extract_pages_searches_every_page_whole(spark, tmp_path):
@@ -18,3 +21,23 @@ def test_set_scores_count_the_words_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.variant: (r.tp, r.fp, r.fn) for r in plans.set_scores_whole(spark, str(tmp_path)).where("field = 'tech_expected'").collect()}
     assert got == {"a": (5001, 1, 1), "b": (5001, 0, 1)}
+
+
+def test_bootstrap_draws_2000_resamples(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(bootstrap, "intervals", lambda metrics: seen.append(metrics) or metrics)
+    plans.bootstrap_intervals(spark, sf)
+    rows = seen[0].collect()
+    assert {(r.variant, r.b) for r in rows} == {(v, b) for v in "ab" for b in range(2000)} and len(rows) == 4000
+    # doc_id 0 to 199: 171 of a are valid
+    own = np.array([r.validity for r in rows if r.variant == "a"])
+    share = 171 / 200
+    assert abs(own.mean() - share) < 0.003 and abs(own.std() - (share * (1 - share) / 200) ** 0.5) < 0.002
+
+
+def test_bootstrap_weights_are_draws_with_replacement():
+    n, chunk, b = 250, 100, range(3000)
+    w = np.hstack([bootstrap._weights(n, at, b, "s", chunk) for at in range(3)])
+    assert w.shape == (3000, n) and (w.sum(axis=1) == n).all()
+    assert abs(w.mean(axis=0) - 1).max() < 0.1 and abs(w.var(axis=0) - (1 - 1 / n)).max() < 0.2
+    assert abs(np.corrcoef(w[:, 0], w[:, 240])[0, 1]) < 0.1
