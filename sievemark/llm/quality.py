@@ -97,7 +97,10 @@ def features(block: Block) -> dict[str, np.ndarray]:
     line_start, line_end, line_text = line_start[inner], line_end[inner], line_text[inner]
     # where the next line belongs to another text, no newline stands between
     last = np.concatenate((line_text[1:] != line_text[:-1], [True])) if len(line_text) else np.zeros(0, bool)
-    line_end[last] = block.bounds[1:][line_text[last]]
+    text_end = block.bounds[1:][line_text[last]]
+    # a text's last newline ends its last line; an empty text has no byte to look at
+    closed = (text_end > line_start[last]) & (data[np.maximum(text_end - 1, 0)] == 10) if len(data) else np.zeros(len(text_end), bool)
+    line_end[last] = text_end - closed
     has = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, line_text = line_start[has], line_end[has], line_text[has]
     keys = mix(span_hashes(data, line_start, line_end) + line_text.astype(np.uint64))
