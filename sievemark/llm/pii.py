@@ -5,6 +5,8 @@ number stays the same in all documents and no table of pseudonyms is kept:
 
 * card numbers that pass the Luhn test keep length and separators, and the new number passes it too;
 * IBANs that pass modulo 97 keep country and length and get new check digits;
+* where a run of digits or of IBAN groups fails as a whole, what validates between two of its separators is replaced, so
+  that a number beside a date, a code or an amount is found;
 * telephone numbers and social security numbers keep their punctuation;
 * IPv4 addresses with octets up to 255 map onto such addresses;
 * dates map onto dates of 1900-2099, the same day alike in every notation.
@@ -25,14 +27,24 @@ from ._spans import matches, rewritten_by
 
 MAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
-CARD = r"[0-9](?:[\x20-]?[0-9]){12,18}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"
+ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+DATE = rf"(?:{ISO_DATE}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})"
 PHONE = r"\+?(?:[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
+_APART = r"(?![\p{L}\p{N}])"
+#: A run of 13 digits or more that can hold card numbers; it ends before a value of another kind.
+_CARD_SEP = rf"[\x20-](?!(?:{ISO_DATE}T|(?:{DATE}|{SSN}|{IP}|{PHONE}){_APART}))"
+CARD = rf"(?![0-9]{{20}})[0-9](?:(?:{_CARD_SEP}(?![0-9]{{20}}))?[0-9]){{12,799}}"
 #: Kinds in the order in which they are tried at a place.
 KINDS = {"mail": MAIL, "iban": IBAN, "date": DATE, "ssn": SSN, "ip": IP, "phone": PHONE, "card": CARD}
-ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + r")(?![\p{L}\p{N}])"
+ANY = r"(?<![\p{L}\p{N}])(?:(?:" + "|".join(KINDS.values()) + rf"){_APART}|{ISO_DATE}(?=T[0-9]{{2}}:?[0-9]{{2}}))"
+#: Lengths of the IBANs of the registry by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 DIGITS, HEX_DIGITS, ALNUM = "0123456789", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -111,7 +123,36 @@ def luhn_valid(digits: Column) -> Column:
     return _luhn_sum(digits, 0) % 10 == 0
 
 
+def _between(x: Column, seps: str, least: int, most: int, made: Callable[[Column], Column]) -> Column:
+    """``x`` with what ``made`` replaces between its separators: from the left, the longest first, ``least`` to ``most``
+    characters besides separators; null if nothing is."""  # noqa: D205
+    kind = "struct<at:int,out:string,hit:boolean>"
+
+    def within(cuts: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.transform(cuts, lambda i: i + 1))
+        ends = F.concat(F.array(F.length(x)), F.transform(F.reverse(cuts), lambda i: i - 1))
+        fits = lambda a, z: F.length(F.regexp_replace(F.substr(x, a, z - a + 1), seps, "")).between(least, most)
+        of = lambda a: F.transform(F.filter(ends, lambda z: (z - a < 2 * most) & (z - a + 1 >= least) & fits(a, z)), lambda z: F.struct(a.alias("a"), z.alias("z")))
+        spans = F.flatten(F.transform(starts, of))
+
+        def step(acc: Column, span: Column) -> Column:
+            def taken(new: Column) -> Column:
+                out = F.concat(acc["out"], F.substr(x, acc["at"], span["a"] - acc["at"]), new)
+                return F.when(new.isNotNull(), F.struct((span["z"] + 1).alias("at"), out.alias("out"), F.lit(True).alias("hit")).cast(kind)).otherwise(acc)
+
+            return F.when(span["a"] < acc["at"], acc).otherwise(_bind(made(F.substr(x, span["a"], span["z"] - span["a"] + 1)), taken))
+
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"), F.lit(False).alias("hit")).cast(kind)
+        return F.aggregate(spans, start, step, lambda acc: F.when(acc["hit"], F.concat(acc["out"], F.substr(x, acc["at"], F.length(x) - acc["at"] + 1))))
+
+    return _bind(F.filter(F.sequence(F.lit(1), F.length(x)), lambda i: F.rlike(F.substr(x, i, F.lit(1)), F.lit(seps))), within)
+
+
 def _card(x: Column, key: str) -> Column:
+    return _between(x, r"[\x20-]", 13, 19, lambda part: _one_card(part, key))
+
+
+def _one_card(x: Column, key: str) -> Column:
     def made(d: Column) -> Column:
         body = feistel_string(F.substr(d, F.lit(1), F.length(d) - 1), DIGITS, f"{key}/card")
         checked = _bind(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(b, 1), F.lit(10)).cast("string")))
@@ -131,6 +172,13 @@ def _mod97(x: Column) -> Column:
 
 
 def _iban(x: Column, key: str) -> Column:
+    """A match that validates whole, else the parts between its spaces that do and have their country's length."""
+    lengths = F.create_map(*(F.lit(v) for n, names in IBAN_LENGTHS.items() for c in names.split() for v in (c, n)))
+    right = lambda part: F.rlike(part, F.lit("^[A-Z]{2}[0-9]{2}")) & (F.length(F.replace(part, F.lit(" "))) == F.try_element_at(lengths, F.substr(part, F.lit(1), F.lit(2))))
+    return _between(x, r"\x20", 12, 35, lambda part: F.when(right(part) | (part == x), _one_iban(part, key)))
+
+
+def _one_iban(x: Column, key: str) -> Column:
     def made(d: Column) -> Column:
         country, body = F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(5))
         valid = _mod97(F.concat(body, F.substr(d, F.lit(1), F.lit(4)))) == 1
