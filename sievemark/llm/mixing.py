@@ -5,25 +5,23 @@ in every 1/w slots: its k-th block (from 0) is released at slot floor(k/w) and d
 first among the released blocks meets all deadlines on one line of slots, so that after any number of slots each source has
 had its share to within less than one block.
 
-Weights are multiples of 1/``period``, so the schedule repeats after ``period`` slots: it is worked out once for one period
-(a table of ``period`` entries) and every block's slot follows from its number by arithmetic, wherever it lies.
+Weights are exact fractions, so neither the number of sources nor the length of the line is bounded by a period. The line is
+worked out on the driver, which holds a number for each source and each block, and is joined to the rows by block.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import math
 from collections.abc import Mapping
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_KEYS, materialise
 
-MAX_SOURCES = 10_000
-
 
 def quotas(weights: Mapping, period: int) -> dict:
     """Whole slots of each source in a period: by largest remainder, at least one each."""
@@ -40,33 +38,44 @@ def quotas(weights: Mapping, period: int) -> dict:
     return out
 
 
-def pfair_slots(quota: Mapping) -> dict:
-    """Slots of each source's blocks within one period, by earliest deadline first."""
-    period = sum(quota.values())
-    due = lambda s, k: -(-(k + 1) * period // quota[s])
-    waiting = [(0, str(s), s, 0) for s in quota]  # by release
-    heapq.heapify(waiting)
+def schedule(weights: Mapping, blocks: Mapping, on: bool = False) -> dict:
+    """Slots of each source's blocks, by earliest deadline first with exact weights.
+
+    A source whose blocks are all placed leaves the line, and slots that no other block may take yet stay empty. With
+    ``on`` it goes on instead, until every source has had its own blocks.
+    """
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    names = sorted(weights, key=lambda s: (s is not None, str(s)))
+    exact = [Fraction(weights[s]) for s in names]
+    scale = math.lcm(*(x.denominator for x in exact)) if exact else 1
+    share = [int(x * scale) for x in exact]
+    total = sum(share)
+    wanted, left = [blocks[s] for s in names], sum(blocks[s] > 0 for s in names)
+    waiting = [(0, i, 0) for i in range(len(names)) if on or wanted[i]]  # by release
     ready: list = []
-    out: dict = {s: [] for s in quota}
-    for slot in range(period):
+    out: list = [[] for _ in names]
+    slot = 0
+    while left:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, name, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, k), name, s, k))
-        deadline, name, s, k = heapq.heappop(ready)
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // share[i]), i, k))
+        deadline, i, k = heapq.heappop(ready)
         if deadline < slot + 1:
             raise AssertionError("a deadline was missed")
-        out[s].append(slot)
-        if k + 1 < quota[s]:
-            heapq.heappush(waiting, ((k + 1) * period // quota[s], name, s, k + 1))
-    return out
+        out[i].append(slot)
+        left -= k + 1 == wanted[i]
+        if on or k + 1 < wanted[i]:
+            heapq.heappush(waiting, ((k + 1) * total // share[i], i, k + 1))
+        slot += 1
+    return dict(zip(names, out))
 
 
-def _slot_of(number: int, slots: list[int], period: int) -> int:
-    return number // len(slots) * period + slots[number % len(slots)]
-
-
-def _blocks_before(slot: int, slots: list[int], period: int) -> int:
-    return slot // period * len(slots) + bisect.bisect_left(slots, slot % period)
+def pfair_slots(quota: Mapping) -> dict:
+    """Slots of each source's blocks within one period of whole quotas."""
+    return schedule(quota, quota)
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.7, source_col: str = "source", block: int = 64,
-    period: int = 1024, repeat: bool = False, seed: str = "mix",
+    period: int | None = None, repeat: bool = False, seed: str = "mix",
 ) -> DataFrame:
     """``(row, source, epoch, block, slot, place)``: the rows of ``docs`` as structs, in the mixed order of ``(slot, place)``.
 
@@ -101,30 +110,40 @@ def mix(
 
     A null source is a source of its own; null ids and texts need no rule. Repeated rows and ties are rows like others,
     placed in an arbitrary order among themselves. An empty table gives an empty result; clashing names do no harm, as
-    the row is kept as a struct. The number of sources is bounded by ``period``.
+    the row is kept as a struct. Weights are exact; only where a ``period`` is given are they rounded to its multiples.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.withColumn("source", F.col("row")[source_col].cast("string"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "row"))
-    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > min(MAX_SOURCES, period):
-        raise ValueError(f"more than {min(MAX_SOURCES, period)} sources")
-    quota = quotas(target_weights(counts, weights, alpha), period) if counts else {}
-    slots = pfair_slots(quota)
-    # rows that a source must supply until the last slot that some source needs; without repetition, each row once
-    last = max((_slot_of(math.ceil(n / block) - 1, slots[s], period) for s, n in counts.items()), default=-1)
-    supply = {s: max(n, _blocks_before(last + 1, slots[s], period) * block) for s, n in counts.items()}
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(s, n, quota[s], slots[s], supply[s] if repeat else n) for s, n in counts.items()],
-        "p_source string, n long, quota long, slots array<long>, wanted long",
-    )
-    out = _ranked(rows).join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))  # one row per source, at most ``period``
+    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
+    counts = dict(zip(found["source"], found["n"]))
+    shares = target_weights(counts, weights, alpha)
+    if period is not None and counts:
+        shares = quotas(shares, period)
+    slots = schedule(shares, {s: -(-n // block) for s, n in counts.items()}, on=repeat)
+    # rows that a source must supply until the last slot that some source needs; without repetition, each row once
+    supply = {s: max(n, len(slots[s]) * block) if repeat else n for s, n in counts.items()}
+    number_of = {s: i for i, s in enumerate(counts)}
+    plan = pa.table({
+        "p_source": pa.array(counts, pa.string()), "p_id": pa.array(number_of.values(), pa.int64()),
+        "n": pa.array(counts.values(), pa.int64()), "wanted": pa.array([supply[s] for s in counts], pa.int64()),
+    })
+    line = pa.table({
+        "s_id": pa.array((number_of[s] for s, own in slots.items() for _ in own), pa.int64()),
+        "s_block": pa.array((k for own in slots.values() for k in range(len(own))), pa.int64()), "slot": pa.array((t for own in slots.values() for t in own), pa.int64()),
+    })
+
+    def near(table: pa.Table) -> DataFrame:
+        frame = spark.createDataFrame(table)
+        return F.broadcast(frame) if table.num_rows <= BROADCAST_KEYS else frame
+
+    out = _ranked(rows).join(near(plan), F.col("source").eqNullSafe(F.col("p_source")))
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1) / F.col("n")))))
     out = out.withColumn("place", F.col("rank") + F.col("epoch") * F.col("n")).where("place < wanted")
     number: Column = F.floor(F.col("place") / block)
-    slot = F.floor(number / F.col("quota")) * period + F.element_at("slots", (number % F.col("quota") + 1).cast("int"))
-    return out.select("row", "source", "epoch", number.alias("block"), slot.alias("slot"), (F.col("place") % block).alias("place"))
+    out = out.withColumn("block", number).join(near(line), (F.col("p_id") == F.col("s_id")) & (F.col("block") == F.col("s_block")))
+    return out.select("row", "source", "epoch", "block", "slot", (F.col("place") % block).alias("place"))
 
 
 def target_weights(counts: Mapping, weights: Mapping[str, float] | None, alpha: float) -> dict:
