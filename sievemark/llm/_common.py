@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +18,14 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests on one machine) is a temporary folder made and set.
+    Only where the session has none and runs on one machine (tests) is a temporary folder made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
         if known is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-sievemark-"))
             known = spark.sparkContext.getCheckpointDir()
         root = known
@@ -28,29 +33,63 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/sievemark-{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that no other call gets; what is still there when the driver ends is deleted then."""
+    path = f"{shared_dir(spark)}/sievemark-{name}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+#: Scratch paths of the scope that is open in this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Gathers the scratch paths made inside, for ``delete_path`` once nothing reads them any more."""
+    paths: list[str] = []
+    before = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(before)
+
+
+@contextmanager
+def session_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings of the session (``__`` for a dot) that hold inside and are put back afterwards."""
+    names = {name.replace("__", "."): value for name, value in settings.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def write_parquet(df: DataFrame, path: str, *partition_by: str, **options: str) -> DataFrame:
+    """Write ``df`` and read it back; the shuffles of the write go when it has ended, as nothing can read them again."""
+    with session_settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.options(**options).partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    SCRATCH.append(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    table = write_parquet(df, path, *partition_by)
     table.scratch = path
     return table
 
 
-#: Scratch tables that this driver has written and not yet deleted, oldest first.
-SCRATCH: list[str] = []
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in SCRATCH:
-        SCRATCH.remove(path)
 
 
 def discard(*tables: DataFrame) -> None:

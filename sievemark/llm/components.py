@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node's larger neighbours are linked to its smallest neighbour, then
     every node's neighbours that are not larger. Both keep the components and need one shuffle each; the number of rounds
     grows with the logarithm of the longest path. A node with many edges only sends them to its smallest neighbour, and
-    the smallest is taken on the map side first. Null nodes and edges from a node to itself are left out.
+    the smallest is taken on the map side first. The result is a table of ``materialise``. Null nodes and edges from a node to itself are left out.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     edges = materialise(edges, "edges")
@@ -33,4 +33,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return labels.union(roots)
+    labels = materialise(labels.union(roots), "labels")
+    discard(edges)
+    return labels

@@ -1,18 +1,18 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams, by vertical partitioning.
 
-All n-grams have one global order: by how common their cell of a fixed table of corpus counts is, then by hash. Cutting
-that order into fragments cuts every document's set into parts; partial overlaps are counted fragment by fragment and summed
-for each pair, so that no task ever holds two whole long documents, let alone a group of them.
+All n-grams have one global order, and fragments of that order cut every document's set into parts. Partial overlaps are
+counted fragment by fragment and summed for each pair, so that no task holds a group of long documents.
 
 * Documents with equal sets form one class, and classes are joined, not documents; copies cost one row each.
-* A pair that is similar enough shares an n-gram among the first of both sets in the global order (the rare ones), whose
-  number follows from the threshold. Only these are shuffled.
-* Pairs are first held against bit maps of both sets: the bits in which they differ are a lower bound of the number of
-  n-grams that only one set has, so most pairs that are not linked go without their sets being read.
-* Within the classes that share such an n-gram not all pairs are made. First each class is compared with a few centres, and
-  linked classes become components; only pairs of different components are compared after that, which loses no link
-  between components and leaves large groups of near copies at a few comparisons per member. What is compared last is every
-  class outside the largest component around an n-gram with every class there of another component.
+* A first fragment, by hash, is counted for all classes: an n-gram that no other class has cannot be shared, and a class with
+  more such n-grams than the threshold leaves room for can have no link. Most documents end here. Within a task n-grams that
+  several classes have are settled at once, so that a passage in every document sends one entry for each task.
+* For the classes that are left all n-grams are counted, and the global order is by how many classes have them, then by hash.
+  A linked pair shares an n-gram among the first of both sets (the prefix, whose length follows from the threshold). Where
+  the first shared n-gram stands in both sets bounds the overlap from above, and that is tested before a pair is made.
+* Within the classes that share a prefix n-gram not all pairs are made. Each class is first compared with the centre, the
+  class with the smallest share of n-grams of its own, which by the same bound is the likeliest partner of all others. Linked
+  classes become components; only pairs of different components that pass the bound are compared after that.
 """
 
 from __future__ import annotations
@@ -21,21 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import discard, materialise, restricted, row_key, small_batches
 from .components import connected_components
 from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
 
-#: Cells of the table of counts: its size is fixed, whatever the input.
-CELLS = 1 << 18
 FRAGMENTS = 16
-#: Further rounds with one centre around each n-gram, before the pairs that are left are compared.
-ROUNDS = 3
-#: 64-bit words of a set's bit map, in which each n-gram flips one bit: so many for up to ``MAP_SETS`` n-grams, and
-#: eight times as many for each further factor of eight.
-MAP_WORDS, MAP_SETS = 16, 2000
+#: The first fragment in order of hash: so many sixteenths of all n-grams.
+FIRST = 5
+_LIMIT = np.uint64(FIRST << 60)
+#: N-grams of the first fragment that a task holds before it sends them on.
+TOGETHER = 1 << 20
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,145 +59,223 @@ def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], of[fresh]
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 18)).astype(np.int64)
+def _keys(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit name of each text's set, and its size."""
+    size = np.bincount(of, minlength=n)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    run = np.concatenate(([np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
+    return mix(run[edge[1:]] - run[edge[:-1]] + size.astype(np.uint64)), size
 
 
-def _counted(k: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for _, block in blocks(batches, "text"):
-            cells += np.bincount(_cell(shingle_sets(block, k)[0]), minlength=CELLS)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], names=["cell", "n"])
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.view(np.int64)))
 
-    return count
 
+def _packed(ascending: np.ndarray) -> bytes:
+    """Differences of ascending numbers, all first bytes, then all second bytes and so on: the high ones compress to nothing."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """16 bytes per row of two 64-bit numbers."""
-    flat = np.ascontiguousarray(rows, ">u8")
-    offsets = np.arange(len(flat) + 1, dtype=np.int32) * 16
-    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
 
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
-def _classes(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit name of each text's set, and its size."""
-    size = np.bincount(of, minlength=n)
-    total = np.zeros((n, 2), np.uint64)
-    edge = np.concatenate(([0], np.cumsum(size)))
-    for j, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-        run = np.concatenate(([np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)))
-        total[:, j] = mix(run[edge[1:]] - run[edge[:-1]] + size.astype(np.uint64))
-    return total, size
 
-
-def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.view(np.int64)))
+FIRST_PASS = "id {id}, row long, n long, key long, chunk long, alone long, part int, grams binary, keys binary, marked binary"
 
 
-def _prefixed(k: int, percent: int, cells):
-    """Each text's class and size; the first text of a class in a block also brings the prefix of its set."""
+def _first_pass(k: int, parts: int):
+    """Rows of two kinds: one for each text, and the first fragment's n-grams, cut into ``parts`` ranges.
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = cells.value
-        for part, block in blocks(batches, "text"):
-            h, of = shingle_sets(block, k)
-            names, size = _classes(h, of, block.n)
-            order = np.lexsort((h, common[_cell(h)], of))
-            h, of = h[order], of[order]
-            place = np.arange(len(h)) - (np.cumsum(size) - size)[of]
-            first = np.zeros(block.n, bool)
-            first[np.unique(names, axis=0, return_index=True)[1]] = True
-            wanted = np.where(first & (size > 0), size - (percent * size + 99) // 100 + 1, 0)
-            prefixes = _lists(h[place < wanted[of]], wanted)
-            mapped = np.where(wanted > 0, MAP_WORDS, 0)
-            most = MAP_SETS
-            while (size > most).any():
-                mapped[size > most] *= 8
-                most *= 8
-            bits = np.zeros(mapped.sum(), np.uint64)
-            of, h = of[mapped[of] > 0], h[mapped[of] > 0]
-            cell = (h & (mapped[of] - 1).astype(np.uint64)).astype(np.int64) + (np.cumsum(mapped) - mapped)[of]
-            np.bitwise_xor.at(bits, cell, np.uint64(1) << (h >> np.uint64(58)))
+    A chunk is what a task holds together. The first text of a class in a chunk has ``alone``, the number of its n-grams in
+    the fragment that no other class of the chunk has; those n-grams travel with their class (``grams``, ``keys``), the others
+    once each (``marked``).
+    """
+    edges = np.array([(FIRST << 60) * i // parts for i in range(1, parts)], np.uint64)
+
+    def settled(held: list, chunk: int) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([x[0] for x in held])
+        rows, size, keys = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        base = np.cumsum([0] + [len(x[1]) for x in held[:-1]])
+        gram, of = np.concatenate([x[4] for x in held]), np.concatenate([x[5] + b for x, b in zip(held, base)])
+        first = np.zeros(len(keys), bool)
+        first[np.unique(keys, return_index=True)[1]] = True
+        first &= size > 0
+        gram, of = gram[first[of]], of[first[of]]
+        order = np.argsort(gram, kind="stable")
+        gram, of = gram[order], of[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        lone = new.copy()
+        lone[:-1] &= new[1:]
+        alone = np.bincount(of[lone], minlength=len(keys))
+        nothing = pa.nulls(len(keys))
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids, pa.array(rows), pa.array(size.astype(np.int64)), pa.array(keys.view(np.int64), mask=size == 0),
+                pa.array(np.full(len(keys), chunk), mask=~first), pa.array(alone), nothing.cast(pa.int32()), *[nothing.cast(pa.binary())] * 3,
+            ],
+            names=[f.split()[0] for f in FIRST_PASS.split(", ")],
+        )
+        marked, keys, gram = gram[new & ~lone], keys[of[lone]], gram[lone]
+        cut, cut_marked = (np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in (gram, marked))
+        used = [p for p in range(parts) if cut[p] < cut[p + 1] or cut_marked[p] < cut_marked[p + 1]]
+        if used:
+            n = len(used)
+            none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *part.columns[:2], pa.array(size.astype(np.int64)), _binary(names), prefixes, _lists(bits, mapped),
+                    pa.nulls(n, ids.type), none, none, none, pa.array(np.full(n, chunk)), none, pa.array(used, pa.int32()),
+                    pa.array([_packed(gram[cut[p] : cut[p + 1]]) for p in used]), pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in used]),
+                    pa.array([_packed(marked[cut_marked[p] : cut_marked[p + 1]]) for p in used]),
                 ],
-                names=["id", "row", "n", "class", "prefix", "bits"],
+                names=[f.split()[0] for f in FIRST_PASS.split(", ")],
             )
 
-    return prefix
-
-
-def _fragments(k: int):
-    """``(class, n, fragment, part)``: the sets cut along the order of hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for part, block in blocks(batches, "text"):
+            h, of = shingle_sets(block, k)
+            keys, size = _keys(h, of, block.n)
+            in_first = h < _LIMIT
+            held.append((part.column(0), part.column(1).to_numpy(), size, keys, h[in_first], of[in_first]))
+            n += int(in_first.sum())
+            if n >= TOGETHER:
+                yield from settled(held, chunk)
+                chunk, held, n = chunk + 1, [], 0
+        if held:
+            yield from settled(held, chunk)
+
+    return run
+
+
+def _shared_in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, chunk, shared)``: how many of a class's n-grams in a range, sent from a chunk, another class has as well."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    chunks, grams, keys, marked = ([x for b in got for x in b.column(i).to_pylist()] for i in range(4))
+    grams = [_unpacked(x) for x in grams]
+    chunk = np.repeat(np.array(chunks, np.int64), [len(x) for x in grams])
+    gram, key = np.concatenate(grams), np.concatenate([np.frombuffer(x, np.uint64) for x in keys])
+    known = np.unique(np.concatenate([_unpacked(x) for x in marked]))
+    del got, grams, keys, marked
+    if not len(gram):
+        return
+    order = np.argsort(gram, kind="stable")
+    gram, key, chunk = gram[order], key[order], chunk[order]
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    shared = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
+    if len(known):
+        shared |= known[np.minimum(np.searchsorted(known, gram[first]), len(known) - 1)] == gram[first]
+    each = np.repeat(shared, np.diff(np.concatenate((first, [len(gram)]))))
+    key, chunk = key[each], chunk[each]
+    if not len(key):
+        return
+    order = np.lexsort((chunk, key))
+    key, chunk = key[order], chunk[order]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
+    n = np.diff(np.concatenate((first, [len(key)])))
+    yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(chunk[first]), pa.array(n)], names=["key", "chunk", "shared"])
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in blocks(batches, "text"):
             h, of = shingle_sets(block, k)
-            names, size = _classes(h, of, block.n)
-            pieces = of * FRAGMENTS + (h >> np.uint64(60)).astype(np.int64)
-            used, lengths = np.unique(pieces, return_counts=True)
-            text = used // FRAGMENTS
-            yield pa.RecordBatch.from_arrays(
-                [_binary(names[text]), pa.array((used % FRAGMENTS).astype(np.int32)), _lists(h, lengths)], names=["class", "fragment", "part"]
-            )
-
-    return cut
-
-
-class _Overlaps:
-    """Finds the links among pairs of classes."""
-
-    def __init__(self, texts: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percent: int) -> None:
-        self.texts, self.sets, self.classes, self.k, self.percent = texts, sets, classes, k, percent
+            keys, size = _keys(h, of, block.n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(size.astype(np.int64)), _lists(h, size)], names=["key", "n", "grams"])
+
+    return run
+
+
+def _least(n: Column, percent: int) -> Column:
+    """The smallest overlap that a set of ``n`` can have with one it is linked with."""
+    return F.ceil(n * percent / 100)
+
+
+class _Join:
+    """The classes that may have links: their n-grams in the global order, prefixes and links."""
+
+    def __init__(self, sets: DataFrame, percent: int) -> None:
+        self.percent = percent
+        posts = sets.select("key", "n", F.explode("grams").alias("gram"))
+        # counted with a map-side combine first; the join can split an n-gram that very many classes have
+        counts = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        shared = materialise(posts.join(counts, "gram"), "shared")
+        able = shared.groupBy("key", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= _least(F.col("n"), percent))
+        able = materialise(able.select("key", "m"), "able")
+        live = restricted(shared, able.select("key"), "key").join(able, "key")
+        cell = (F.floor(4 * F.log2("df")) * FRAGMENTS + F.shiftrightunsigned("gram", 60)).cast("int")
+        self.live = materialise(live.select("key", "n", "m", "gram", "df", cell.alias("cell")), "live")
+        discard(shared, able)
+        self.fragment = self._fragments()
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "gram"))
+        placed = self.live.withColumn("own", F.col("n") - F.col("m")).withColumn("pos", F.col("own") + rank - 1)
+        prefix = placed.where(F.col("pos") <= F.col("n") - _least(F.col("n"), percent))
+        self.prefix = materialise(prefix.select("gram", "key", "n", "own", "pos"), "prefix")
+
+    def _fragments(self) -> DataFrame:
+        """``(cell, fragment)``: the order of n-grams cut where its parts hold about equally many.
+
+        A cell is a range of that order, by the logarithm of the count and four bits of hash: some 2,500 at any size.
+        """
+        found = self.live.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).orderBy("cell").toArrow().to_pydict()
+        count = np.array(found["c"], np.int64)
+        fragment = (np.cumsum(count) - count) * FRAGMENTS // max(1, int(count.sum()))
+        table = pa.table({"cell": pa.array(found["cell"], pa.int32()), "fragment": pa.array(fragment.astype(np.int32))})
+        return F.broadcast(self.live.sparkSession.createDataFrame(table))
+
+    def fits(self, n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
+        """Whether two sets can be linked whose first shared n-gram stands at these places."""
+        most = F.least(n1 - pos1, n2 - pos2)
+        return 100 * most >= self.percent * (n1 + n2 - most)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs ``(a, na, b, nb)`` whose overlap is large enough, as ``(a, b)``."""
-        given = materialise(pairs, "pairs")
-        maps = materialise(self._maps(given), "maps")
-        pairs = materialise(self._possible(given, maps), "possible")
-        discard(given, maps)
-        members = _members(pairs)
-        rows = restricted(self.classes, members, "class").select("row")
-        cut = restricted(self.texts, rows, "row").select("text").mapInArrow(_fragments(self.k), "class binary, fragment int, part array<long>")
-        parts = materialise(restricted(cut, members, "class"), "fragments")
-        a = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("pa"))
-        b = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("pb"))
-        partial = pairs.join(b, "b").join(a, ["a", "fragment"]).select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("pa", "pb")).alias("shared"))
-        # a class read from repeated rows has its fragments twice
-        counted = partial.groupBy("a", "na", "b", "nb", "fragment").agg(F.max("shared").alias("shared"))
-        summed = counted.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
+        """Those pairs ``(a, na, b, nb)`` whose overlap is large enough, as ``(a, b)``; ``pairs`` is used up."""
+        members = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        grams = restricted(self.live.select("key", "gram", "cell"), members, "key").join(self.fragment, "cell")
+        parts = materialise(grams.groupBy("key", "fragment").agg(F.collect_list("gram").alias("part")), "parts")
+        a = parts.select(F.col("key").alias("a"), "fragment", F.col("part").alias("pa"))
+        b = parts.select(F.col("key").alias("b"), "fragment", F.col("part").alias("pb"))
+        partial = pairs.join(b, "b").join(a, ["a", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("pa", "pb")).alias("shared"))
+        summed = partial.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
         linked = summed.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared")))
         links = materialise(linked.select("a", "b"), "links")
         discard(pairs, parts)
         return links
 
-    def _maps(self, pairs: DataFrame) -> DataFrame:
-        maps = restricted(self.sets.where(F.size("bits") > 0).select("class", "bits"), _members(pairs), "class")
-        return maps.dropDuplicates(["class"])
-
-    def _possible(self, pairs: DataFrame, maps: DataFrame) -> DataFrame:
-        both = pairs.join(maps.select(F.col("class").alias("a"), F.col("bits").alias("xa")), "a")
-        both = both.join(maps.select(F.col("class").alias("b"), F.col("bits").alias("xb")), "b")
-        width = F.least(F.size("xa"), F.size("xb"))
-
-        def folded(x: str):
-            """The map at ``width`` words: words that fall together are joined by exclusive or."""
-            word = lambda i: F.aggregate(F.sequence(i, F.size(x), width), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.element_at(x, j)))
-            return F.when(F.size(x) == width, F.col(x)).otherwise(F.transform(F.sequence(F.lit(1), width), word))
-
-        apart = F.aggregate(F.zip_with(folded("xa"), folded("xb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        return both.where(apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "na", "b", "nb")
-
-
-def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-
-
-def _sizes_fit(percent: int):
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    def labels(self) -> DataFrame:
+        """``(node, label)`` of all linked classes."""
+        own = F.struct((F.col("own") / F.col("n")).alias("share"), "key", "n", "pos")
+        centre = self.prefix.groupBy("gram").agg(F.min(own).alias("c"))
+        met = self.prefix.join(centre, "gram").where("key <> c.key").where(self.fits(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+        pairs = met.select(F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
+        links = self.links(materialise(pairs, "pairs"))
+
+        met = connected_components(links)
+        marked = self.prefix.join(met.withColumnRenamed("node", "key"), "key", "left")
+        marked = materialise(marked.select("gram", "key", "n", "pos", F.coalesce("label", "key").alias("label")), "marked")
+        discard(met)
+        # a row can only have a partner in the component that comes first around its n-gram, or the next if that is its own
+        soonest = marked.groupBy("gram", "label").agg(F.min("pos").alias("p"))
+        one = soonest.groupBy("gram").agg(F.min(F.struct("p", "label")).alias("one"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        two = soonest.join(one, "gram").where("label <> one.label").groupBy("gram").agg(F.min("p").alias("two"), F.first("one").alias("one"))
+        partner = F.when(F.col("label") == F.col("one.label"), F.col("two")).otherwise(F.col("one.p"))
+        open_ = marked.join(two, "gram").where(100 * (F.col("n") - F.col("pos")) >= self.percent * (F.col("n") + partner))
+        open_ = materialise(open_.select("gram", "key", "n", "pos", "label"), "open")
+        discard(marked)
+        x, y = (open_.select("gram", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "pos", "label"))) for i in (1, 2))
+        apart = (F.col("label1") != F.col("label2")) & (F.col("key1") < F.col("key2")) & self.fits(*(F.col(c) for c in ("n1", "pos1", "n2", "pos2")))
+        rest = x.join(y, "gram").where(apart).select(F.col("key1").alias("a"), F.col("n1").alias("na"), F.col("key2").alias("b"), F.col("n2").alias("nb"))
+        more = self.links(materialise(rest.distinct(), "pairs"))
+        discard(open_, self.prefix, self.live)
+        labels = connected_components(links.unionByName(more))
+        discard(links, more)
+        return labels
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,69 +283,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets of ``k``-word shingles (A-Z
     lower-cased). A text of fewer words is one shingle; null, empty and blank texts have no shingles and no links. Null ids
-    name a component only where it has no other. Repeated rows and repeated ids are
-    rows like others; rows without shingles are their own component. Other columns are ignored, whatever their names, and
-    an empty table gives an empty result. Texts of any length are taken whole.
+    name a component only where it has no other. Repeated rows and repeated ids are rows like others; rows without shingles
+    are their own component. Other columns are ignored, whatever their names, and an empty table gives an empty result.
+    Texts of any length are taken whole. Shingles and classes are known by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    cells = np.zeros(CELLS, np.int64)
-    counted = texts.select("text").mapInArrow(_counted(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    # cells near the mean are alike; only those that hold common n-grams are set apart
-    cells = np.floor(np.log2(np.maximum(cells, 1) / max(1.0, cells.mean())).clip(0) * 4).astype(np.int64)
-    shared = spark.sparkContext.broadcast(cells)
-    schema = f"id {kind}, row long, n long, class binary, prefix array<long>, bits array<long>"
-    sets = materialise(texts.mapInArrow(_prefixed(k, percent, shared), schema), "sets")
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"))
-
-    posts = sets.where(F.size("prefix") > 0).select(F.explode("prefix").alias("gram"), "class", F.col("n").cast("int").alias("n"))
-    posts = posts.repartition("gram").dropDuplicates(["gram", "class"])
-    one = F.struct("class", "n")
-    around = posts.groupBy("gram").agg(F.min(one).alias("least"), F.max(one).alias("most")).where("least.class < most.class")
-    posts = materialise(posts.join(around, "gram"), "postings")
-
-    # each class with the centre that comes first, and the one that comes last, of all around its n-grams
-    overlaps = _Overlaps(texts, sets, classes, k, percent)
-    near = posts.groupBy("class", "n").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    near = near.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("least", "most")).alias("c"))
-    links = overlaps.links(near.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), "b", "nb").where(_sizes_fit(percent)).distinct())
-    labels = connected_components(links)
-
-    # more rounds with other centres, for the classes that the first two did not reach
-    for turn in range(ROUNDS):
-        known = posts.select("gram", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
-        known = known.select("gram", F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), "class", "n", F.coalesce("label", "class").alias("label")).alias("x"))
-        centre = known.groupBy("gram").agg(F.min("x").alias("c"))
-        met = known.join(centre, "gram").where("x.label <> c.label").groupBy("x.class", "x.n").agg(F.min("c").alias("c"))
-        pairs = met.select(F.col("c.class").alias("a"), F.col("c.n").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb"))
-        found = overlaps.links(pairs.where(_sizes_fit(percent)))
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        labels = connected_components(links)
-
-    labelled = posts.select("gram", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    # all that follows is by n-gram and shares this one exchange
-    marked = labelled.select("gram", "class", "n", F.coalesce("label", "class").alias("label")).repartition("gram")
-    by_label = marked.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("m"))
-    main = by_label.groupBy("gram").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    marked = marked.join(main.select("gram", "main"), "gram")
-    other = marked.where("label <> main").select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    all_ = marked.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = other.join(all_, "gram").where(apart & _sizes_fit(percent)).select("a", "na", "b", "nb").distinct()
-    links = links.unionByName(overlaps.links(rest))
-    discard(posts)
-    labels = connected_components(links)
-
-    named = classes.join(labels.withColumnRenamed("node", "class"), "class")
-    roots = named.groupBy("label").agg(F.min("id").alias("component"))
-    of_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").join(roots, "label", "left")
-    of_class = of_class.select("class", F.coalesce("component", "id").alias("component"))
-    out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = materialise(texts.mapInArrow(_first_pass(k, parts), FIRST_PASS.format(id=kind)), "first")
+    sent = first.where("part is not null").select("chunk", "grams", "keys", "marked", "part").repartitionById(parts, "part")
+    found = sent.select("chunk", "grams", "keys", "marked").mapInArrow(_shared_in_part, "key long, chunk long, shared long")
+    found = found.groupBy("key", "chunk").agg(F.sum("shared").alias("shared"))
+    rows = first.where("part is null").select("id", "row", "n", "key", "chunk", "alone")
+    alone = F.col("alone") - F.coalesce("shared", F.lit(0))
+    able = rows.where("chunk is not null").join(found, ["key", "chunk"], "left").where(alone <= F.col("n") - _least(F.col("n"), percent))
+    able = materialise(able.groupBy("key").agg(F.min("row").alias("row")).select("row"), "candidates")
+    known = materialise(rows.select("id", "n", "key"), "classes")
+    discard(first)
+
+    sets = restricted(texts, able, "row").select("text").mapInArrow(_sets(k), "key long, n long, grams array<long>")
+    sets = materialise(sets.dropDuplicates(["key"]), "sets")  # a row that is repeated brings its class again
+    join = _Join(sets, percent)
+    discard(sets, able)
+    labels = join.labels()
+
+    classes = known.where("key is not null").groupBy("key").agg(F.min("id").alias("least"))
+    classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    roots = classes.groupBy("label").agg(F.min("least").alias("component"))
+    out = known.join(classes.join(roots, "label").select("key", "component"), "key", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

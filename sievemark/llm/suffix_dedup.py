@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, small_batches
-from .textvec import Block, blocks, mix, span_hashes
+from .textvec import Block, blocks, mix, rolling_hashes, span_hashes
 
 PIECE = 32
 #: Minimizers with more distinct segments than this are dealt window by window.
@@ -56,8 +56,8 @@ def segments(block: Block, length: int) -> tuple[np.ndarray, ...]:
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
-    at = np.arange(len(data) - PIECE + 1, dtype=np.int64)
-    h = span_hashes(data, at, at + PIECE)
+    h = rolling_hashes(data, PIECE)
+    at = np.arange(len(h), dtype=np.int64)
     best = (h & _HIGH) | at.astype(np.uint64)
     width, wide = 1, length - PIECE + 1
     while width * 2 <= wide:

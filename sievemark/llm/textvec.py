@@ -18,6 +18,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
+#: Bytes of a span's last eight that belong to it, by their number.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Groups of eight bytes that are taken over all spans at once, and how many of the rest are held together.
+_LANES, _SLICE = 4, 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,6 +47,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+_SALTS = mix(np.arange(1, _LANES + 1, dtype=np.uint64))
+
+
 class Block:
     """Texts as one byte array: ``data``; text k is ``data[bounds[k]:bounds[k + 1]]``."""
 
@@ -77,13 +84,51 @@ class Block:
         return self.runs(~_SPACE[self.data])
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``data[start:end]``, equal for equal bytes wherever they lie."""
+def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit name of each ``data[i:i + width]``, from sums modulo 2**64.
+
+    Cheap at every position, but texts can be made whose names collide: good for dealing out, not for telling apart.
+    """
     up, down = _power(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_RANDOM[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    n = len(data) - width + 1
+    return mix((total[width:] - total[:n]) * down[:n])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``data[start:end]``, equal for equal bytes wherever they lie.
+
+    Every eight bytes are scrambled with a salt of their place in the span, and the scrambled values are added up. Long
+    spans are added slice by slice, so that memory follows the number of spans and not their length.
+    """
+    size = ends - starts
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+    lanes = (size + 7) >> 3
+
+    for j in range(_LANES):
+        at = np.flatnonzero(lanes > j)
+        if not len(at):
+            break
+        whole = len(at) == len(size)
+        begin, left = (starts, size) if whole else (starts[at], size[at])
+        value = mix((eights[begin + 8 * j] & _MASKS[np.minimum(left - 8 * j, 8)]) ^ _SALTS[j])
+        if whole:
+            out += value
+        else:
+            out[at] += value
+    long = np.flatnonzero(lanes > _LANES)
+    edge = np.concatenate(([0], np.cumsum(lanes[long] - _LANES)))
+    for a in range(0, int(edge[-1]), _SLICE):
+        number = np.arange(a, min(a + _SLICE, int(edge[-1])))
+        which = np.searchsorted(edge, number, "right") - 1
+        first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+        lane = number - edge[which] + _LANES
+        value = eights[starts[long[which]] + 8 * lane] & _MASKS[np.minimum(size[long[which]] - 8 * lane, 8)]
+        out[long[which[first]]] += np.add.reduceat(mix(value ^ mix(lane.astype(np.uint64) + np.uint64(1))), first)
+    return mix(out)
 
 
 def shingle_hashes(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
