@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm._common import SCRATCH, delete_path, scratch_path
+from sievemark.llm._common import delete_path, scratch_path, scratch_scope, write_parquet
 from sievemark.llm.decontaminate import decontaminate
 from sievemark.llm.mixing import mix
 from sievemark.llm.ngram_join import one_of_each
@@ -12,41 +16,51 @@ from sievemark.llm.quality import passing
 from sievemark.llm.queries import shard_rows
 from sievemark.llm.token_shards import write_shards
 
+#: Scratch tables of stages, by their run (or the folder of the input, where stages are called one by one) and place.
+_LEFT: dict[str, dict[int, list[str]]] = {}
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
 
-def _cleared(spark: SparkSession) -> None:
-    """Delete the scratch tables of earlier stages: a stage starts when the result of the one before has been written."""
-    for path in list(SCRATCH):
-        delete_path(spark, path)
+@contextmanager
+def _stage(spark: SparkSession, sf_dir: str, place: int) -> Iterator[None]:
+    """A stage starts when the result of the one before has been written, so the tables of those before it can go."""
+    left = _LEFT.setdefault(_RUN.get() or sf_dir, {})
+    for earlier in [p for p in left if p < place]:
+        for path in left.pop(earlier):
+            delete_path(spark, path)
+    with scratch_scope() as paths:
+        yield
+    left.setdefault(place, []).extend(paths)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
-    _cleared(spark)
-    return passing(docs)
+    with _stage(spark, sf_dir, 0):
+        return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
-    _cleared(spark)
-    return one_of_each(docs, k=5, percent=80)
+    with _stage(spark, sf_dir, 1):
+        return one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    _cleared(spark)
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, threshold=0.8)
+    with _stage(spark, sf_dir, 2):
+        return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, threshold=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in shares of their size to the power 0.7; those below their share are read again. Rows are in mixed order."""
-    _cleared(spark)
-    return mix(docs, alpha=0.7, repeat=True).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    with _stage(spark, sf_dir, 3):
+        return mix(docs, alpha=0.7, repeat=True).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order; one row per sequence, read back from them."""
-    _cleared(spark)
-    return shard_rows(spark, write_shards(docs))
+    with _stage(spark, sf_dir, 4):
+        return shard_rows(spark, write_shards(docs))
 
 
 STAGES = [
@@ -59,12 +73,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages; each run has folders of its own, and only what its result reads is left."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    outside = _RUN.set(scratch_path(spark, "run"))
+    try:
+        for name, stage in STAGES[:-1]:
+            written = scratch_path(spark, "stage")
+            docs = write_parquet(stage(spark, docs, sf_dir), written)
+            if before:
+                delete_path(spark, before)
+            before = written
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _RUN.reset(outside)
 
 
 QUERIES = {"pipeline": run}
