@@ -34,7 +34,7 @@ FRAGMENTS = 16
 FIRST = 5
 _LIMIT = np.uint64(FIRST << 60)
 #: N-grams of the first fragment that a task holds before it sends them on.
-TOGETHER = 1 << 20
+TOGETHER = 3 << 18
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +82,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-FIRST_PASS = "id {id}, row long, n long, key long, chunk long, alone long, part int, grams binary, keys binary, marked binary"
+FIRST_PASS = "id {id}, row long, n long, key long, chunk long, part int, grams binary, keys binary, marked binary"
 
 
-def _first_pass(k: int, parts: int):
-    """Rows of two kinds: one for each text, and the first fragment's n-grams, cut into ``parts`` ranges.
+def _first_pass(k: int, percent: int, parts: int):
+    """Rows of three kinds: one for each text; the first fragment's n-grams, cut into ``parts`` ranges; one for each chunk.
 
-    A chunk is what a task holds together. The first text of a class in a chunk has ``alone``, the number of its n-grams in
-    the fragment that no other class of the chunk has; those n-grams travel with their class (``grams``, ``keys``), the others
-    once each (``marked``).
+    A chunk is what a task holds together, and of a class it has the first text. N-grams of the fragment that only one class
+    of the chunk has travel with that class (``grams``, ``keys``), the others once each (``marked``). The chunk's own row,
+    part -1, has for each class the number of the former beyond what the threshold leaves room for, and the text.
     """
     edges = np.array([(FIRST << 60) * i // parts for i in range(1, parts)], np.uint64)
 
@@ -109,15 +109,13 @@ def _first_pass(k: int, parts: int):
         new[1:] = gram[1:] != gram[:-1]
         lone = new.copy()
         lone[:-1] &= new[1:]
-        alone = np.bincount(of[lone], minlength=len(keys))
-        nothing = pa.nulls(len(keys))
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids, pa.array(rows), pa.array(size.astype(np.int64)), pa.array(keys.view(np.int64), mask=size == 0),
-                pa.array(np.full(len(keys), chunk), mask=~first), pa.array(alone), nothing.cast(pa.int32()), *[nothing.cast(pa.binary())] * 3,
-            ],
-            names=[f.split()[0] for f in FIRST_PASS.split(", ")],
-        )
+        over = np.bincount(of[lone], minlength=len(keys)) - (size - (percent * size + 99) // 100)
+        nothing, number = pa.nulls(len(keys)), pa.nulls(1, pa.int64())
+        names = [f.split()[0] for f in FIRST_PASS.split(", ")]
+        sent = [nothing.cast(pa.int64()), nothing.cast(pa.int32()), *[nothing.cast(pa.binary())] * 3]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(rows), pa.array(size.astype(np.int64)), pa.array(keys.view(np.int64), mask=size == 0), *sent], names=names)
+        own = [pa.array([x[first].tobytes()]) for x in (over, keys, rows)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), *[number] * 3, pa.array([chunk]), pa.array([-1], pa.int32()), *own], names=names)
         marked, keys, gram = gram[new & ~lone], keys[of[lone]], gram[lone]
         cut, cut_marked = (np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in (gram, marked))
         used = [p for p in range(parts) if cut[p] < cut[p + 1] or cut_marked[p] < cut_marked[p + 1]]
@@ -126,11 +124,11 @@ def _first_pass(k: int, parts: int):
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.nulls(n, ids.type), none, none, none, pa.array(np.full(n, chunk)), none, pa.array(used, pa.int32()),
+                    pa.nulls(n, ids.type), none, none, none, pa.array(np.full(n, chunk)), pa.array(used, pa.int32()),
                     pa.array([_packed(gram[cut[p] : cut[p + 1]]) for p in used]), pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in used]),
                     pa.array([_packed(marked[cut_marked[p] : cut_marked[p + 1]]) for p in used]),
                 ],
-                names=[f.split()[0] for f in FIRST_PASS.split(", ")],
+                names=names,
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,17 +150,19 @@ def _first_pass(k: int, parts: int):
     return run
 
 
+ANSWERS = "chunk long, part int, grams binary, keys binary, marked binary"
+
+
 def _shared_in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(key, chunk, shared)``: how many of a class's n-grams in a range, sent from a chunk, another class has as well."""
+    """For each chunk that sent n-grams of a range: classes (``keys``), and how many of these (``grams``) others have as well."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    chunks, grams, keys, marked = ([x for b in got for x in b.column(i).to_pylist()] for i in range(4))
+    chunks, parts, grams, keys, marked = ([x for b in got for x in b.column(i).to_pylist()] for i in range(5))
     grams = [_unpacked(x) for x in grams]
     chunk = np.repeat(np.array(chunks, np.int64), [len(x) for x in grams])
     gram, key = np.concatenate(grams), np.concatenate([np.frombuffer(x, np.uint64) for x in keys])
     known = np.unique(np.concatenate([_unpacked(x) for x in marked]))
-    del got, grams, keys, marked
     if not len(gram):
         return
     order = np.argsort(gram, kind="stable")
@@ -175,11 +175,35 @@ def _shared_in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     key, chunk = key[each], chunk[each]
     if not len(key):
         return
-    order = np.lexsort((chunk, key))
+    order = np.lexsort((key, chunk))
     key, chunk = key[order], chunk[order]
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
     n = np.diff(np.concatenate((first, [len(key)])))
-    yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(chunk[first]), pa.array(n)], names=["key", "chunk", "shared"])
+    key, chunk = key[first], chunk[first]
+    cut = np.concatenate(([0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]))
+    runs = list(zip(cut[:-1], cut[1:]))
+    none = pa.nulls(len(runs)).cast(pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(chunk[cut[:-1]]), pa.array([parts[0]] * len(runs), pa.int32()), pa.array([n[a:b].astype(np.int64).tobytes() for a, b in runs]),
+            pa.array([key[a:b].tobytes() for a, b in runs]), none,
+        ],
+        names=[f.split()[0] for f in ANSWERS.split(", ")],
+    )
+
+
+def _able(chunk: pa.Table) -> pa.Table:
+    """``(key, row)`` of the classes of a chunk that may have links, from its own row and the answers of all ranges."""
+    parts = chunk.column("part").to_pylist()
+    numbers = lambda name, i, kind: np.frombuffer(chunk.column(name)[i].as_py(), kind)
+    own = parts.index(-1)
+    keys, rows, over = numbers("keys", own, np.uint64), numbers("marked", own, np.int64), numbers("grams", own, np.int64).copy()
+    order = np.argsort(keys)
+    for i in (i for i, p in enumerate(parts) if p >= 0):
+        at = order[np.searchsorted(keys, numbers("keys", i, np.uint64), sorter=order)]
+        over[at] -= numbers("grams", i, np.int64)
+    may = over <= 0
+    return pa.table({"key": keys[may].view(np.int64), "row": rows[may]})
 
 
 def _sets(k: int):
@@ -292,14 +316,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = materialise(texts.mapInArrow(_first_pass(k, parts), FIRST_PASS.format(id=kind)), "first")
-    sent = first.where("part is not null").select("chunk", "grams", "keys", "marked", "part").repartitionById(parts, "part")
-    found = sent.select("chunk", "grams", "keys", "marked").mapInArrow(_shared_in_part, "key long, chunk long, shared long")
-    found = found.groupBy("key", "chunk").agg(F.sum("shared").alias("shared"))
-    rows = first.where("part is null").select("id", "row", "n", "key", "chunk", "alone")
-    alone = F.col("alone") - F.coalesce("shared", F.lit(0))
-    able = rows.where("chunk is not null").join(found, ["key", "chunk"], "left").where(alone <= F.col("n") - _least(F.col("n"), percent))
+    first = materialise(texts.mapInArrow(_first_pass(k, percent, parts), FIRST_PASS.format(id=kind)), "first")
+    sent = first.where("part is not null").select(*(f.split()[0] for f in ANSWERS.split(", ")))
+    answers = sent.where("part >= 0").repartitionById(parts, "part").mapInArrow(_shared_in_part, ANSWERS)
+    able = sent.where("part < 0").unionByName(answers).groupBy("chunk").applyInArrow(_able, "key long, row long")
     able = materialise(able.groupBy("key").agg(F.min("row").alias("row")).select("row"), "candidates")
+    rows = first.where("part is null")
     known = materialise(rows.select("id", "n", "key"), "classes")
     discard(first)
 
