@@ -6,15 +6,16 @@ slot, so that slots are a permutation of 0..n-1 that anyone with the key can com
 s * per_shard on, in order: sequence ``slot`` lies at byte ``(slot % per_shard) * stride`` of shard ``slot // per_shard``,
 so a reader goes through files in sequence and can resume at any step.
 
-Ids are 16-bit little-endian. Spark's text writer writes the shards, with a newline after each record (``stride`` is
-``2 * length + 1``): any file system that Spark can write will do, and a lost task's shards are written anew.
+Ids are 16-bit little-endian. Spark's text writer writes the shards, with two newlines after each record, so that a shard is
+rows of ``length + 1`` 16-bit numbers: any file system that Spark can write will do, and a lost task's shards are written
+anew. Tasks write whole ranges of shards, in order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, scratch_path, small_batches
+from ._common import delete_path, discard, materialise, scratch_path, session_settings, small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that goes with the vocabulary.
@@ -73,20 +74,54 @@ class Feistel:
         return self._walk(slot, range(self.rounds - 1, -1, -1))
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """The vocabulary: one base64 token and its rank per line. Its size is fixed (some 50,000 entries)."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary, read by the driver: one base64 token and its rank per line. Its size is fixed (some 50,000 entries)."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Texts are encoded in parts of about so many characters.
+PART = 100_000
+
+
+def encoder(ranks: dict[bytes, int]) -> Callable[[str], np.ndarray]:
+    """Ids of a text of any length.
+
+    No match of the pattern goes from a letter, digit or mark on to a blank or newline, so a text can be cut there without
+    changing its ids. A run without such a place that is longer than ``2 * PART`` is too deep for the tokenizer's own
+    matcher; its pre-tokens are found by another one and merged one by one.
+    """
+    import regex
+    import tiktoken
+
+    whole = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    single = whole._core_bpe.encode_single_piece
+    cut = regex.compile(r"(?<=[!-~\p{L}\p{N}])[ \n]")
+    pieces = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) <= 2 * PART:
+            return np.array(whole.encode_ordinary(text), np.uint16)
+        out, at = [], 0
+        while at < len(text):
+            found = cut.search(text, at + PART) if len(text) - at > 2 * PART else None
+            end = found.start() if found else len(text)
+            if end - at <= 2 * PART:
+                out.append(np.array(whole.encode_ordinary(text[at:end]), np.uint16))
+            else:
+                out += [np.array(single(m[0].encode()), np.uint16) for m in pieces.finditer(text[at:end])]
+            at = end
+        return np.concatenate(out)
+
+    return encode
+
+
 SEQUENCES = "part int, number long, n_tokens long, n_docs long, first_id {id}, ids binary"
 
 
 def _pack(ranks, length: int, id_type: pa.DataType):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encode = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        encode = encoder(ranks.value)
         part, number, n_docs, first = TaskContext.get().partitionId(), 0, 0, None
         open_ids, n_open, rows = [], 0, []
 
@@ -97,7 +132,7 @@ def _pack(ranks, length: int, id_type: pa.DataType):
 
         for got in batches:
             for doc, text in zip(got.column(0).to_pylist(), got.column(1)):
-                ids = np.array(encode(text.as_py() or "") + [END], np.uint16)
+                ids = np.append(encode(text.as_py() or ""), np.uint16(END))
                 first = doc if not n_docs else first
                 n_docs += 1
                 while n_open + len(ids) >= length:
@@ -152,17 +187,19 @@ class Shards:
 
     @property
     def stride(self) -> int:
-        return 2 * self.length + 1
+        return 2 * self.length + 2
 
-    def records(self, spark: SparkSession) -> DataFrame:
-        """``(slot, shard, at, ids)`` read back from the files; ``at`` is the record's first byte in its shard."""
-        files = spark.read.format("binaryFile").load(f"{self.path}/shard=*").select(
-            F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content"
-        )
+    def records(self, spark: SparkSession, start: int = 0) -> DataFrame:
+        """``(slot, shard, at, ids)`` read back from the files, from slot ``start`` on; ``at`` is the record's first byte in
+        its shard. Shards before that slot are not opened, so a run that stopped goes on where it was."""  # noqa: D209
+        files = spark.read.format("binaryFile").option("basePath", self.path).load(self.path)
+        files = files.where(F.col("shard") >= start // self.per_shard).select(F.col("shard").cast("long").alias("shard"), "content")
         # the file is cut in the projection over the row numbers: inside a lambda each record would copy the whole file
         rows = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.octet_length("content") / self.stride).cast("int") - 1)).alias("row"))
-        rows = rows.select("shard", "row", F.substr("content", F.col("row") * self.stride + 1, F.lit(2 * self.length)).alias("ids"))
-        return rows.select((F.col("shard") * self.per_shard + F.col("row")).alias("slot"), "shard", (F.col("row") * self.stride).cast("long").alias("at"), "ids")
+        slot = F.col("shard") * self.per_shard + F.col("row")
+        rows = rows.where(slot >= start)
+        ids = F.substr("content", F.col("row") * self.stride + 1, F.lit(2 * self.length))
+        return rows.select(slot.alias("slot"), "shard", (F.col("row") * self.stride).cast("long").alias("at"), ids.alias("ids"))
 
 
 def write_shards(
@@ -178,7 +215,7 @@ def write_shards(
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
-    ranks = spark.sparkContext.broadcast(read_ranks(spark, tokenizer))
+    ranks = spark.sparkContext.broadcast(read_ranks(tokenizer))
     from pyspark.sql.pandas.types import to_arrow_type
 
     packed = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_pack(ranks, length, to_arrow_type(id_type)), SEQUENCES.format(id=id_type.simpleString()))
@@ -195,13 +232,21 @@ def write_shards(
 
     path = path or scratch_path(spark, "shards")
     placed = numbered.select("number", "ids").mapInArrow(_placed(permutation), "slot long, packed binary")
-    dealt = placed.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("shard", "slot")
+    shards = max(1, -(-total // per_shard))
+    ranges = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
+    dealt = placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
     records = dealt.select("shard", "packed").mapInArrow(_opened, "shard long, ids binary")
-    records.select("shard", F.col("ids").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("shard").text(path)
+    lines = records.select("shard", F.concat("ids", F.lit(b"\n")).cast("string").alias("value"))
+    with session_settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        lines.write.option("lineSep", "\n").partitionBy("shard").text(path)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(permutation.slot(b.column(0).to_numpy())), *b.columns[1:]], names=["slot", *b.schema.names[1:]])
 
     index = numbered.select("number", "n_tokens", "n_docs", "first_id").mapInArrow(slots, f"slot long, n_tokens long, n_docs long, first_id {id_type.simpleString()}")
+    index = materialise(index, "sequence-index")
+    delete_path(spark, folder)
+    discard(parts)
     return Shards(path, length, per_shard, index)

@@ -160,7 +160,7 @@ def test_token_shards(spark, sf, docs):
     for s in order:
         raw = bytes(got[s].ids)
         ids += [int.from_bytes(raw[i : i + 2], "little") for i in range(0, 2 * index[s].n_tokens, 2)]
-    encode = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=read_ranks(spark, TOKENIZER), special_tokens={})
+    encode = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=read_ranks(TOKENIZER), special_tokens={})
     texts, own = [], []
     for x in ids:
         if x == END:
