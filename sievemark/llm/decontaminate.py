@@ -5,7 +5,8 @@ partitioned by their number of shingles into classes [B, 2B), and for each class
 blocks of B shingles, one window from every block on: an item that occurs in one piece lies within some window, of at most
 three times its size, and shares a MinHash value with it almost surely (48 permutations: an exact copy is missed with
 probability (2/3)^48). A pair that shares a value is then verified by exact containment of the item's shingles in the whole
-document. Items of fewer than eight shingles are searched by each of their shingles, with no chance of a miss.
+document. Items of fewer than eight shingles are searched by each of their shingles, with no chance of a miss, and items of
+fewer words than a shingle has as one sequence.
 
 Documents are scanned in place: no text is shuffled. What goes to the tasks is the index of a chunk of items, whose size is
 bounded by ``chunk_chars``; more items make more chunks, and each chunk is a scan.
@@ -37,11 +38,10 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 
 
-def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``k`` words (letters and digits, A-Z lower-cased) and their texts."""
+def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (letters and digits, A-Z lower-cased) and their texts."""
     starts, ends, text = block.runs(_ALNUM[block.data])
-    h, at = shingle_hashes(span_hashes(LOWER[block.data], starts, ends), text, k)
-    return h, text[at]
+    return span_hashes(LOWER[block.data], starts, ends), text
 
 
 def _keys(minima: np.ndarray, j: int) -> np.ndarray:
@@ -50,39 +50,59 @@ def _keys(minima: np.ndarray, j: int) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """The items of a chunk: their shingles, and for each class the sorted MinHash keys with their items."""
+    """The items of a chunk: their shingles, one after the other, and for each class the sorted MinHash keys with their items.
+
+    ``brief`` has, for each number of words below ``k``, the items of so many words as (hash, item).
+    """
 
     ids: list
-    sets: list[np.ndarray]
+    shingles: np.ndarray
+    edges: np.ndarray
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     short: tuple[np.ndarray, np.ndarray]
+    brief: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list, texts: pa.Array, k: int) -> ItemIndex:
         block = Block(texts)
-        h, text = shingles(block, k)
-        sets = [np.unique(h[text == i]) for i in range(block.n)]
-        keyed: dict[int, list] = {}
-        short: list = []
-        for i, s in enumerate(sets):
-            if 0 < len(s) < SHORT:
-                short += [(x, i) for x in s]
-            elif len(s):
-                for j in range(PERMUTATIONS):
-                    key = _keys((s * _FACTORS[j]).min(keepdims=True), j)[0]
-                    keyed.setdefault(1 << (len(s).bit_length() - 1), []).append((key, i))
-        return cls(ids, sets, {size: (*cls._sorted(x), cls._filter(x)) for size, x in sorted(keyed.items())}, cls._sorted(short))
+        words, of_word = word_hashes(block)
+        h, at = shingle_hashes(words, of_word, k)
+        text = of_word[at]
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        h, text = h[fresh], text[fresh]
+        size = np.bincount(text, minlength=block.n)
+        edges = np.concatenate(([0], np.cumsum(size)))
+        few = size[text] < SHORT
+        classes: dict = {}
+        long = np.flatnonzero(size >= SHORT)
+        if len(long):
+            own, begins = h[~few], np.concatenate(([0], np.cumsum(size[long])[:-1]))
+            keys = np.stack([_keys(np.minimum.reduceat(own * _FACTORS[j], begins), j) for j in range(PERMUTATIONS)])
+            base = 1 << np.floor(np.log2(size[long])).astype(np.int64)
+            for b in np.unique(base):
+                mine = base == b
+                found = keys[:, mine].ravel(), np.tile(long[mine], PERMUTATIONS)
+                classes[int(b)] = (*cls._sorted(*found), cls._filter(found[0]))
+        n_words, brief = np.bincount(of_word, minlength=block.n), {}
+        for n in range(1, k):
+            g, at = shingle_hashes(words, of_word, n)
+            whole = n_words[of_word[at]] == n
+            if whole.any():
+                brief[n] = cls._sorted(g[whole], of_word[at][whole])
+        return cls(ids, h, edges, classes, cls._sorted(h[few], text[few]), brief)
 
     @staticmethod
-    def _sorted(pairs: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, items = np.array([k for k, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+    def _sorted(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
         return keys[order], items[order]
 
     @staticmethod
-    def _filter(pairs: list) -> np.ndarray:
+    def _filter(keys: np.ndarray) -> np.ndarray:
         bits = np.zeros(1 << 20, bool)
-        bits[(np.array([k for k, _ in pairs], np.uint64) >> _BITS).astype(np.int64)] = True
+        bits[(keys >> _BITS).astype(np.int64)] = True
         return bits
 
     def candidates(self, h: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -126,12 +146,17 @@ def _matches(values: np.ndarray, text: np.ndarray, keys: np.ndarray, items: np.n
 def _search(index: ItemIndex, k: int, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batches, "text"):
-            h, text = shingles(block, k)
+            words, of_word = word_hashes(block)
+            h, at = shingle_hashes(words, of_word, k)
+            text = of_word[at]
             rows, kept = [], None
+            for n, brief in index.brief.items():
+                g, at = shingle_hashes(words, of_word, n)
+                rows += [(int(t), index.ids[i], 1, 1) for t, i in _matches(g, of_word[at], *brief)]
             for t, i in index.candidates(h, text):
                 if kept is None or kept[0] != t:
                     kept = (t, np.unique(h[np.searchsorted(text, t) : np.searchsorted(text, t, "right")]))
-                wanted = index.sets[i]
+                wanted = index.shingles[index.edges[i] : index.edges[i + 1]]
                 at = np.minimum(np.searchsorted(kept[1], wanted), len(kept[1]) - 1)
                 n = int((kept[1][at] == wanted).sum())
                 if n >= threshold * len(wanted) - 1e-9:
@@ -152,8 +177,8 @@ def contained_items(
 ) -> DataFrame:
     """Rows ``(id, item_id, n_shingles, n_found)``: an item of which ``threshold`` of the shingles are in the document.
 
-    Null or empty texts, on either side, have no shingles and match nothing; so do items of fewer than ``k`` words. Null
-    ids are returned as null. Repeated documents and repeated items each give their rows. Other columns are ignored,
+    Null or empty texts, on either side, have no shingles and match nothing. An item of fewer than ``k`` words is one shingle,
+    the sequence of them. Null ids are returned as null. Repeated documents and repeated items each give their rows. Other columns are ignored,
     whatever their names; an empty table on either side gives an empty result. Long texts are searched whole.
     """
     small_batches(docs.sparkSession)
@@ -166,7 +191,7 @@ def contained_items(
     out = spark.createDataFrame([], schema)
     for c in range(chunks):
         chunk = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == c).toArrow()
-        if chunk.num_rows:
+        if chunk.num_rows:  # at most some chunk_chars of text
             index = ItemIndex.of(chunk.column("item").to_pylist(), chunk.column("text").combine_chunks(), k)
             out = out.unionByName(texts.mapInArrow(_search(index, k, threshold), schema))
     return out
