@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import rounded, same_salary, same_set, text_set, title_key
+from ..sources.records import one_of_each_key
+from . import curate, scoring
 
 BUCKETS = ("all_agree", "platform_gap_caught", "llm_error", "all_differ")
 
@@ -21,8 +23,10 @@ def field_equal(a: str, b: str, field: str, tolerance: float = 0.05) -> Column:
 
 
 def pairs(a: DataFrame, b: DataFrame, id_col: str = "offer_id") -> DataFrame:
-    """Both sources' labels ``(id, a, b)`` where both have the id; ``label`` holds the fields."""
-    return a.select(id_col, F.col("label").alias("a")).join(b.select(id_col, F.col("label").alias("b")), id_col)
+    """Both sources' labels ``(id, a, b)`` where both have the id; ``label`` holds the fields. Of repeated ids the last by
+    ``pos`` counts; without a ``pos`` they are an error."""  # noqa: D205
+    one, other = one_of_each_key(a, id_col), one_of_each_key(b, id_col)
+    return one.select(id_col, F.col("label").alias("a")).join(other.select(id_col, F.col("label").alias("b")), id_col)
 
 
 def disagreements(matched: DataFrame, fields: Sequence[str] = vocab.LABEL_FIELDS, tolerance: float = 0.05) -> DataFrame:
@@ -63,6 +67,7 @@ def cohen_kappa(rows: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def triangulate(human: DataFrame, llm: DataFrame, platform: DataFrame, fields: Sequence[str] = vocab.LABEL_FIELDS, tolerance: float = 0.05, id_col: str = "offer_id") -> DataFrame:
     """Counts by field and bucket over the human labels, and their totals; every cell has its row."""
+    human, llm, platform = (one_of_each_key(x, id_col) for x in (human, llm, platform))
     rows = human.select(id_col, F.col("label").alias("h"))
     rows = rows.join(llm.select(id_col, F.col("label").alias("l")), id_col, "left").join(platform.select(id_col, F.col("label").alias("p")), id_col, "left")
 
@@ -75,3 +80,64 @@ def triangulate(human: DataFrame, llm: DataFrame, platform: DataFrame, fields: S
     grid = human.sparkSession.createDataFrame([(f, b) for f in fields for b in BUCKETS], "field string, bucket string")
     cells = grid.join(counted, ["field", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return cells.unionByName(cells.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("field", F.lit("total")))
+
+
+def platform_leg(records: DataFrame, id_col: str = "offer_id") -> DataFrame:
+    """Labels of the records themselves."""
+    return records.select(id_col, F.col("gold").alias("label"))
+
+
+def llm_leg(proposals: DataFrame, id_col: str = "offer_id") -> DataFrame:
+    """Labels of a model's proposals; without a ``valid`` they are not, and an unparsed one has no fields."""
+    return proposals.select(id_col, F.coalesce("valid", F.lit(False)).alias("valid"), F.col("parsed").alias("label"))
+
+
+def human_leg(rows: DataFrame, aliases: DataFrame, id_col: str = "offer_id") -> DataFrame:
+    """Labels by hand, in ``human_gold`` or in columns of their own where that is null; only technologies are made canonical.
+
+    Blank technologies go, repeated ones stay; closed vocabularies are taken as written.
+    """
+    fields = ("title", *vocab.SET_FIELDS, "contract_types", "salary")
+    flat = rows.select(id_col, *(F.coalesce(F.col(f"human_gold.{f}"), F.col(f)).alias(f) for f in fields))
+    flat = curate.normalise_lists(flat, ("tech_expected", "tech_optional"), aliases, id_col, distinct=False)
+    return flat.select(id_col, F.struct(*fields).alias("label"))
+
+
+def checked_human_gold(rows: DataFrame, id_col: str = "offer_id") -> DataFrame:
+    """``rows``, whose ``human_gold`` must keep to the closed vocabularies; a row that does not fails the job by name.
+
+    Rows that are not labelled yet (null) are left alone.
+    """
+    g = F.col("human_gold")
+    within = lambda x, allowed: F.forall(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.coalesce(v.isin(*allowed), F.lit(False)))
+    kind = g["salary"]["kind"]
+    good = within(g["seniority"], vocab.SENIORITY_LEVELS) & within(g["work_mode"], vocab.WORK_MODES) & (kind.isNull() | kind.isin(*vocab.SALARY_KINDS))
+    message = F.concat(F.lit("human_gold row "), F.col(id_col).cast("string"), F.lit(" does not fit the schema"))
+    return rows.where(F.when(g.isNull() | good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def pairwise(a: DataFrame, b: DataFrame, tolerance: float = 0.05, id_col: str = "offer_id") -> DataFrame:
+    """Agreement of a proposed source ``a`` with ``b`` as rows ``(field, metric, value)``.
+
+    Over the ids of both: their number, validity of ``a`` (true where it has none), titles, agreement, F1 and exact match of
+    each set field, kappa of the two closed ones, and salaries.
+    """
+    side = a if "valid" in a.columns else a.withColumn("valid", F.lit(True))
+    side = one_of_each_key(side.withColumn("valid", F.coalesce("valid", F.lit(True))), id_col)
+    both = pairs(a, b, id_col).join(side.select(id_col, "valid"), id_col)
+    rows = both.select(F.lit("").alias("variant"), id_col, "valid", F.col("a").alias("parsed"), F.col("b").alias("gold"))
+    n = rows.count()
+
+    def long(frame: DataFrame, field: Column, *metrics: tuple[str, str]) -> DataFrame:
+        spread = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in metrics)))
+        return frame.select(field.alias("field"), spread.alias("x")).select("field", "x.metric", "x.value")
+
+    totals = scoring.totals(rows, n)
+    out = long(totals, F.lit("all"), ("n", "n"), ("json_validity", "json_validity")).unionByName(long(totals, F.lit("title"), ("exact", "title_exact")))
+    out = out.unionByName(long(raw_agreement(both, ("title", *vocab.SET_FIELDS), tolerance), F.col("field"), ("agreement", "agreement")))
+    out = out.unionByName(long(scoring.set_scores(rows), F.col("field"), ("f1", "f1"), ("exact", "exact")))
+    for f in ("seniority", "work_mode"):
+        kappa = cohen_kappa(both.select(category(F.col(f"a.{f}")).alias("a"), category(F.col(f"b.{f}")).alias("b")))
+        out = out.unionByName(long(kappa.select(rounded(F.col("kappa")).alias("kappa")), F.lit(f), ("kappa", "kappa")))
+    salary = scoring.salary_scores(rows, tolerance)
+    return out.unionByName(long(salary, F.lit("salary"), *((m, m) for m in ("salary_support", "detection", "currency", "kind", "amounts"))))

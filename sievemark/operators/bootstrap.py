@@ -105,3 +105,27 @@ def paired_differences(metrics: DataFrame, reference: str, ci: float = 95.0) ->
         rounded(F.avg((F.col("d") == 0).cast("double"))).alias("share_same"),
     )
     return out.withColumn("separated", F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False)))
+
+
+def separation(metrics: DataFrame, points: DataFrame, ci: float = 95.0) -> DataFrame:
+    """Differences of the other variants to the best one, by variant and metric.
+
+    ``points (variant, pos, headline_f1, validity, coverage)`` has what was observed. The best has the largest F1, the
+    first by ``pos`` on ties; without any F1 there are no rows. Two variants are comparable if both answer every record, and
+    separated if they are and the interval leaves out 0. ``sign_agreement`` is the share of resamples on the observed side
+    of 0; where 0 was observed, of those that are 0 too.
+    """
+    best = points.where("headline_f1 is not null").orderBy(F.desc("headline_f1"), "pos").limit(1).collect()
+    reference = best[0]["variant"] if best else None
+    found = paired_differences(metrics, reference, ci)
+    spread = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("point")) for m in ("headline_f1", "validity"))))
+    own = points.select("variant", "coverage", spread.alias("x")).select("variant", "coverage", "x.*")
+    base = own.where(F.col("variant") == F.lit(reference)).select("metric", F.col("point").alias("r_point"), F.col("coverage").alias("r_coverage"))
+    found = found.join(own, ["variant", "metric"]).join(F.broadcast(base), "metric")  # two rows
+    observed = F.round(F.col("point") - F.col("r_point"), 12)
+    sign = F.when(observed > 0, F.col("share_above")).when(observed < 0, F.col("share_below")).otherwise(F.col("share_same"))
+    comparable = (F.col("coverage") >= 1) & (F.col("r_coverage") >= 1)
+    return found.select(
+        F.lit(reference).alias("reference"), "variant", "metric", rounded(observed).alias("observed"), "low", "high",
+        F.coalesce(sign, F.lit(0.0)).alias("sign_agreement"), comparable.alias("comparable"), (comparable & F.col("separated")).alias("separated"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -93,52 +93,86 @@ def usable(examples: DataFrame, min_prose_chars: int) -> DataFrame:
 def dedupe(rows: DataFrame, keys: tuple[str, str], pos: str = "pos") -> DataFrame:
     """First come, first kept on two keys: a row goes if a kept row before it has its first or its second key.
 
-    Dropped rows do not mark their keys. In each round the rows that come first under both their keys are kept, and all
-    that share a key with them go; what is left is decided in the next. Rounds cut their lineage with a table. The number
-    of rounds is the length of the longest chain of rows that alternate keys.
+    Dropped rows do not mark their keys. Rows whose keys no other row has are settled at once. Of the others, in each round
+    those that come first under both their keys are kept, and all that share a key with them go; what is left is decided in
+    the next. Least positions are combined on the map side, so a key of very many rows costs no more than any. The number of
+    rounds is the length of the longest chain of rows that alternate keys. Null keys are equal.
     """
-    left = materialise(rows.select(pos, *keys), "dedupe")
-    kept = None
-    while not left.isEmpty():
-        first = left
+
+    def compared(frame: DataFrame) -> DataFrame:
         for k in keys:
-            first = first.withColumn(f"__{k}", F.min(pos).over(Window.partitionBy(k)))
-        now = materialise(first.where((F.col(f"__{keys[0]}") == F.col(pos)) & (F.col(f"__{keys[1]}") == F.col(pos))).select(pos, *keys), "dedupe")
-        kept = now if kept is None else kept.unionByName(now)
+            least = frame.groupBy(F.col(k).alias("__k")).agg(F.min(pos).alias(f"__first_{k}"), F.count(F.lit(1)).alias(f"__n_{k}"))
+            frame = frame.join(least, F.col(k).eqNullSafe(F.col("__k"))).drop("__k")
+        return materialise(frame, "dedupe")
+
+    a, b = keys
+    marked = compared(rows.select(pos, *keys))
+    kept = marked.where((F.col(f"__n_{a}") == 1) & (F.col(f"__n_{b}") == 1)).select(pos)
+    marked = marked.where((F.col(f"__n_{a}") > 1) | (F.col(f"__n_{b}") > 1))
+    first = (F.col(f"__first_{a}") == F.col(pos)) & (F.col(f"__first_{b}") == F.col(pos))
+    while not marked.isEmpty():
+        now = marked.where(first).select(pos, *keys)
+        kept, left = kept.unionByName(now.select(pos)), marked.select(pos, *keys)
         for k in keys:
-            left = left.join(now.select(k).distinct(), k, "left_anti")
-        left = materialise(left.select(pos, *keys), "dedupe")
-    return rows.limit(0) if kept is None else rows.join(kept.select(pos), pos, "left_semi")
+            left = left.join(now.select(F.col(k).alias("__k")).distinct(), F.col(k).eqNullSafe(F.col("__k")), "left_anti")
+        marked = compared(left)
+    return rows.join(kept, pos, "left_semi")
 
 
 def build_dataset(examples: DataFrame, min_prose_chars: int) -> tuple[DataFrame, DataFrame]:
     """Records, and one row of counts: collected, passed, dropped by the filter, dropped as duplicates, records."""
     marked = usable(examples, min_prose_chars)
-    records = materialise(dedupe(marked.where("passed").withColumn("prose_key", prose_key(F.col("prose"))), ("offer_id", "prose_key")), "records")
+    records = dedupe(marked.where("passed").withColumn("prose_key", prose_key(F.col("prose"))), ("offer_id", "prose_key"))
     stats = marked.agg(F.count(F.lit(1)).alias("collected"), F.count_if("passed").alias("passed")).crossJoin(records.agg(F.count(F.lit(1)).alias("records")))
     stats = stats.select("collected", "passed", (F.col("collected") - F.col("passed")).alias("dropped"), (F.col("passed") - F.col("records")).alias("duplicates"), "records")
     return records.drop("passed", "prose_key"), stats
 
 
-def temporal_split(records: DataFrame, test_fraction: float, date: str = "pub_date", id_col: str = "offer_id") -> DataFrame:
-    """Adds ``split``: the newest rows are ``test``, half-even rounded, at least one and not all; fewer than two rows are all train.
+def collection_stats(pages: DataFrame, html: str = "html") -> DataFrame:
+    """One row of counts by what became of a page, and a line that says so: not fetched (no html), not usable, usable."""
+    found = parse_pages(pages.withColumn("url", F.lit("")), html).agg(F.count(F.lit(1)).alias("usable"))
+    counts = pages.agg(F.count(F.lit(1)).alias("requested"), F.count_if(F.col(html).isNull()).alias("fetch_failed")).crossJoin(found)  # one row each
+    unusable = F.col("requested") - F.col("fetch_failed") - F.col("usable")
+    line = F.format_string("requested %d: fetch_failed %d, unusable_page %d, usable %d", "requested", "fetch_failed", unusable, "usable")
+    return counts.select("requested", "fetch_failed", unusable.alias("unusable_page"), "usable", line.alias("line"))
+
+
+def newest(rows: DataFrame, order: Column, n: int) -> Column:
+    """Whether a row is among the ``n`` largest by ``order``, a struct that no two rows share.
 
-    The test rows are a top-n by date and id, so the whole table is never put in order.
+    Only ``order`` is put in order, in ranges over all tasks; counts of the ranges tell where the n-th row lies, and it alone
+    comes to the driver.
     """
+    if n <= 0:
+        return F.lit(False)
+    keys = rows.select(order.alias("o")).repartitionByRange(F.desc("o")).sortWithinPartitions(F.desc("o"))
+    keys = materialise(keys.withColumn("at", F.monotonically_increasing_id()), "order")
+    before = 0
+    for part, size in sorted(map(tuple, keys.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1))).collect())):
+        if before + size >= n:
+            break
+        before += size
+    last = keys.where(F.col("at") == (part << 33) + n - before - 1).select("o.*").first()
+    kinds = keys.schema["o"].dataType
+    return order >= F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, kinds)))
+
+
+def temporal_split(records: DataFrame, test_fraction: float, date: str = "pub_date", id_col: str = "offer_id") -> DataFrame:
+    """Adds ``split``: the newest rows are ``test``, half-even rounded, at least one and not all; fewer than two rows are all train."""
     if not 0 < test_fraction < 1:
         raise ValueError("test_fraction must lie between 0 and 1")
     n = records.count()
     n_test = min(max(1, round(n * test_fraction)), n - 1) if n >= 2 else 0
-    newest = records.select(id_col, date).orderBy(F.desc(date), F.desc(id_col)).limit(n_test).select(id_col).withColumn("__test", F.lit("test"))
-    return records.join(newest, id_col, "left").withColumn("split", F.coalesce("__test", F.lit("train"))).drop("__test")
+    late = newest(records, F.struct(F.col(date).alias("date"), F.col(id_col).alias("id")), n_test)
+    return records.withColumn("split", F.when(late, "test").otherwise("train"))
 
 
 def dev_split(records: DataFrame, dev_fraction: float, date: str = "pub_date", pos: str = "pos") -> DataFrame:
     """Adds ``split``: the newest rows are ``dev``; missing dates are oldest, ties keep their order; one row stays in train."""
     n = records.count()
     n_dev = min(max(1, round(n * dev_fraction)), n - 1) if n >= 2 else 0
-    newest = records.select(pos, date).orderBy(F.desc_nulls_last(date), F.desc(pos)).limit(n_dev).select(pos).withColumn("__dev", F.lit("dev"))
-    return records.join(newest, pos, "left").withColumn("split", F.coalesce("__dev", F.lit("train"))).drop("__dev")
+    late = newest(records, F.struct(F.col(date).alias("date"), F.col(pos).alias("pos")), n_dev)
+    return records.withColumn("split", F.when(late, "dev").otherwise("train"))
 
 
 def shots_split(rows: DataFrame, n: int, pos: str = "pos") -> DataFrame:

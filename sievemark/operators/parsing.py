@@ -42,7 +42,7 @@ def _text(value: Any) -> str | None:
 def _amount(value: Any) -> float | None:
     try:
         return None if value is None else float(value)
-    except (TypeError, ValueError) as e:
+    except (TypeError, ValueError, OverflowError) as e:
         raise _Invalid("number expected") from e
 
 
@@ -65,11 +65,12 @@ def _posting(found: dict, terms: dict[str, str]) -> dict:
     if salary is not None:
         if not isinstance(salary, dict) or set(salary) - _SALARY_KEYS:
             raise _Invalid("salary")
-        if salary.get("kind") not in (None, *vocab.SALARY_KINDS):
+        if not isinstance(salary.get("kind"), str | None) or salary.get("kind") not in (None, *vocab.SALARY_KINDS):
             raise _Invalid("kind")
-        code = _text(salary.get("currency"))
+        code = salary.get("currency")
+        code = code.strip() if isinstance(code, str) else ""
         salary = {
-            "kind": salary.get("kind"), "currency": code and vocab.CURRENCY.get(code.strip().lower(), code.strip().upper()),
+            "kind": salary.get("kind"), "currency": vocab.CURRENCY.get(code.lower(), code.upper()) or None,
             "amount_from": _amount(salary.get("amount_from")), "amount_to": _amount(salary.get("amount_to")), "period": _text(salary.get("period")),
         }
     out["salary"] = salary
@@ -85,7 +86,7 @@ def parse_one(raw: str | None, terms: dict[str, str]) -> tuple[dict | None, str
         return None, "no_json_object"
     try:
         found, _ = json.JSONDecoder().raw_decode(raw, start)
-    except (json.JSONDecodeError, RecursionError):
+    except (ValueError, RecursionError):  # also integers of more digits than Python reads
         return None, "json_decode_error"
     try:
         return _posting(found, terms), None

@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.columns import amounts_within, rounded, same_set, text_set, title_key
-from ..sources.records import last_wins
+from ..sources.records import one_of_each_key
 
 
 def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id") -> DataFrame:
-    """``preds (variant, id, valid, parsed, ...)`` with their gold; of repeated gold the last counts, repeated predictions
-    each do. A missing ``valid`` is false."""  # noqa: D205
-    if "pos" in gold.columns:
-        gold = last_wins(gold, id_col)
-    rows = preds.join(gold.select(id_col, "gold"), id_col)
+    """``preds (variant, id, valid, parsed, ...)`` with their gold; of repeated gold the last by ``pos`` counts (without a
+    ``pos`` it is an error), repeated predictions each do. A missing ``valid`` is false."""  # noqa: D205
+    rows = preds.join(one_of_each_key(gold, id_col).select(id_col, "gold"), id_col)
     return rows.withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
@@ -123,7 +121,20 @@ def pick_winner(report: DataFrame) -> DataFrame:
 
 
 def report(preds: DataFrame, gold: DataFrame, price_in: float | None = None, price_out: float | None = None) -> DataFrame:
-    """One row per variant: totals, headline, salary, cost and latency. Cost and latency are over all rows of ``preds``."""
-    rows = matched(preds, gold)
-    out = preds.select("variant").distinct().join(totals(rows, gold.count()), "variant", "left").join(headline(set_scores(rows)), "variant", "left")
-    return out.join(salary_scores(rows).drop("n"), "variant", "left").join(cost_and_latency(preds, price_in, price_out), "variant", "left")
+    """One row per variant: totals, headline, salary, cost and latency. Cost and latency are over all rows of ``preds``.
+
+    A variant that answers no gold record has its row, with no rows, no coverage and no validity.
+    """
+    rows, n_gold = matched(preds, gold), gold.count()
+    out = preds.select("variant").distinct().join(totals(rows, n_gold), "variant", "left").join(headline(set_scores(rows)), "variant", "left")
+    zeros = {"n": 0, "n_gold": n_gold, "coverage": 0.0, "n_duplicate_rows": 0, "json_validity": 0.0, "title_support": 0, "trustworthy": False}
+    out = out.fillna(zeros).join(salary_scores(rows).drop("n"), "variant", "left").fillna({"salary_support": 0})
+    return out.join(cost_and_latency(preds, price_in, price_out), "variant", "left")
+
+
+def report_metadata(report: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: gold records, those with a salary, and the variants that are incomplete or have repeated rows, in order."""
+    names = lambda bad: F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("variant")))), ",")
+    variants = report.agg(names(F.col("coverage") < 1).alias("incomplete"), names(F.col("n_duplicate_rows") > 0).alias("duplicated"))
+    totals_ = gold.agg(F.count(F.lit(1)).alias("n_gold"), F.count("gold.salary").alias("salary_support"))
+    return totals_.crossJoin(variants)  # one row each

@@ -67,7 +67,7 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.pmod("doc_id", F.lit(700)).alias("a"), prose_key(F.col("text")).alias("b"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.floor(F.col("doc_id") / 3).alias("a"), prose_key(F.col("text")).alias("b"))
     return curate.dedupe(rows, ("a", "b")).select("pos")
 
 

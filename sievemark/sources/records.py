@@ -89,12 +89,89 @@ def write_jsonl(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.option("ignoreNullFields", False).partitionBy(*by).json(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """JSON lines of a run, or None where it has never run."""
+    return read_strict(spark, path, schema) if _exists(spark, path) else None
+
+
 def append_missing(rows: DataFrame, path: str, key: str, schema: str) -> None:
-    """Append the rows whose key the sink does not hold yet."""
-    done = rows.sparkSession.read.schema(schema).json(path)
+    """Append the rows whose key the sink does not hold yet; a sink that is not there is made.
+
+    A line torn by a run that stopped has no key, so its row is written again; readers drop the torn one.
+    """
+    if not _exists(rows.sparkSession, path):
+        return write_jsonl(rows, path)
+    lines = rows.sparkSession.read.text(path).select(F.from_json("value", schema).alias("row"))
+    done = lines.select(f"row.{key}").where(F.col(key).isNotNull())
     todo(rows, done, key).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def backup_once(spark: SparkSession, path: str, suffix: str) -> bool:
+    """Copy a sink beside itself, unless such a copy is there already; whether it was made."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(path), fs.Path(path.rstrip("/") + suffix)
+    conf = spark._jsc.hadoopConfiguration()
+    if not _exists(spark, path) or target.getFileSystem(conf).exists(target):
+        return False
+    return fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+
+
+def backup_superseded(path: str, kept: DataFrame, existing: DataFrame, required: Sequence[str]) -> bool:
+    """Copy a sink, with the suffix of what is superseded, if and only if rows will be dropped from it."""
+    if kept.count() >= existing.count():
+        return False
+    dropped = existing.join(kept.select("pos"), "pos", "left_anti")
+    return backup_once(kept.sparkSession, path, backup_suffix(dropped, required))
+
+
+def typed(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` under exactly this schema; an unknown or a missing column is a TypeError."""
+    wanted = rows.sparkSession.createDataFrame([], schema).schema
+    unknown, missing = set(rows.columns) - set(wanted.names), set(wanted.names) - set(rows.columns)
+    if unknown or missing:
+        raise TypeError(f"unknown columns {sorted(unknown)}, missing columns {sorted(missing)}")
+    return rows.to(wanted)
+
+
+def frozen_records(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Both parts of a frozen data set, in the order of ``(part, pos)``: the training part first."""
+    return train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)))
+
+
+def flat_gold(records: DataFrame, fields: Sequence[str], id_col: str = "offer_id") -> DataFrame:
+    """The gold fields beside the id, nothing else."""
+    return records.select(id_col, *(F.col(f"gold.{f}").alias(f) for f in fields))
+
+
+def head_limit(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first ``limit`` rows in this order, for trial runs; 0 stands for all."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return rows.orderBy(*order).limit(limit) if limit else rows
+
+
+def hard_cap(rows: DataFrame, cap: int) -> DataFrame:
+    """``rows``, or an error where there are more than ``cap``: what must not leave in larger numbers."""
+    if cap < 0:
+        raise ValueError("cap must not be negative")
+    if len(rows.limit(cap + 1).select(F.lit(1)).take(cap + 1)) > cap:
+        raise ValueError(f"more than {cap} rows")
+    return rows
+
+
+def markdown(report: DataFrame, *order: str) -> str:
+    """A report of few rows (variants or fields) as a table of text."""
+    rows = report.orderBy(*order).collect()
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [report.columns, ["-"] * len(report.columns), *([cell(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
 def manifest(records: DataFrame, min_prose_chars: int, test_fraction: float) -> DataFrame:
     """One row per split, with its rows and dates; an empty split has null dates."""
     spark = records.sparkSession
@@ -110,6 +187,15 @@ def sitemap_urls(sitemaps: DataFrame, pattern: str, column: str = "xml") -> Data
     return sitemaps.select(F.posexplode(found).alias("pos", "url"))
 
 
+def one_of_each_key(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """The last row of each key where rows have a ``pos``; without one, a repeated key fails the job."""
+    if pos in rows.columns:
+        return last_wins(rows, key, pos)
+    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rows.columns)).alias("__row"))
+    sole = F.assert_true(F.col("__n") == 1, F.concat(F.lit("repeated key without an order: "), F.col(key).cast("string")))
+    return held.where(sole.isNull()).select("__row.*")
+
+
 def last_wins(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """The last row of each key."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(pos)))

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, one is made and set."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset on one machine, as in tests, one is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tables-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back; the table goes when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/table-{name}-{uuid.uuid4().hex[:12]}"
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

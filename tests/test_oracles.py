@@ -7,6 +7,9 @@ import duckdb
 import pytest
 
 import sievemark.plans.queries as plans
+import sievemark.plans.reports as reports
+
+QUERIES, ORACLES = plans.QUERIES | reports.QUERIES, plans.ORACLES | reports.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,13 +29,13 @@ def tidy(names, rows):
     return sorted(tuple(clean(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
-    got = plans.QUERIES[name](spark, sf)
+    got = QUERIES[name](spark, sf)
     rows = [tuple(r) for r in got.collect()]
     assert rows
-    if name in plans.ORACLES:
-        want = duck.execute(plans.ORACLES[name])
+    if name in ORACLES:
+        want = duck.execute(ORACLES[name])
         names = [d[0] for d in want.description]
         assert sorted(names) == sorted(got.columns)
         assert tidy(got.columns, rows) == tidy(names, want.fetchall())
