@@ -1,12 +1,14 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table ``(line, n_docs)`` of 128-bit line keys, bucketed and sorted by the key. Each batch of documents adds one
-run at level 0; when a level holds ``fanout`` runs they are merged into one run of the next level, so a corpus of b batches
-keeps about log(b) levels and each key is rewritten that often. Two uses share the runs:
+A run is a table ``(line, n_docs)`` of 128-bit line keys, bucketed and sorted by the key. Each batch of documents is
+merge-anti-joined with all runs: keys that none of them holds become the batch's own run, counts of known keys go to a run of
+additions beside it. When a level holds ``fanout`` runs they are merged into one run of the next level, so a corpus of b
+batches keeps about log(b) levels and each key is rewritten that often. Runs share their bucketing: neither the anti-join nor
+the merge moves a run's rows. Two uses share the runs:
 
-* ``LineRuns.add_batch`` keeps a line only where it is new: the batch merge-anti-joins every run and adds its own keys;
-* ``drop_common_lines`` loads all batches, then drops every line whose key the merged runs count in ``min_docs``
-  documents or more; the lines that stay are those the merge join leaves over.
+* ``LineRuns.add_batch`` returns the lines of a batch that are new;
+* ``drop_common_lines`` adds a corpus batch by batch, then drops every line whose key the merged runs count in ``min_docs``
+  documents or more.
 
 Documents are rows: a repeated row counts again. All work is DataFrame expressions; what is shuffled for the counts is one
 hash per distinct line of a document, summed on the map side, so a line that most documents carry costs no more than any.
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, materialise, row_key, scratch_path, strip_spaces, text_or_empty
+from ._common import ascii_lower, delete_path, discard, materialise, restricted, row_key, scratch_path, session_settings, strip_spaces, text_or_empty
 
 
 def line_keys(text: Column) -> Column:
@@ -35,53 +37,101 @@ def line_keys(text: Column) -> Column:
 
 @dataclass
 class LineRuns:
-    """Sorted runs by level, as tables in the shared folder."""
+    """Sorted runs by level, as tables in the shared folder; ``close`` deletes them.
+
+    ``buckets`` is taken from the session's number of shuffle partitions, which follows the size of the corpus.
+    """
 
     spark: SparkSession
-    buckets: int = 64
+    buckets: int = 0
     fanout: int = 4
     levels: list[list[str]] = field(default_factory=list)
+    added: list[list[str]] = field(default_factory=list)
+    compactions: int = 0
+    _paths: dict[str, str] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, counts: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex[:12]}"
+        name, path = f"line_run_{uuid.uuid4().hex[:12]}", scratch_path(self.spark, "line-run")
         writer = counts.write.bucketBy(self.buckets, "line").sortBy("line").format("parquet")
-        writer.option("path", scratch_path(self.spark, "line-run")).saveAsTable(name)
+        with session_settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            writer.option("path", path).saveAsTable(name)
+        self._paths[name] = path
         return name
 
-    def add_run(self, counts: DataFrame) -> None:
-        """Add ``(line, n_docs)`` as a run of level 0 and compact the levels that are full."""
-        level, run = 0, self._write(counts.repartition(self.buckets, "line"))
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, self._paths.pop(name))
+
+    def close(self) -> None:
+        self._drop(*list(self._paths))
+        self.levels, self.added = [], []
+
+    def _place(self, levels: list[list[str]], run: str) -> None:
+        """Put a run on level 0 and merge the levels that are full."""
+        level = 0
         while True:
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < self.fanout:
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(run)
+            if len(levels[level]) < self.fanout:
                 return
-            full, self.levels[level] = self.levels[level], []
-            run, level = self._write(self._merged(full)), level + 1
-
-    def _merged(self, names: list[str]) -> DataFrame:
-        """Runs share their bucketing, so that this sum needs no shuffle."""
-        rows = self.spark.table(names[0])
-        for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy("line").agg(F.sum("n_docs").alias("n_docs"))
+            full, levels[level] = levels[level], []
+            run, level = self._merged(full), level + 1
+            self.compactions += 1
+
+    def _merged(self, names: list[str]) -> str:
+        """One run of several, which go: merge joins of two runs at a time, bucket by bucket."""
+        while len(names) > 1:
+            a, b = names[:2]
+            other = self.spark.table(b).withColumnRenamed("n_docs", "more")
+            total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            names = [*names[2:], self._write(self.spark.table(a).join(other, "line", "full").select("line", total.alias("n_docs")))]
+            self._drop(a, b)
+        return names[0]
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def counts(self) -> DataFrame:
-        """``(line, n_docs)`` over all runs."""
-        names = [name for level in self.levels for name in level]
+        """``(line, n_docs)`` over all runs and additions, which are merged into one run."""
+        names = self.runs() + [name for level in self.added for name in level]
         if not names:
             return self.spark.createDataFrame([], "line binary, n_docs long")
-        return self._merged(names)
+        self.levels, self.added = [[self._merged(names)]], []
+        return self.spark.table(self.levels[0][0])
+
+    def add_counts(self, counts: DataFrame) -> str:
+        """Add ``(line, n_docs)`` of a batch; the name of the run of its new keys."""
+        batch = counts.repartition(self.buckets, "line")
+        known = self.runs()
+        if not known:
+            own = self._write(batch)
+        else:
+            # the batch is dealt into the buckets of the runs once and marked in all of them
+            marked = batch.withColumn("held", F.lit(False))
+            for name in known:
+                held = self.spark.table(name).select("line", F.lit(True).alias("here"))
+                marked = marked.join(held, "line", "left").select("line", "n_docs", (F.col("held") | F.coalesce("here", F.lit(False))).alias("held"))
+            marked = materialise(marked, "line-batch")
+            again = self._write(marked.where("held").select("line", "n_docs").repartition(self.buckets, "line"))
+            own = self._write(marked.where("not held").select("line", "n_docs").repartition(self.buckets, "line"))
+            discard(marked)
+            self._place(self.added, again)
+        self._place(self.levels, own)
+        return own
 
     def add_batch(self, batch: DataFrame, text_col: str = "text") -> DataFrame:
-        """The lines of ``batch`` that no run has, as rows ``(line, n_docs)``; they become the batch's run."""
-        fresh = document_counts(batch.select(line_keys(text_or_empty(text_col)).alias("lines")))
-        for level in self.levels:
-            for name in level:
-                fresh = fresh.join(self.spark.table(name), "line", "left_anti")
-        fresh = materialise(fresh, "line-batch")
-        self.add_run(fresh)
+        """The lines of ``batch`` that no run holds, as rows ``(line, n_docs)``; they become the batch's run."""
+        counts = document_counts(batch.select(line_keys(text_or_empty(text_col)).alias("lines")))
+        fresh = counts
+        for name in self.runs():
+            fresh = fresh.join(self.spark.table(name), "line", "left_anti")
+        fresh = materialise(fresh, "line-fresh")
+        self.add_counts(counts)
         return fresh
 
 
@@ -91,7 +141,7 @@ def document_counts(keyed: DataFrame) -> DataFrame:
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, kept_text, n_lines, n_dropped)`` of each row of ``docs``, without the lines found in ``min_docs`` rows.
 
     Null and empty texts are one empty line. Lines that are blank after stripping have no key and always stay. Null ids
@@ -103,10 +153,14 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 2, id_
     keyed = materialise(keyed, "line-keys", "batch")
     runs = LineRuns(docs.sparkSession)
     for batch in range(batches):
-        runs.add_run(document_counts(keyed.where(F.col("batch") == batch)))
-    common = runs.counts().where(F.col("n_docs") >= min_docs).select("line")
+        runs.add_counts(document_counts(keyed.where(F.col("batch") == batch)))
+    common = materialise(runs.counts().where(F.col("n_docs") >= min_docs).select("line"), "common-lines")
+    runs.close()
     places = keyed.select("row", F.posexplode("lines").alias("place", "line")).where("line is not null")
-    hits = places.join(common, "line", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
+    # few keys go to all places; many are dealt by key, where Spark can split a line that very many documents have
+    hits = restricted(places, common, "line").groupBy("row").agg(F.collect_set("place").alias("places"))
+    hits = materialise(hits, "line-hits")
+    discard(keyed, common)
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("places").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("places", i)))
     return source.join(hits, "row", "left").select(
