@@ -26,8 +26,11 @@ from ._common import BROADCAST_KEYS, materialise, scratch_path, small_batches, t
 CRLF = "\r\n"
 #: Fixed value: the alphabet of base32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Timestamp of page 0 where the table has none; page n follows n seconds later.
+#: Timestamp of page 0 where the table has none; page n follows n seconds later, up to these, after which it starts anew.
 FIRST_CAPTURE = "2024-01-01T00:00:00Z"
+CAPTURE_SECONDS = 250 * 365 * 86400
+#: An archive is read back as one value; so many bytes at most, where no record is larger by itself.
+ARCHIVE_BYTES = 512 << 20
 INDEX = (
     "run string, place long, url_key string, captured string, page_id string, record_type string, "
     "payload_bytes long, payload_digest string, refers_to string, offset long, length long"
@@ -50,7 +53,8 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, records_per_fi
 
     Of the rows with equal payloads of ``min_payload`` bytes or more, those with the smallest ``page_id`` are responses and
     the others revisits of it; shorter payloads are always responses. A null html is an empty payload, a null url an empty
-    one; a null ``page_id`` comes after all others. Repeated rows are written each, alike.
+    one; a null ``page_id`` comes after all others. Repeated rows are written each, alike. Ends of lines in a url are written
+    as %0D and %0A. An archive has ``records_per_file`` records, fewer where pages are so large that it would grow too long.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_or_empty("html").alias("html")
@@ -70,17 +74,19 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, records_per_fi
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
     again = F.col("refers_to").isNotNull()
     block = F.when(again, http).otherwise(F.concat(http, F.col("html")))
-    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'") + F.coalesce("page", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'") + F.pmod(F.coalesce("page", F.lit(0)), F.lit(CAPTURE_SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), page, F.lit(">")), F.concat(F.lit("WARC-Date: "), date),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", "")),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.concat(F.lit("WARC-Payload-Length: "), F.col("size").cast("string")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to"), F.lit(">"))),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
+    largest = own.agg(F.max("size")).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, ARCHIVE_BYTES // (largest + 2000)))
     marked.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
