@@ -42,7 +42,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(_table(spark, sf_dir, "documents"))
     sha = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
-    return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", sha, "spans", "n_live", "n_copied")
+    return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", sha, "spans", "n_live", "n_copied", "most_repos")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns give base spans, which always stay. Every candidate value, of these and of a wider pattern of opaque strings, is
-hashed, and the hashes are counted over the corpus by distinct repository and distinct owner. A value with one owner is
-owner-specific and looks live; a value that several owners carry is a copied example. Opaque strings become spans only
+hashed, and the hashes are counted over the corpus by distinct repository and distinct owner. A value with one owner, in few
+repositories, is owner-specific and looks live; a value that several owners or many repositories carry is a copied example. Opaque strings become spans only
 where they are owner-specific and look random. Texts are scanned once and not shuffled: only spans and hashes move, and the
 distinct counts are summed in two steps on the map side first, so a value that sits everywhere does not gather in one task.
 """
@@ -27,9 +27,11 @@ _SPAN = "array<struct<begin:int,rank:int,end:int,digest:binary>>"
 
 @dataclass(frozen=True)
 class Ownership:
-    """A value is owner-specific with at most ``live_owners`` owners; opaque strings need ``min_distinct`` characters."""
+    """A value is owner-specific with at most ``live_owners`` owners and ``live_repos`` of their repositories: what its owner
+    has put into more looks like a setting or an example. Opaque strings need ``min_distinct`` characters."""  # noqa: D205
 
     live_owners: int = 1
+    live_repos: int = 3
     min_distinct: int = 10
 
 
@@ -88,7 +90,7 @@ def secret_scan(
     owners = owners.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repos"))
     owners = owners.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
     rated = spans.withColumn("digest", F.col("span.digest")).join(owners, "digest")
-    live = F.col("n_owners") <= rules.live_owners
+    live = (F.col("n_owners") <= rules.live_owners) & (F.col("n_repos") <= rules.live_repos)
     added = F.collect_list(F.when(live & (F.col("span.rank") == 3), F.col("span")))
     rated = rated.groupBy("row").agg(
         F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"), F.max("n_repos").alias("most_repos"), added.alias("added")
