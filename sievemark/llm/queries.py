@@ -9,6 +9,7 @@ from .decontaminate import contained_items
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .oracles import ORACLES  # noqa: F401
 from .pii import KINDS as PII_KINDS
 from .pii import pseudonymise
 from .quality import quality_rules
@@ -95,23 +96,3 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLES = {
-    "op1_line_dedup": r"""
-        WITH lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
-            FROM documents
-        ), keyed AS (
-            SELECT doc_id, place, line,
-                   translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
-                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-            FROM lines
-        ), common AS (
-            SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
-        )
-        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(common.k) AS BIGINT) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
-        FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
-    """,
-}
