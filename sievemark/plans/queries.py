@@ -111,16 +111,6 @@ def _scored(preds: DataFrame, gold: DataFrame, got: Column) -> DataFrame:
     return scoring.matched(preds, gold)
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of windows of 120 characters, as the SQL of ``set_scores``, ``headline_f1`` and ``pick_winner`` has them."""
-    docs = _table(spark, sf_dir, "documents")
-    words = lambda start: F.filter(F.split(F.substring("text", start, 120), " "), lambda w: w != "")
-    gold = docs.select(F.col("doc_id").alias("offer_id"), _gold(tech_expected=words(1), tech_optional=words(31), title=F.col("source")).alias("gold"))
-    shift = F.when(F.col("variant") == "a", 11).otherwise(21)
-    got = F.filter(F.split(F.substr("text", shift, F.lit(120)), " "), lambda w: w != "")
-    return _scored(_variants(docs), gold, got)
-
-
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of all words of the whole text: gold as they are, and without those of three letters; predictions with the words
     of seven letters misspelt (a), or without those of four (b)."""  # noqa: D205
@@ -133,24 +123,6 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_variants(docs), gold, got)
 
 
-_SQL_SETS = """
-    pairs AS (
-        SELECT v.variant, doc_id, doc_id % 7 <> 0 AS valid, f.field,
-               list_distinct(list_filter(string_split(substr(text, f.a, 120), ' '), lambda w : w <> '')) AS g,
-               CASE WHEN doc_id % 7 <> 0 THEN list_distinct(list_filter(string_split(substr(text, v.a, 120), ' '), lambda w : w <> '')) ELSE [] END AS p
-        FROM documents, (VALUES ('a', 11), ('b', 21)) v(variant, a), (VALUES ('tech_expected', 1), ('tech_optional', 31)) f(field, a)
-        WHERE v.variant = 'a' OR doc_id % 5 <> 0
-    ), c AS (
-        SELECT *, len(list_intersect(p, g)) AS tp, len(p) - len(list_intersect(p, g)) AS fp, len(g) - len(list_intersect(p, g)) AS fn FROM pairs
-    ), sums AS (
-        SELECT variant, field, count(*) AS n, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (len(g) > 0) AS support,
-               count(*) FILTER (len(g) > 0 AND fp = 0 AND fn = 0) AS exact_supported FROM c GROUP BY ALL
-    ), scored AS (
-        SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM sums
-    )
-"""
-
-
 _SQL_WHOLE = """
     words AS (
         SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda w : w <> '') AS w FROM documents
@@ -179,18 +151,10 @@ def _set_scores(rows: DataFrame) -> DataFrame:
 
 
 def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _set_scores(_windows(spark, sf_dir))
-
-
-def set_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _set_scores(_predictions(spark, sf_dir))
 
 
 def headline_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.headline(scoring.set_scores(_windows(spark, sf_dir)))
-
-
-def headline_f1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.headline(scoring.set_scores(_predictions(spark, sf_dir)))
 
 
@@ -235,10 +199,6 @@ def _winner(rows: DataFrame, n: int) -> DataFrame:
 
 
 def pick_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _winner(_windows(spark, sf_dir), _table(spark, sf_dir, "documents").count())
-
-
-def pick_winner_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _winner(_predictions(spark, sf_dir), _table(spark, sf_dir, "documents").count())
 
 
@@ -327,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         build_stats, build_records, temporal_split, split_manifest, dedupe_two_key, dev_split, spread_sample, shots_split, stratified_sample,
-        normalise_vocabulary, normalise_terms, set_scores, set_scores_whole, headline_f1, headline_f1_whole, run_totals, salary_scores, cost_and_latency, failure_taxonomy, pick_winner, pick_winner_whole,
+        normalise_vocabulary, normalise_terms, set_scores, headline_f1, run_totals, salary_scores, cost_and_latency, failure_taxonomy, pick_winner,
         cohen_kappa, raw_agreement, triangulate, disagreeing_ids, term_ceiling, bootstrap_intervals, parse_failures, load_completed, extract_pages, build_messages,
     )
 }
@@ -340,6 +300,9 @@ _LEGS = """
     )
 """
 _RANKED = "(SELECT doc_id, row_number() OVER (ORDER BY pub_date DESC, doc_id DESC) AS r, count(*) OVER () AS n FROM kept)"
+_SPELLINGS = ", ".join(f"({i}, '{name}', '{'|'.join((name, *more))}')" for i, (name, more) in enumerate(TERMS.items(), 1))
+_BESIDE = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+_PRESENT = ", ".join(f"regexp_matches(text, '(?i)(?:^|{_BESIDE})(?:{'|'.join((name, *more))})(?:$|{_BESIDE})')::INT" for name, more in TERMS.items())
 _IS_TEST = "r <= least(greatest(1, CAST(round_even(n * 0.2, 0) AS BIGINT)), n - 1)"
 
 ORACLES = {
@@ -371,19 +334,65 @@ ORACLES = {
                ['PLN', 'EUR', 'CHF', NULL][event_id % 4 + 1] AS currency FROM events
     """,
     "set_scores": f"""
-        WITH {_SQL_SETS}
-        SELECT variant, field, n, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, support, exact_supported, round(p, 4) AS precision,
-               round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1, round(exact_supported / support, 4) AS exact FROM scored
-    """,
-    "headline_f1": f"WITH {_SQL_SETS} SELECT variant, round(2 * p * r / (p + r), 4) AS headline_f1 FROM scored WHERE field = 'tech_expected'",
-    "pick_winner": f"WITH {_SQL_SETS} SELECT variant FROM scored WHERE field = 'tech_expected' ORDER BY round(2 * p * r / (p + r), 4) DESC LIMIT 1",
-    "set_scores_whole": f"""
         WITH {_SQL_WHOLE}
         SELECT variant, field, n, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, support, exact_supported, round(p, 4) AS precision,
                round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1, round(exact_supported / support, 4) AS exact FROM scored
     """,
-    "headline_f1_whole": f"WITH {_SQL_WHOLE} SELECT variant, round(2 * p * r / (p + r), 4) AS headline_f1 FROM scored WHERE field = 'tech_expected'",
-    "pick_winner_whole": f"WITH {_SQL_WHOLE} SELECT variant FROM scored WHERE field = 'tech_expected' ORDER BY round(2 * p * r / (p + r), 4) DESC LIMIT 1",
+    "headline_f1": f"WITH {_SQL_WHOLE} SELECT variant, round(2 * p * r / (p + r), 4) AS headline_f1 FROM scored WHERE field = 'tech_expected'",
+    "pick_winner": f"WITH {_SQL_WHOLE} SELECT variant FROM scored WHERE field = 'tech_expected' ORDER BY round(2 * p * r / (p + r), 4) DESC LIMIT 1",
+    "run_totals": """
+        WITH gold AS (
+            SELECT doc_id, doc_id % 7 <> 0 AS valid, lower(trim(coalesce(source, ''))) AS title,
+                   lower(trim(coalesce(CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE lang END, ''))) AS own, (SELECT count(*) FROM documents) AS n_gold FROM documents
+        ), once AS (
+            SELECT 'a' AS variant, * FROM gold UNION ALL SELECT 'b', * FROM gold WHERE doc_id % 5 <> 0
+        ), runs AS (
+            SELECT * FROM once UNION ALL SELECT * FROM once WHERE doc_id % 50 = 0
+        ), r AS (
+            SELECT variant, n_gold, count(*) AS n, count(DISTINCT doc_id) AS ids, avg(valid::INT) AS validity, count(*) FILTER (title <> '') AS support,
+                   count(*) FILTER (title <> '' AND valid AND own = title) AS exact FROM runs GROUP BY ALL
+        )
+        SELECT variant, n, n_gold, round_even(ids / n_gold, 4) AS coverage, n - ids AS n_duplicate_rows, round_even(validity, 4) AS json_validity, support AS title_support,
+               CASE WHEN support > 0 THEN round_even(exact / support, 4) END AS title_exact, round_even(ids / n_gold, 4) >= 1 AND n = ids AS trustworthy FROM r
+    """,
+    "salary_scores": """
+        WITH r AS (
+            SELECT o_orderkey % 7 AS k, o_orderkey % 7 NOT IN (5, 6) AS answered, o_orderkey % 4 <> 0 AS there FROM orders
+        ), s AS (
+            SELECT count(*) AS n, count(*) FILTER (there) AS support, avg((k <> 5 AND (k <> 6) = there)::INT) AS detected, count(*) FILTER (answered AND there) AS both_there,
+                   count(*) FILTER (answered AND there AND k <> 1) AS same_currency, count(*) FILTER (answered AND there AND k <> 2) AS near FROM r
+        )
+        SELECT 'v' AS variant, n, support AS salary_support, round_even(detected, 4) AS detection, round_even(same_currency / support, 4) AS currency,
+               round_even(both_there / support, 4) AS kind, round_even(near / support, 4) AS amounts FROM s
+    """,
+    "term_ceiling": f"""
+        WITH found AS (
+            SELECT doc_id, [{_PRESENT}] AS hits FROM documents
+        ), per AS (
+            SELECT doc_id, field, n AS terms, list_sum(hits[1:n]) AS present FROM found, (VALUES ('tech_expected', 5), ('tech_optional', 2)) f(field, n)
+        ), s AS (
+            SELECT field, CAST(sum(terms) AS BIGINT) AS terms, CAST(sum(present) AS BIGINT) AS present, count(*) AS records, count(*) FILTER (present = 0) AS unanswerable FROM per GROUP BY field
+        )
+        SELECT *, round_even(present / terms, 4) AS share, round_even(unanswerable / records, 4) AS unanswerable_share FROM s
+    """,
+    # no alias has more than four letters, and a word that is not equal to it is then never similar enough
+    "normalise_terms": f"""
+        WITH a AS (SELECT name, unnest(string_split(spellings, '|')) AS alias FROM (VALUES {_SPELLINGS}) t(place, name, spellings)),
+        w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark)
+        SELECT term, coalesce(name, term) AS canonical FROM w LEFT JOIN a ON alias = term
+    """,
+    "dedupe_two_key": r"""
+        WITH RECURSIVE source_rows AS MATERIALIZED (
+            SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i,
+                   [doc_id // 3, -dense_rank() OVER (ORDER BY sha1(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))))] AS keys FROM documents
+        ), walk AS (
+            SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS seen, CAST(NULL AS BIGINT) AS pos
+            UNION ALL
+            SELECT s.i, CASE WHEN list_has_any(seen, keys) THEN seen ELSE list_concat(seen, keys) END, CASE WHEN list_has_any(seen, keys) THEN NULL ELSE doc_id END
+            FROM walk JOIN source_rows s ON s.i = walk.i + 1
+        )
+        SELECT pos FROM walk WHERE pos IS NOT NULL
+    """,
     "cost_and_latency": """
         SELECT l_returnflag AS variant, round(avg((l_quantity * 10 + l_quantity * 5) / 1e6) FILTER (l_linenumber <> 3) * 1000, 4) AS cost_per_1k,
                round(quantile_cont(l_quantity / 8, 0.5), 3) AS latency_p50, round(quantile_cont(l_quantity / 8, 0.95), 3) AS latency_p95,

@@ -19,7 +19,7 @@ def test_set_scores_count_the_words_of_whole_texts(spark, tmp_path):
     """``n`` words of five letters are right, one of four is missed by b and one of seven is wrong in a, beyond any prefix."""
     words = [f"w{i:04d}" for i in range(5000)] + ["last", "sevenll"]
     spark.createDataFrame([(1, " ".join(words), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.variant: (r.tp, r.fp, r.fn) for r in plans.set_scores_whole(spark, str(tmp_path)).where("field = 'tech_expected'").collect()}
+    got = {r.variant: (r.tp, r.fp, r.fn) for r in plans.set_scores(spark, str(tmp_path)).where("field = 'tech_expected'").collect()}
     assert got == {"a": (5001, 1, 1), "b": (5001, 0, 1)}
 
 
