@@ -22,20 +22,26 @@ def _stream(*parts) -> np.random.RandomState:
     return np.random.RandomState(np.frombuffer(hashlib.md5(":".join(map(str, parts)).encode()).digest(), np.uint32))
 
 
-def _weights(n: int, at: int, resamples: range, seed: str, chunk: int) -> np.ndarray:
-    """How often each record of chunk ``at`` is in each resample.
+def _falling(n: int, at: int, resamples: range, seed: str, chunk: int) -> np.ndarray:
+    """How many of the n draws of each resample fall on chunk ``at``.
 
-    n draws with replacement fall on the chunks by a multinomial draw that every task makes alike, and within a chunk
-    evenly on its records: no draw has to be sent anywhere.
+    The chunks are halved from all of them down to this one, and the draws with them by a binomial draw that every task on
+    the way makes alike: no draw has to be sent anywhere, and a task's work grows with the logarithm of the chunks.
     """
-    sizes = np.full(-(-n // chunk), chunk)
-    sizes[-1] = n - chunk * (len(sizes) - 1)
-    out = np.zeros((len(resamples), sizes[at]))
-    for row, b in enumerate(resamples):
-        mine = _stream(seed, b).multinomial(n, sizes / n)[at]
-        drawn = (_stream(seed, b, at).random_sample(mine) * sizes[at]).astype(np.int64)
-        out[row] = np.bincount(drawn, minlength=sizes[at])
-    return out
+    low, high, draws = 0, -(-n // chunk), np.full(len(resamples), n)
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = (mid - low) * chunk / (min(high * chunk, n) - low * chunk)
+        first = _stream(seed, resamples.start, low, high).binomial(draws, share)
+        low, high, draws = (low, mid, first) if at < mid else (mid, high, draws - first)
+    return draws
+
+
+def _weights(n: int, at: int, resamples: range, seed: str, chunk: int) -> np.ndarray:
+    """How often each record of chunk ``at`` is in each resample: its draws fall evenly on its records."""
+    size, draws = min(chunk, n - at * chunk), _falling(n, at, resamples, seed, chunk)
+    drawn = _stream(seed, resamples.start, at).randint(size, size=draws.sum(), dtype=np.int32) + np.repeat(np.arange(len(draws)) * size, draws)
+    return np.bincount(drawn, minlength=len(draws) * size).reshape(len(draws), size).astype(float)
 
 
 def resampled(rows: DataFrame, ids: DataFrame, resamples: int, seed: str, id_col: str = "offer_id", chunk: int = CHUNK) -> DataFrame:
