@@ -12,9 +12,15 @@ from ..functions.columns import amounts_within, rounded, same_set, text_set, tit
 from ..sources.records import one_of_each_key
 
 
-def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id") -> DataFrame:
+def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id", fields: Sequence[str] | None = None) -> DataFrame:
     """``preds (variant, id, valid, parsed, ...)`` with their gold; of repeated gold the last by ``pos`` counts (without a
-    ``pos`` it is an error), repeated predictions each do. A missing ``valid`` is false."""  # noqa: D205
+    ``pos`` it is an error), repeated predictions each do. A missing ``valid`` is false.
+
+    With ``fields``, both sides carry only these through the join, the set fields as sets.
+    """  # noqa: D205
+    if fields is not None:
+        only = lambda x: F.struct(*((text_set(F.col(x)[f]) if f in vocab.SET_FIELDS else F.col(x)[f]).alias(f) for f in fields))
+        preds, gold = preds.withColumn("parsed", only("parsed")), gold.withColumn("gold", only("gold"))
     rows = preds.join(one_of_each_key(gold, id_col).select(id_col, "gold"), id_col)
     return rows.withColumn("valid", F.coalesce("valid", F.lit(False)))
 

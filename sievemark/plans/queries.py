@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,13 +107,13 @@ def _variants(docs: DataFrame) -> DataFrame:
     return docs.withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b")))).where("variant = 'a' OR doc_id % 5 <> 0")
 
 
-def _scored(preds: DataFrame, gold: DataFrame, got: Column) -> DataFrame:
+def _scored(preds: DataFrame, gold: DataFrame, got: Column, fields: Sequence[str]) -> DataFrame:
     parsed = _gold(tech_expected=got, tech_optional=got, title=F.when(F.pmod("doc_id", F.lit(3)) == 0, F.upper("source")).otherwise("lang"))
     preds = preds.select("variant", F.col("doc_id").alias("offer_id"), (F.pmod("doc_id", F.lit(7)) != 0).alias("valid"), parsed.alias("parsed"))
-    return scoring.matched(preds, gold)
+    return scoring.matched(preds, gold, fields=fields)
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _predictions(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """Sets of all words of the whole text: gold as they are, and without those of three letters; predictions with the words
     of seven letters misspelt (a), or without those of four (b)."""  # noqa: D205
     docs = _table(spark, sf_dir, "documents")
@@ -120,7 +122,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = docs.select(F.col("doc_id").alias("offer_id"), _gold(tech_expected=words, tech_optional=some, title=F.col("source")).alias("gold"))
     misspelt = F.transform(words, lambda w: F.when(F.length(w) == 7, F.concat(w, F.lit("~"))).otherwise(w))
     got = F.when(F.col("variant") == "a", misspelt).otherwise(F.filter(words, lambda w: F.length(w) != 4))
-    return _scored(_variants(docs), gold, got)
+    return _scored(_variants(docs), gold, got, fields)
 
 
 _SQL_WHOLE = """
@@ -151,15 +153,15 @@ def _set_scores(rows: DataFrame) -> DataFrame:
 
 
 def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _set_scores(_predictions(spark, sf_dir))
+    return _set_scores(_predictions(spark, sf_dir, "tech_expected", "tech_optional"))
 
 
 def headline_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.headline(scoring.set_scores(_predictions(spark, sf_dir)))
+    return scoring.headline(scoring.set_scores(_predictions(spark, sf_dir, *vocab.HEADLINE_FIELDS), vocab.HEADLINE_FIELDS))
 
 
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _predictions(spark, sf_dir)
+    rows = _predictions(spark, sf_dir, "title")
     n = _table(spark, sf_dir, "documents").count()
     return scoring.totals(rows.unionByName(rows.where("offer_id % 50 = 0")), n)
 
@@ -194,12 +196,12 @@ def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _winner(rows: DataFrame, n: int) -> DataFrame:
-    report = scoring.totals(rows, n).join(scoring.headline(scoring.set_scores(rows)), "variant").withColumns({"latency_p50": F.lit(1.0), "pos": F.col("variant")})
+    report = scoring.totals(rows, n).join(scoring.headline(scoring.set_scores(rows, vocab.HEADLINE_FIELDS)), "variant").withColumns({"latency_p50": F.lit(1.0), "pos": F.col("variant")})
     return scoring.pick_winner(report).select("variant")
 
 
 def pick_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _winner(_predictions(spark, sf_dir), _table(spark, sf_dir, "documents").count())
+    return _winner(_predictions(spark, sf_dir, "title", *vocab.HEADLINE_FIELDS), _table(spark, sf_dir, "documents").count())
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +241,7 @@ def term_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _predictions(spark, sf_dir)
+    rows = _predictions(spark, sf_dir, *vocab.HEADLINE_FIELDS)
     ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("offer_id"))
     return bootstrap.intervals(bootstrap.resampled(rows, ids, 2000, "seed"))
 
