@@ -191,9 +191,9 @@ def one_of_each_key(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """The last row of each key where rows have a ``pos``; without one, a repeated key fails the job."""
     if pos in rows.columns:
         return last_wins(rows, key, pos)
-    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rows.columns)).alias("__row"))
+    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*(c for c in rows.columns if c != key))).alias("__row"))
     sole = F.assert_true(F.col("__n") == 1, F.concat(F.lit("repeated key without an order: "), F.col(key).cast("string")))
-    return held.where(sole.isNull()).select("__row.*")
+    return held.where(sole.isNull()).select(key, "__row.*")  # the key itself, by which rows stay partitioned
 
 
 def last_wins(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
