@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.columns import amounts_within, rounded, same_set, text_set, title_key
+from ..functions.columns import amounts_within, rounded, text_set, title_key
 from ..sources.records import one_of_each_key
 
 
@@ -26,19 +26,22 @@ def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id", fields:
 
 
 def set_contributions(rows: DataFrame, fields: Sequence[str] = vocab.SET_FIELDS) -> DataFrame:
-    """Counts of each row and field; an invalid prediction is an empty one."""
+    """Counts of each row and field; an invalid prediction is an empty one.
 
-    def of(field: str) -> Column:
+    Both sides are made sets once; all counts follow from their sizes and that of what they share.
+    """
+
+    def sides(field: str) -> Column:
         p = F.when(F.col("valid"), text_set(F.col("parsed")[field])).otherwise(F.array().cast("array<string>"))
-        g = text_set(F.col("gold")[field])
-        supported = F.size(g) > 0
-        return F.struct(
-            F.lit(field).alias("field"), F.size(F.array_intersect(p, g)).alias("tp"), F.size(F.array_except(p, g)).alias("fp"),
-            F.size(F.array_except(g, p)).alias("fn"), (supported & same_set(p, g)).cast("int").alias("exact_supported"),
-            supported.cast("int").alias("support"), (F.size(p) > 0).cast("int").alias("n_pred_nonempty"),
-        )
-
-    return rows.withColumn("c", F.explode(F.array(*map(of, fields))))
+        return F.struct(F.lit(field).alias("field"), p.alias("p"), text_set(F.col("gold")[field]).alias("g"))
+
+    rows = rows.withColumn("__s", F.explode(F.array(*map(sides, fields)))).withColumn("__tp", F.size(F.array_intersect("__s.p", "__s.g")))
+    tp, n_p, n_g = F.col("__tp"), F.size("__s.p"), F.size("__s.g")
+    counts = F.struct(
+        F.col("__s.field").alias("field"), tp.alias("tp"), (n_p - tp).alias("fp"), (n_g - tp).alias("fn"),
+        ((n_g > 0) & (tp == n_p) & (tp == n_g)).cast("int").alias("exact_supported"), (n_g > 0).cast("int").alias("support"), (n_p > 0).cast("int").alias("n_pred_nonempty"),
+    )
+    return rows.withColumn("c", counts).drop("__s", "__tp")
 
 
 COUNTS = ("tp", "fp", "fn", "exact_supported", "support", "n_pred_nonempty")
