@@ -141,3 +141,15 @@ def pairwise(a: DataFrame, b: DataFrame, tolerance: float = 0.05, id_col: str =
         out = out.unionByName(long(kappa.select(rounded(F.col("kappa")).alias("kappa")), F.lit(f), ("kappa", "kappa")))
     salary = scoring.salary_scores(rows, tolerance)
     return out.unionByName(long(salary, F.lit("salary"), *((m, m) for m in ("salary_support", "detection", "currency", "kind", "amounts"))))
+
+
+def full_report(llm: DataFrame, platform: DataFrame, human: DataFrame | None = None, tolerance: float = 0.05, id_col: str = "offer_id") -> DataFrame:
+    """``(pair, field, metric, value)`` of all pairs of label sources; those with labels by hand, and how the three differ
+    (``pair`` "triangulation", with buckets as metrics), only where there are such labels."""  # noqa: D205
+    named = lambda pair, rows: rows.select(F.lit(pair).alias("pair"), "field", "metric", "value")
+    out = named("llm_platform", pairwise(llm, platform, tolerance, id_col))
+    if human is None:
+        return out
+    out = out.unionByName(named("llm_human", pairwise(llm, human, tolerance, id_col))).unionByName(named("platform_human", pairwise(platform, human, tolerance, id_col)))
+    cells = triangulate(human, llm, platform, tolerance=tolerance, id_col=id_col)
+    return out.unionByName(named("triangulation", cells.select("field", F.col("bucket").alias("metric"), F.col("n").cast("double").alias("value"))))

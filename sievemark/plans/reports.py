@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import agreement, bootstrap, curate, scoring, training
+from ..operators import agreement, bootstrap, curate, runs, scoring, training
 from ..sources import records
+from ..streaming.resume import answer_stream
+from ..tables import shared_folder
 from .queries import TERMS, _examples, _gold, _legs, _table
 
 
@@ -113,11 +118,33 @@ def probe_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.probe_grid(_table(spark, sf_dir, "nation").select("n_name"), modes)
 
 
+def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns are the prompts of a model that gives them back as a title, or does not answer with an object."""
+
+    def answerer() -> runs.Answer:
+        return lambda text: (json.dumps({"title": text}) if len(text) % 2 else "none", len(text), 3)
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    out = runs.run(turns, answerer, 64)
+    return out.select("conv_id", "turn", "input_tokens", "output_tokens", "max_tokens", "valid", "failure", F.md5(F.col("parsed.title").cast("binary")).alias("title_md5"))
+
+
+def resume_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders come as a stream; a third of them is in the sink from an earlier run and is not answered again."""
+    folder = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex[:12]}"
+    orders, schema = _table(spark, sf_dir, "orders"), "id long, answer string"
+    records.write_jsonl(orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("answer")), f"{folder}/sink")
+    # a pattern, because a stream takes a plain path for a folder, and the table may be one file
+    wanted = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("answer"))
+    answer_stream(wanted, lambda rows: rows, f"{folder}/sink", "id", schema, f"{folder}/state").awaitTermination()
+    return records.read_strict(spark, f"{folder}/sink", schema)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_completions, longest_prompt, probe_grid,
+        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream,
     )
 }
 
@@ -198,4 +225,9 @@ ORACLES = {
     "sft_completions": "SELECT doc_id, 4::BIGINT AS n_messages, md5(concat('Posting:', chr(10), text)) AS asked_md5, 'mid' AS seniority FROM documents",
     "longest_prompt": "SELECT max(len(string_split(text, ' ')))::BIGINT AS longest FROM conversations",
     "probe_grid": "SELECT n_name, mode FROM nation, (VALUES ('zero'), ('few')) m(mode)",
+    "model_run": """
+        SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS input_tokens, 3::BIGINT AS output_tokens, 64::BIGINT AS max_tokens, length(coalesce(text, '')) % 2 = 1 AS valid,
+               CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN 'no_json_object' END AS failure, CASE WHEN length(text) % 2 = 1 THEN md5(text) END AS title_md5 FROM conversations
+    """,
+    "resume_stream": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE o_orderstatus END AS answer FROM orders",
 }

@@ -89,14 +89,14 @@ def write_jsonl(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.option("ignoreNullFields", False).partitionBy(*by).json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """JSON lines of a run, or None where it has never run."""
-    return read_strict(spark, path, schema) if _exists(spark, path) else None
+    return read_strict(spark, path, schema) if exists(spark, path) else None
 
 
 def append_missing(rows: DataFrame, path: str, key: str, schema: str) -> None:
@@ -104,7 +104,7 @@ def append_missing(rows: DataFrame, path: str, key: str, schema: str) -> None:
 
     A line torn by a run that stopped has no key, so its row is written again; readers drop the torn one.
     """
-    if not _exists(rows.sparkSession, path):
+    if not exists(rows.sparkSession, path):
         return write_jsonl(rows, path)
     lines = rows.sparkSession.read.text(path).select(F.from_json("value", schema).alias("row"))
     done = lines.select(f"row.{key}").where(F.col(key).isNotNull())
@@ -116,7 +116,7 @@ def backup_once(spark: SparkSession, path: str, suffix: str) -> bool:
     fs = spark._jvm.org.apache.hadoop.fs
     source, target = fs.Path(path), fs.Path(path.rstrip("/") + suffix)
     conf = spark._jsc.hadoopConfiguration()
-    if not _exists(spark, path) or target.getFileSystem(conf).exists(target):
+    if not exists(spark, path) or target.getFileSystem(conf).exists(target):
         return False
     return fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
 

@@ -1 +1 @@
-"""Curation and evaluation of text-to-structure datasets on Spark."""
+"""Structured Streaming forms of the operators."""
