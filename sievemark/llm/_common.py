@@ -72,6 +72,11 @@ def session_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
+    """Inside, Arrow batches of what is run are bounded by rows and bytes, so that long texts do not make large ones."""
+    return session_settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows), spark__sql__execution__arrow__maxBytesPerBatch=str(size))
+
+
 def write_parquet(df: DataFrame, path: str, *partition_by: str, **options: str) -> DataFrame:
     """Write ``df`` and read it back; the shuffles of the write go when it has ended, as nothing can read them again."""
     with session_settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):

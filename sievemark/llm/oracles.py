@@ -199,6 +199,44 @@ QUALITY = f"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT diverges AS kept FROM based
 """
 
+AUDIT = r"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+    ), words AS (
+        SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w : w <> '') AS ws FROM docs
+    ), marks AS (
+        SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic
+        FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+    ), masks AS (
+        SELECT part, doc_id, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+               + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+               + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+        FROM words
+    ), cells AS (
+        SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+        FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+    ), orders AS (
+        SELECT '' AS o, 0 AS used UNION ALL
+        SELECT o || substr('ABCDE', i + 1, 1), used + (1 << i)
+        FROM orders, (SELECT unnest(range(5))::INT AS i) WHERE used & (1 << i) = 0
+    ), steps AS (
+        SELECT o.o AS filter_order, len(p.o)::INT + 1 AS step, p.used AS before, 1 << (ascii(substr(o.o, len(p.o)::INT + 1, 1)) - 65) AS own
+        FROM orders o JOIN orders p ON len(o.o) = 5 AND len(p.o) < 5 AND starts_with(o.o, p.o)
+    ), counted AS (
+        SELECT part, filter_order, step, own,
+               sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost,
+               sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+        FROM cells, steps GROUP BY part, filter_order, step, own
+    )
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+           good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM counted
+"""
+
 ORACLES = {
     "op1_line_dedup": LINES,
     "op4_secret_scan": SECRETS,
@@ -206,4 +244,5 @@ ORACLES = {
     "op6_decontamination": CONTAINED,
     "op9_warc": CAPTURES,
     "op10_quality_rules": QUALITY,
+    "op11_filter_audit": AUDIT,
 }

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .decontaminate import contained_items
+from .filter_audit import audit
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .ngram_join import jaccard_components
 from .oracles import ORACLES  # noqa: F401
 from .pii import KINDS as PII_KINDS
+from .pieces import decode_pieces, encode_pieces
 from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -84,6 +87,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, "base_failed", "kept")
 
 
+#: Vocabularies of the queries; the operators take their paths as parameters.
+BYTES, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), PIECES), PIECES)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokenizers(_table(spark, sf_dir, "documents"), BYTES, PIECES)
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_products")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,4 +119,7 @@ QUERIES = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm import queries as Q
 
-TABLES = ("documents", "pages", "benchmark")
+TABLES = ("documents", "pages", "benchmark", "labels")
 
 
 def same(spark, folder, name):
@@ -42,6 +42,8 @@ def odd(spark, tmp_path_factory):
     texts = [(i, t, ("en", "de", None)[i % 3], ("s1", None, "s2", "s3")[i % 4]) for i, t in enumerate(ODD * 2 + [t and t + " more" for t in ODD])]
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text")).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, t) for i, t in enumerate(["world one", "a b c d e f g h", None, "", "b c d e f g h i j a b c"])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    marks = [(i, i % 2, i % 3 % 2) for i in range(0, 40, 2)] + [(0, 1, 1), (None, 1, 1), (3, None, 1), (9999, 1, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     urls = [None, "", "x", "http://www.A.example.org", "https://u:p@b.example:80/p/q?r=s#t", "ftp://c.example?x", "http://a.example/\r\nz"]
     spark.createDataFrame([(i, urls[i % 7], ODD[i % len(ODD)]) for i in range(40)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
