@@ -18,7 +18,7 @@ from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
 from .suffix_dedup import remove_repeats
-from .token_shards import Shards, write_shards
+from .token_shards import shard_rows, write_shards
 from .warc import archive_pages
 
 
@@ -59,12 +59,6 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "item_id", "n_shingles", "n_found")
 
 
-def shard_rows(spark: SparkSession, shards: Shards) -> DataFrame:
-    """One row per sequence, read back from the shards."""
-    read = shards.records(spark).select("slot", "shard", "at", F.sha2("ids", 256).alias("ids_sha256"))
-    return shards.index.join(read, "slot")
-
-
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(spark, write_shards(_table(spark, sf_dir, "documents")))
 

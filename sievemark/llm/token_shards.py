@@ -8,13 +8,16 @@ so a reader goes through files in sequence and can resume at any step.
 
 Ids are 16-bit little-endian. Spark's text writer writes the shards, with two newlines after each record, so that a shard is
 rows of ``length + 1`` 16-bit numbers: any file system that Spark can write will do, and a lost task's shards are written
-anew. Tasks write whole ranges of shards, in order.
+anew. Tasks write whole ranges of shards. The writer sorts its rows by shard, which keeps no other order once it spills; so a
+row of the writer is a whole shard, put together from the sorted slots before. The index has a checksum of each sequence, which
+``shard_rows`` holds against what it reads.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -116,7 +119,7 @@ def encoder(ranks: dict[bytes, int]) -> Callable[[str], np.ndarray]:
     return encode
 
 
-SEQUENCES = "part int, number long, n_tokens long, n_docs long, first_id {id}, ids binary"
+SEQUENCES = "part int, number long, n_tokens long, n_docs long, first_id {id}, checksum long, ids binary"
 
 
 def _pack(ranks, length: int, id_type: pa.DataType):
@@ -125,9 +128,12 @@ def _pack(ranks, length: int, id_type: pa.DataType):
         part, number, n_docs, first = TaskContext.get().partitionId(), 0, 0, None
         open_ids, n_open, rows = [], 0, []
 
+        def row(n_tokens: int, sequence: bytes) -> tuple:
+            return part, number, n_tokens, n_docs, first, zlib.crc32(sequence), sequence
+
         def batch() -> pa.RecordBatch:
-            names = ["part", "number", "n_tokens", "n_docs", "first_id", "ids"]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.binary()]
+            names = ["part", "number", "n_tokens", "n_docs", "first_id", "checksum", "ids"]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for got in batches:
@@ -137,8 +143,7 @@ def _pack(ranks, length: int, id_type: pa.DataType):
                 n_docs += 1
                 while n_open + len(ids) >= length:
                     cut = length - n_open
-                    whole = np.concatenate([*open_ids, ids[:cut]])
-                    rows.append((part, number, length, n_docs, first, whole.tobytes()))
+                    rows.append(row(length, np.concatenate([*open_ids, ids[:cut]]).tobytes()))
                     ids, open_ids, n_open, number = ids[cut:], [], 0, number + 1
                     n_docs, first = (1, doc) if len(ids) else (0, None)
                     if len(rows) >= 64:
@@ -148,8 +153,7 @@ def _pack(ranks, length: int, id_type: pa.DataType):
                     open_ids.append(ids)
                     n_open += len(ids)
         if n_open:
-            padded = np.concatenate([*open_ids, np.full(length - n_open, END, np.uint16)])
-            rows.append((part, number, n_open, n_docs, first, padded.tobytes()))
+            rows.append(row(n_open, np.concatenate([*open_ids, np.full(length - n_open, END, np.uint16)]).tobytes()))
         if rows:
             yield batch()
 
@@ -171,11 +175,24 @@ def _placed(permutation: Feistel):
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole shards of rows in the order of their slots: one row for each shard, without the last newline."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
+    shard, records = None, []
+
+    def whole() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([b"\n\n".join(records) + b"\n"], pa.binary())], names=["shard", "content"])
+
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([expand(x.as_buffer()) for x in b.column(1)], pa.binary())], names=["shard", "ids"])
+        for at, packed in zip(b.column(0).to_pylist(), b.column(1)):
+            if at != shard and records:
+                yield whole()
+                records = []
+            shard = at
+            records.append(expand(packed.as_buffer()))
+    if records:
+        yield whole()
 
 
 @dataclass(frozen=True)
@@ -206,7 +223,9 @@ def write_shards(
     docs: DataFrame, path: str | None = None, length: int = 8192, per_shard: int = 1024, key: str = "training-order",
     tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text",
 ) -> Shards:
-    """Write the token shards of ``docs``; the index has ``(slot, n_tokens, n_docs, first_id)`` of each sequence.
+    """Write the token shards of ``docs``; the index has ``(slot, n_tokens, n_docs, first_id, checksum)`` of each sequence.
+
+    A task holds one shard of ``per_shard`` records at a time (16 MB as it is), which must stay below 2 GB.
 
     A null or empty text is an end-of-text id alone. Null ids are kept as they are; repeated rows are written each. The
     last sequence of every input partition is filled up with end-of-text ids, ``n_tokens`` says how many are its own. A
@@ -236,8 +255,8 @@ def write_shards(
     ranges = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
     dealt = placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
-    records = dealt.select("shard", "packed").mapInArrow(_opened, "shard long, ids binary")
-    lines = records.select("shard", F.concat("ids", F.lit(b"\n")).cast("string").alias("value"))
+    whole = dealt.select("shard", "packed").mapInArrow(_opened, "shard long, content binary")
+    lines = whole.select("shard", F.col("content").cast("string").alias("value"))
     with session_settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         lines.write.option("lineSep", "\n").partitionBy("shard").text(path)
 
@@ -245,8 +264,18 @@ def write_shards(
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(permutation.slot(b.column(0).to_numpy())), *b.columns[1:]], names=["slot", *b.schema.names[1:]])
 
-    index = numbered.select("number", "n_tokens", "n_docs", "first_id").mapInArrow(slots, f"slot long, n_tokens long, n_docs long, first_id {id_type.simpleString()}")
+    columns = f"slot long, n_tokens long, n_docs long, first_id {id_type.simpleString()}, checksum long"
+    index = numbered.select("number", "n_tokens", "n_docs", "first_id", "checksum").mapInArrow(slots, columns)
     index = materialise(index, "sequence-index")
     delete_path(spark, folder)
     discard(parts)
     return Shards(path, length, per_shard, index)
+
+
+def shard_rows(spark: SparkSession, shards: Shards) -> DataFrame:
+    """One row per sequence, read back from the shards; a record that is not the one of its slot fails the job by name."""
+    read = shards.records(spark).select("slot", "shard", "at", F.sha2("ids", 256).alias("ids_sha256"), F.crc32("ids").alias("__read"))
+    rows = shards.index.join(read, "slot")
+    wrong = F.raise_error(F.concat(F.lit("another record lies at slot "), F.col("slot").cast("string")))
+    digest = F.when(F.col("__read") == F.col("checksum"), F.col("ids_sha256")).otherwise(wrong.cast("string"))
+    return rows.select("slot", "n_tokens", "n_docs", "first_id", "shard", "at", digest.alias("ids_sha256"))
