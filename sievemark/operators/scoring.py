@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.columns import amounts_within, rounded, text_set, title_key
 from ..sources.records import one_of_each_key
+from .percentiles import exact_percentiles
 
 
 def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id", fields: Sequence[str] | None = None) -> DataFrame:
@@ -96,13 +97,18 @@ def totals(rows: DataFrame, n_gold: int, id_col: str = "offer_id") -> DataFrame:
 
 
 def cost_and_latency(preds: DataFrame, price_in: float | None, price_out: float | None) -> DataFrame:
-    """Cost of a thousand calls (over rows that have input tokens; null without prices) and latency, over all rows."""
+    """Cost of a thousand calls (over rows that have input tokens; null without prices) and latency, over all rows.
+
+    The percentiles are exact for variants of any size (``percentiles``).
+    """
     calls = (F.col("input_tokens") * F.lit(price_in) + F.coalesce("output_tokens", F.lit(0)) * F.lit(price_out)) / 1e6
-    return preds.groupBy("variant").agg(
+    costs = preds.groupBy("variant").agg(
         rounded(F.avg(F.when(F.col("input_tokens").isNotNull(), calls)) * 1000).alias("cost_per_1k"),
-        rounded(F.percentile("latency_s", F.lit(0.5)), 3).alias("latency_p50"), rounded(F.percentile("latency_s", F.lit(0.95)), 3).alias("latency_p95"),
         rounded(F.avg(F.when(F.col("output_tokens") > 0, F.col("output_tokens"))), 1).alias("mean_output_tokens"),
     )
+    at = exact_percentiles(preds, "latency_s", {"p50": 0.5, "p95": 0.95}, ("variant",)).withColumnRenamed("variant", "__v")
+    out = costs.join(at, F.col("variant").eqNullSafe(F.col("__v")), "left")
+    return out.select("variant", "cost_per_1k", rounded(F.col("p50"), 3).alias("latency_p50"), rounded(F.col("p95"), 3).alias("latency_p95"), "mean_output_tokens")
 
 
 def failures(rows: DataFrame, default_cap: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from ..functions import vocab
 from ..functions.columns import rounded
 from .parsing import messages
+from .percentiles import exact_percentiles
 
 Tokenizer = Callable[[str], list[int]]
 
@@ -62,9 +63,10 @@ def encoded(examples: DataFrame, tokenizer: Callable[[], Tokenizer], max_len: in
 
 
 def length_profile(lengths: DataFrame, length: str = "length") -> DataFrame:
-    """One row: median, 90th and 99th percentile and largest of the lengths."""
-    at = lambda q: rounded(F.percentile(length, F.lit(q)), 3)
-    return lengths.agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(length).cast("long").alias("longest"))
+    """One row: number, median, 90th and 99th percentile and largest of the lengths; nulls without any."""
+    whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.max(length).cast("long").alias("longest"))
+    at = exact_percentiles(lengths, length, {"p50": 0.5, "p90": 0.9, "p99": 0.99}).drop("n")  # one row at most
+    return whole.join(F.broadcast(at), how="left").select("n", *(rounded(F.col(p), 3).alias(p) for p in ("p50", "p90", "p99")), "longest")
 
 
 def longest_prompt(prompts: DataFrame, tokens: Column, context: int, max_tokens: int, margin: int = 0) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import agreement, bootstrap, curate, runs, scoring, training
+from ..operators.percentiles import exact_percentiles
 from ..sources import records
 from ..streaming.resume import answer_stream
 from ..tables import shared_folder
@@ -88,6 +89,14 @@ def frozen_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("part", "pos", "offer_id").join(flat, "offer_id").select("part", "pos", "title", F.size("seniority").cast("long").alias("n_seniority"))
 
 
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine tenths of the rows are one group; no group is held by one task."""
+    group = F.when(F.pmod("l_orderkey", F.lit(10)) != 0, "hot").otherwise(F.col("l_returnflag"))
+    rows = _table(spark, sf_dir, "lineitem").select(group.alias("variant"), ((F.col("l_discount") - 0.05) * F.col("l_extendedprice")).alias("latency_s"))
+    out = exact_percentiles(rows, "latency_s", {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p999": 0.999}, ("variant",), small=0)
+    return out.select("variant", "n", *(F.round(c, 6).alias(c) for c in ("p01", "p50", "p95", "p999")))
+
+
 def trial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows in order, which is what a trial run is for, under a cap that they keep to."""
     rows = records.head_limit(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey")
@@ -144,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream,
+        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles,
     )
 }
 
@@ -223,6 +232,11 @@ ORACLES = {
         SELECT count(*) AS n, round(quantile_cont(n, 0.5), 3) AS p50, round(quantile_cont(n, 0.9), 3) AS p90, round(quantile_cont(n, 0.99), 3) AS p99, max(n)::BIGINT AS longest FROM l
     """,
     "sft_completions": "SELECT doc_id, 4::BIGINT AS n_messages, md5(concat('Posting:', chr(10), text)) AS asked_md5, 'mid' AS seniority FROM documents",
+    "latency_percentiles": """
+        WITH v AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN 'hot' ELSE l_returnflag END AS variant, (l_discount - 0.05::DOUBLE) * l_extendedprice AS v FROM lineitem)
+        SELECT variant, count(*) AS n, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95,
+               round(quantile_cont(v, 0.999), 6) AS p999 FROM v GROUP BY variant
+    """,
     "longest_prompt": "SELECT max(len(string_split(text, ' ')))::BIGINT AS longest FROM conversations",
     "probe_grid": "SELECT n_name, mode FROM nation, (VALUES ('zero'), ('few')) m(mode)",
     "model_run": """
