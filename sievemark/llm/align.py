@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_batches, materialise
-from .pieces import Codec, Vocabulary, lists, read_model, slices
+from .pieces import Codec, Vocabulary, flattened, lists, read_model, slices, spelling
 from .token_shards import encoder
 
 #: Pairs sent to all tasks at most: 17 bytes each.
@@ -91,20 +91,10 @@ class Pair:
 
     def __init__(self, ranks: dict[bytes, int], spelt: list[bytes], vocabulary: Vocabulary) -> None:
         self.encode_a, self.codec = encoder(ranks), Codec(vocabulary)
-        self.lengths = np.array([len(s) for s in spelt], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.tokens = flattened(spelt)
+        self.lengths = self.tokens[2]
         self.digits = [[f"{i}{sep}" for i in range(max(len(spelt), len(vocabulary.pieces)))] for sep in ",|;"]
 
-    def _spelling(self, ids: np.ndarray) -> bytes:
-        parts = []
-        for at in range(0, len(ids), 1 << 16):
-            some = ids[at : at + (1 << 16)]
-            lengths = self.lengths[some]
-            ends = np.cumsum(lengths)
-            parts.append(self.flat[np.repeat(self.starts[some] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes())
-        return b"".join(parts)
-
     def of(self, text: str | None) -> Alignment:
         none = np.zeros(0, np.int64)
         empty = Alignment(none, none, none, none, np.zeros((2, 0), np.int64))
@@ -112,7 +102,7 @@ class Pair:
             return empty
         target = f" {text}".encode()
         a, b = self.encode_a(f" {text}").astype(np.int64), self.codec.encode(text).astype(np.int64)
-        if self._spelling(a) != target or self.codec.spelling(b) != target:
+        if spelling(*self.tokens, a) != target or self.codec.spelling(b) != target:
             return empty
         return align(a, b, np.cumsum(self.lengths[a]), np.cumsum(self.codec.lengths[b]))
 

@@ -6,14 +6,16 @@ token of the prefix before it, that is, if the pair's own text is encoded as the
 lists all pieces that end at each place; a table keeps the one that fits; from the word's end the table leads back to the ids.
 The work grows with the length of the word, however long.
 
-No piece has a space mark after another character, so a text can be cut before each run of them, and words can be encoded
-one by one; each worker remembers those that it has met, up to a fixed number.
+No piece has a space mark after another character, and some characters (digits, line ends) are in no longer piece. So a text
+can be cut before each run of marks and around such characters, and words can be encoded one by one; each worker remembers
+those that it has met of late, up to a fixed number.
 """
 
 from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,7 +63,7 @@ def read_model(path: str) -> Vocabulary:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    #: Words and pairs remembered at most, and the longest word that is.
+    #: Words remembered at most in each of two generations, pairs remembered at most, and the longest word that is.
     WORDS, PAIRS, LONGEST = 1 << 18, 1 << 20, 64
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -75,16 +77,17 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self.merged(piece) == [piece]:  # others are never met
-                self.automaton.add_word(piece, i)
+                self.automaton.add_word(piece, (i, len(piece), {}))
         self.automaton.make_automaton()
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.older: dict[str, bytes] = {}
+        self.pairs, self.fits = 0, [fits for _, _, fits in self.automaton.values()]
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined and c != 32)
+        self.cut = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|[{lone}]" if lone else "")).findall
         spelt = [b"" if i in v.control else bytes([i - v.first_byte]) if 0 <= i - v.first_byte < 256 else p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces)]
         spelt[v.unknown] = UNKNOWN.encode()
-        self.lengths = np.array([len(s) for s in spelt], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.flat, self.starts, self.lengths = flattened(spelt)
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition, for the short texts of pieces and pairs: the best pair first, of equal ones the leftmost."""
@@ -100,23 +103,24 @@ class Codec:
                 scores[i] = self.score.get(symbols[i] + symbols[i + 1], none)
         return symbols
 
-    def compatible(self, before: int, token: int) -> bool:
-        """Whether the text of the pair is encoded as the pair; ``pairs`` remembers the answer."""
-        if len(self.pairs) >= self.PAIRS:
-            self.pairs.clear()
+    def compatible(self, before: int, token: int, fits: dict[int, bool]) -> bool:
+        """Whether the text of the pair is encoded as the pair; ``fits`` of the token remembers the answer."""
+        if self.pairs >= self.PAIRS:
+            self.pairs = 0
+            for known in self.fits:
+                known.clear()
         a, b = self.vocabulary.pieces[before], self.vocabulary.pieces[token]
-        fits = self.pairs[before << 32 | token] = self.merged(a + b) == [a, b]
-        return fits
+        self.pairs += 1
+        fits[before] = self.merged(a + b) == [a, b]
+        return fits[before]
 
     def word(self, word: str) -> bytes:
         """Ids of a word, as 32-bit numbers, by its prefix table; an entry of None is a character that no piece has."""
         table: list[int | None] = [None] * len(word)
-        length, known = self.length, self.pairs.get
-        for end, token in self.automaton.iter(word):
+        for end, (token, length, fits) in self.automaton.iter(word):
             if table[end] is None:
-                start = end - length[token]
-                before = table[start] if start >= 0 else None
-                if before is None or (fits := known(before << 32 | token)) or (fits is None and self.compatible(before, token)):
+                before = table[end - length] if end >= length else None
+                if before is None or (fit := fits.get(before)) or (fit is None and self.compatible(before, token, fits)):
                     table[end] = token
         out, at = [], len(word) - 1
         while at >= 0:
@@ -127,7 +131,7 @@ class Codec:
             else:
                 out.append(token)
                 at -= self.length[token]
-        return np.array(out[::-1], np.int32).tobytes()
+        return array("i", reversed(out)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text of any length; an empty one has none."""
@@ -136,34 +140,49 @@ class Codec:
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
-                    word = words[i]
-                    found[i] = self.words.get(word) or self.word(word)
-                    if len(word) <= self.LONGEST:
-                        if len(self.words) >= self.WORDS:
-                            self.words.clear()
-                        self.words[word] = found[i]
+                    found[i] = self.remembered(words[i])
         return np.frombuffer(b"".join(found), np.int32)
 
+    def remembered(self, word: str) -> bytes:
+        """Ids of a word that was not met in this generation; when it is full the one before is forgotten."""
+        ids = self.words.get(word) or self.older.get(word) or self.word(word)
+        if len(word) <= self.LONGEST:
+            if len(self.words) >= self.WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = ids
+        return ids
+
     def spelling(self, ids: np.ndarray) -> bytes:
         """Bytes of tokens one after another, with the mark of the start."""
-        parts = []
-        for at in range(0, len(ids), 1 << 16):
-            some = ids[at : at + (1 << 16)]
-            lengths = self.lengths[some]
-            ends = np.cumsum(lengths)
-            parts.append(self.flat[np.repeat(self.starts[some] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes())
-        return b"".join(parts)
+        return spelling(self.flat, self.starts, self.lengths, ids)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: the mark of the start goes, byte pieces become characters, each byte that makes none U+FFFD."""
         ids = np.asarray(ids, np.int64)
-        shown = np.flatnonzero(self.lengths[ids] > 0)
-        if not len(shown):
-            return ""
-        skip = self.vocabulary.pieces[ids[shown[0]]].startswith(MARK)
-        # tokens without a text divide runs of byte pieces
-        runs = np.split(ids[shown], np.flatnonzero(np.diff(shown) > 1) + 1)
-        return b"".join(self.spelling(run).decode("utf-8", "byte_by_byte").encode() for run in runs)[skip:].decode()
+        if (self.lengths[ids] > 0).all():
+            runs = [ids] if len(ids) else []
+        else:  # tokens without a text divide runs of byte pieces
+            shown = np.flatnonzero(self.lengths[ids] > 0)
+            runs = np.split(ids[shown], np.flatnonzero(np.diff(shown) > 1) + 1) if len(shown) else []
+        skip = bool(runs) and self.vocabulary.pieces[runs[0][0]].startswith(MARK)
+        return "".join(self.spelling(run).decode("utf-8", "byte_by_byte") for run in runs)[skip:]
+
+
+def flattened(spelt: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in one array, with the start and length of each."""
+    lengths = np.array([len(s) for s in spelt], np.int64)
+    return np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def spelling(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """Bytes of tokens one after another."""
+    parts = []
+    for at in range(0, len(ids), 1 << 16):
+        some = ids[at : at + (1 << 16)]
+        size = lengths[some]
+        ends = np.cumsum(size)
+        parts.append(flat[np.repeat(starts[some] - (ends - size), size) + np.arange(ends[-1])].tobytes())
+    return b"".join(parts)
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:

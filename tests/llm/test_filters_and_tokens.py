@@ -140,7 +140,7 @@ def test_codec_forgets_and_stays_right(codec, sp, monkeypatch):
     monkeypatch.setattr(pieces.Codec, "PAIRS", 7)
     for text in ("some words that are not many but more than five of them are here", "and others, again others"):
         assert small.encode(text).tolist() == sp.encode(text)
-    assert len(small.words) <= 5 and len(small.pairs) <= 7
+    assert len(small.words) <= 5 and len(small.older) <= 5 and small.pairs <= 7 and sum(map(len, small.fits)) <= 7
 
 
 def test_last_token_of_every_prefix(codec, sp):
