@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import agreement, bootstrap, curate, runs, scoring, training
+from ..operators import agreement, bootstrap, ceiling, curate, runs, scoring, training
 from ..operators.percentiles import exact_percentiles
 from ..sources import records
 from ..streaming.resume import answer_stream
@@ -89,6 +89,20 @@ def frozen_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("part", "pos", "offer_id").join(flat, "offer_id").select("part", "pos", "title", F.size("seniority").cast("long").alias("n_seniority"))
 
 
+def term_ceiling_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every benchmark item is a spelling; a document's labels are the words of the item whose turn it is."""
+    items = _table(spark, sf_dir, "benchmark")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
+    place = F.row_number().over(Window.orderBy("item_id")) - 1  # the short table of items
+    items = items.select(words.alias("words"), place.alias("place"))
+    n = items.count()
+    names = items.select(F.explode("words").alias("canonical")).distinct().select(F.col("canonical").alias("alias"), "canonical")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("offer_id"), F.col("text").alias("prose"))
+    docs = docs.join(F.broadcast(items), F.pmod("offer_id", F.lit(n)) == F.col("place"))
+    odd = F.filter("words", lambda w: F.length(w) % 2 == 1)
+    return ceiling.ceilings(docs.select("offer_id", "prose", _gold(tech_expected=F.col("words"), tech_optional=odd).alias("gold")), names)
+
+
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine tenths of the rows are one group; no group is held by one task."""
     group = F.when(F.pmod("l_orderkey", F.lit(10)) != 0, "hot").otherwise(F.col("l_returnflag"))
@@ -153,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles,
+        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words,
     )
 }
 
@@ -232,6 +246,20 @@ ORACLES = {
         SELECT count(*) AS n, round(quantile_cont(n, 0.5), 3) AS p50, round(quantile_cont(n, 0.9), 3) AS p90, round(quantile_cont(n, 0.99), 3) AS p99, max(n)::BIGINT AS longest FROM l
     """,
     "sft_completions": "SELECT doc_id, 4::BIGINT AS n_messages, md5(concat('Posting:', chr(10), text)) AS asked_md5, 'mid' AS seniority FROM documents",
+    "term_ceiling_words": r"""
+        WITH items AS (
+            SELECT list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w : w <> '')) AS words, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark
+        ), held AS (
+            SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+') AS own, words FROM documents JOIN items ON doc_id % (SELECT count(*) FROM items) = place
+        ), per AS (
+            SELECT f.field, CASE WHEN f.field = 'tech_expected' THEN words ELSE list_filter(words, lambda w : length(w) % 2 = 1) END AS terms, own
+            FROM held, (VALUES ('tech_expected'), ('tech_optional')) f(field)
+        ), s AS (
+            SELECT field, sum(len(terms))::BIGINT AS terms, sum(len(list_intersect(terms, own)))::BIGINT AS present, count(*) AS records,
+                   count(*) FILTER (len(list_intersect(terms, own)) = 0) AS unanswerable FROM per WHERE len(terms) > 0 GROUP BY field
+        )
+        SELECT *, round_even(present / terms, 4) AS share, round_even(unanswerable / records, 4) AS unanswerable_share FROM s
+    """,
     "latency_percentiles": """
         WITH v AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN 'hot' ELSE l_returnflag END AS variant, (l_discount - 0.05::DOUBLE) * l_extendedprice AS v FROM lineitem)
         SELECT variant, count(*) AS n, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95,
