@@ -91,7 +91,12 @@ def usable(examples: DataFrame, min_prose_chars: int) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, keys: tuple[str, str], pos: str = "pos") -> DataFrame:
-    """First come, first kept on two keys: a row goes if a kept row before it has its first or its second key.
+    """First come, first kept on two keys: a row goes if a kept row before it has its first or its second key."""
+    return rows.join(first_kept(rows, keys, pos), pos, "left_semi")
+
+
+def first_kept(rows: DataFrame, keys: tuple[str, str], pos: str = "pos") -> DataFrame:
+    """``pos`` of the rows that ``dedupe`` keeps. The keys are worked out once and written; only they are compared.
 
     Dropped rows do not mark their keys. Rows whose keys no other row has are settled at once. Of the others, in each round
     those that come first under both their keys are kept, and all that share a key with them go; what is left is decided in
@@ -106,7 +111,7 @@ def dedupe(rows: DataFrame, keys: tuple[str, str], pos: str = "pos") -> DataFram
         return materialise(frame, "dedupe")
 
     a, b = keys
-    marked = compared(rows.select(pos, *keys))
+    marked = compared(materialise(rows.select(pos, *keys), "dedupe-keys"))
     kept = marked.where((F.col(f"__n_{a}") == 1) & (F.col(f"__n_{b}") == 1)).select(pos)
     marked = marked.where((F.col(f"__n_{a}") > 1) | (F.col(f"__n_{b}") > 1))
     first = (F.col(f"__first_{a}") == F.col(pos)) & (F.col(f"__first_{b}") == F.col(pos))
@@ -116,16 +121,18 @@ def dedupe(rows: DataFrame, keys: tuple[str, str], pos: str = "pos") -> DataFram
         for k in keys:
             left = left.join(now.select(F.col(k).alias("__k")).distinct(), F.col(k).eqNullSafe(F.col("__k")), "left_anti")
         marked = compared(left)
-    return rows.join(kept, pos, "left_semi")
+    return kept
 
 
 def build_dataset(examples: DataFrame, min_prose_chars: int) -> tuple[DataFrame, DataFrame]:
     """Records, and one row of counts: collected, passed, dropped by the filter, dropped as duplicates, records."""
     marked = usable(examples, min_prose_chars)
-    records = dedupe(marked.where("passed").withColumn("prose_key", prose_key(F.col("prose"))), ("offer_id", "prose_key"))
-    stats = marked.agg(F.count(F.lit(1)).alias("collected"), F.count_if("passed").alias("passed")).crossJoin(records.agg(F.count(F.lit(1)).alias("records")))
+    passed = marked.where("passed")
+    kept = first_kept(passed.withColumn("prose_key", prose_key(F.col("prose"))), ("offer_id", "prose_key"))
+    records = passed.join(kept, "pos", "left_semi")
+    stats = marked.agg(F.count(F.lit(1)).alias("collected"), F.count_if("passed").alias("passed")).crossJoin(kept.agg(F.count(F.lit(1)).alias("records")))
     stats = stats.select("collected", "passed", (F.col("collected") - F.col("passed")).alias("dropped"), (F.col("passed") - F.col("records")).alias("duplicates"), "records")
-    return records.drop("passed", "prose_key"), stats
+    return records.drop("passed"), stats
 
 
 def collection_stats(pages: DataFrame, html: str = "html") -> DataFrame:
