@@ -1,4 +1,4 @@
-"""Column expressions: text keys, closed vocabularies, set and salary comparison, similarity of terms."""
+"""Column expressions: text keys, closed vocabularies, set and salary comparison."""
 
 from __future__ import annotations
 
@@ -102,28 +102,5 @@ def same_salary(a: Column, b: Column, tolerance: float) -> Column:
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(both)
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table."""
-    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    zero = F.transform(F.concat(F.array(F.lit("")), chars(b)), lambda _: F.lit(0))
-
-    def row(above: Column, c: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            diagonal = F.element_at(above, j) + 1
-            best = F.greatest(F.element_at(above, j + 1), F.element_at(done, -1))
-            return F.concat(done, F.array(F.when(F.substr(b, j, F.lit(1)) == c, diagonal).otherwise(best)))
-
-        places = F.filter(F.sequence(F.lit(0), F.length(b)), lambda j: j > 0)
-        return F.aggregate(places, F.array(F.lit(0)), cell)
-
-    return F.aggregate(chars(a), zero, row, lambda last: F.element_at(last, -1))
-
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """200 times the longest common subsequence over the sum of the lengths; two empty texts are equal."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 100.0).otherwise(200.0 * common_subsequence(a, b) / total)
-
-
 def rounded(x: Column, digits: int = 4) -> Column:
     return F.bround(x, digits)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.columns import canonical_list, currency, fold_lines, prose_key, seniority, strip, texts, work_mode
 from ..tables import materialise
+from .similar import most_similar
 
 _OFFER = """
     id STRING,
@@ -227,31 +228,28 @@ def normalise_terms(terms: DataFrame, aliases: DataFrame, threshold: float = voc
     """``(term, canonical)`` of the distinct terms: exact alias, else the most similar alias of ``threshold`` or more, else
     the term itself, lower-cased.
 
-    Only terms without an exact alias are compared, with aliases of a length at which the threshold can be reached; the
-    dictionary has some hundred entries, which every task holds. Of equally similar aliases the first counts.
+    Only terms without an exact alias are compared, with the aliases that share enough bigrams (``similar``). Of equally
+    similar aliases the first counts.
     """  # noqa: D205
-    from ..functions.columns import indel_ratio
-
     keyed = terms.select(F.col(term).alias("term")).distinct().withColumn("key", F.lower(strip(F.coalesce("term", F.lit("")))))
     exact = keyed.join(F.broadcast(aliases), F.col("key") == F.col("alias"), "left")
-    misses = exact.where("alias is null and key <> ''").select("key").distinct()
-    best = F.least(F.length("key"), F.length("alias")) * 200.0 / (F.length("key") + F.length("alias")) >= threshold
-    ratio = indel_ratio(F.col("key"), F.col("alias"))
-    near = misses.join(F.broadcast(aliases), best).withColumn("ratio", ratio).where(F.col("ratio") >= threshold)
-    near = near.groupBy("key").agg(F.max_by("canonical", F.struct(F.col("ratio"), -F.col("ord"))).alias("fuzzy"))
+    near = most_similar(exact.where("alias is null"), aliases, threshold).withColumnRenamed("canonical", "fuzzy")
     return exact.join(near, "key", "left").select("term", F.coalesce("canonical", "fuzzy", "key").alias("canonical"))
 
 
 def normalise_lists(rows: DataFrame, fields: Sequence[str], aliases: DataFrame, id_col: str = "offer_id", distinct: bool = True) -> DataFrame:
-    """``rows`` with the terms of their list columns made canonical, in order, blank ones left out."""
-    out = rows
-    for f in fields:
-        places = rows.select(id_col, F.posexplode(texts(F.col(f))).alias("place", "term"))
-        named = places.join(normalise_terms(places, aliases), "term").where("canonical <> ''")
-        listed = named.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "canonical"))), lambda x: x["canonical"]).alias("__list"))
-        empty = F.array().cast("array<string>")
-        made = F.coalesce(F.array_distinct("__list") if distinct else F.col("__list"), empty)
-        out = out.join(listed, id_col, "left").withColumn(f, made).drop("__list")
-    return out
-
+    """``rows`` with the terms of their list columns made canonical, in order, blank ones left out.
 
+    The different terms of all lists are named once; each row then finds its own in a map of the terms that it has. Rows
+    that share an id, or have none, keep their own lists.
+    """
+    numbered = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "term-lists")
+    whole = F.concat(*(texts(F.col(f)) for f in fields))
+    named = normalise_terms(numbered.select(F.explode(whole).alias("term")), aliases)
+    places = numbered.select("__row", F.explode(F.array_distinct(whole)).alias("term")).join(named, "term")
+    maps = places.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "canonical"))).alias("__names"))
+    out = numbered.join(maps, "__row", "left")
+    for f in fields:
+        made = F.filter(F.transform(texts(F.col(f)), lambda t: F.try_element_at(F.col("__names"), t)), lambda v: v != "")
+        out = out.withColumn(f, F.array_distinct(made) if distinct else made)
+    return out.drop("__row", "__names")

@@ -7,7 +7,6 @@ Arrow UDF of a few lines per row. Everything else is column expressions.
 from __future__ import annotations
 
 import json
-import time
 from typing import Any
 
 import pandas as pd
@@ -16,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions import vocab
+from .curate import normalise_lists
 
+_TERM_LISTS = ("tech_expected", "tech_optional")
 _TEXT_LISTS = ("responsibilities", "requirements", "contract_types")
 _KEYS = {"title", "seniority", "work_mode", "tech_expected", "tech_optional", "salary", *_TEXT_LISTS}
 _SALARY_KEYS = {"kind", "currency", "amount_from", "amount_to", "period"}
@@ -52,7 +53,7 @@ def _posting(found: dict, terms: dict[str, str]) -> dict:
     out: dict[str, Any] = {"title": _text(found.get("title"))}
     out["seniority"] = _closed(found.get("seniority"), vocab.SENIORITY, vocab.SENIORITY_LEVELS)
     out["work_mode"] = _closed(found.get("work_mode"), vocab.WORK_MODE, vocab.WORK_MODES)
-    for f in ("tech_expected", "tech_optional"):
+    for f in _TERM_LISTS:
         values = found.get(f) if isinstance(found.get(f), list) else []
         keys = [v.strip().lower() for v in values if isinstance(v, str)]
         out[f] = [terms.get(k, k) for k in keys if k]
@@ -94,8 +95,12 @@ def parse_one(raw: str | None, terms: dict[str, str]) -> tuple[dict | None, str
         return None, "schema_invalid"
 
 
-def parse_results(rows: DataFrame, terms: dict[str, str] | None = None, raw: str = "raw") -> DataFrame:
-    """Adds ``parsed``, ``valid`` and ``failure``. ``terms`` maps spellings to canonical technologies (a fixed dictionary)."""
+def parse_results(rows: DataFrame, terms: dict[str, str] | None = None, raw: str = "raw", aliases: DataFrame | None = None) -> DataFrame:
+    """Adds ``parsed``, ``valid`` and ``failure``.
+
+    ``terms`` maps spellings to canonical technologies (a fixed dictionary). With ``aliases (alias, canonical, ord)`` the
+    technologies of all records are named at once, spellings that are similar enough among them (``normalise_terms``).
+    """
     names = terms or {}
     kind = StructType([StructField("parsed", StringType()), StructField("valid", BooleanType()), StructField("failure", StringType())])
 
@@ -105,7 +110,15 @@ def parse_results(rows: DataFrame, terms: dict[str, str] | None = None, raw: str
         return pd.DataFrame({"parsed": [p and json.dumps(p) for p, _ in got], "valid": [f is None for _, f in got], "failure": [f for _, f in got]})
 
     out = rows.withColumn("__p", parse(F.col(raw)))
-    return out.withColumns({"parsed": F.from_json("__p.parsed", vocab.POSTING), "valid": F.col("__p.valid"), "failure": F.col("__p.failure")}).drop("__p")
+    out = out.withColumns({"parsed": F.from_json("__p.parsed", vocab.POSTING), "valid": F.col("__p.valid"), "failure": F.col("__p.failure")}).drop("__p")
+    if aliases is None:
+        return out
+    lists = {f"__{f}": F.col("parsed")[f] for f in _TERM_LISTS}
+    out = normalise_lists(out.withColumns(lists), list(lists), aliases, distinct=False)
+    named = F.col("parsed")
+    for f in _TERM_LISTS:
+        named = named.withField(f, F.col(f"__{f}"))
+    return out.withColumn("parsed", F.when(F.col("parsed").isNotNull(), named)).drop(*lists)
 
 
 def messages(system: Column, instruction: Column, acknowledgement: Column, shots: Column, target: Column) -> Column:
@@ -123,17 +136,3 @@ def completion_labels(prompt_length: Column, ids: Column) -> Column:
     """Token ids with those of the prompt masked by -100."""
     return F.concat(F.array_repeat(F.lit(-100), prompt_length), F.slice(ids, prompt_length + 1, F.greatest(F.size(ids) - prompt_length, F.lit(0))))
 
-
-def generate(rows: DataFrame, answer, prompt: str = "prompt") -> DataFrame:
-    """Adds ``raw``, ``latency_s`` from ``answer(prompt) -> text``, called in the tasks; any client is made there."""
-
-    def run(batches):
-        for frame in batches:
-            texts, seconds = [], []
-            for p in frame[prompt]:
-                began = time.perf_counter()
-                texts.append(answer(p))
-                seconds.append(time.perf_counter() - began)
-            yield frame.assign(raw=texts, latency_s=seconds)
-
-    return rows.mapInPandas(run, StructType([*rows.schema.fields]).add("raw", "string").add("latency_s", "double"))

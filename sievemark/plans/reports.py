@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import agreement, bootstrap, ceiling, curate, runs, scoring, training
+from ..operators import agreement, bootstrap, ceiling, curate, parsing, runs, scoring, training
 from ..operators.percentiles import exact_percentiles
+from ..operators.similar import similar
 from ..sources import records
 from ..streaming.resume import answer_stream
 from ..tables import shared_folder
@@ -103,6 +104,33 @@ def term_ceiling_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ceiling.ceilings(docs.select("offer_id", "prose", _gold(tech_expected=F.col("words"), tech_optional=odd).alias("gold")), names)
 
 
+def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all conversations that are similar to long words of the benchmark: the best one, and how many there are."""
+    words = lambda name: _table(spark, sf_dir, name).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''").distinct()
+    names = words("benchmark").where(F.length("w") >= 7).select(F.col("w").alias("alias"), F.row_number().over(Window.orderBy("w")).alias("ord"))  # the short table of items
+    keys = words("conversations").select(F.col("w").alias("key")).join(names, F.col("key") == F.col("alias"), "left_anti")
+    pairs = similar(keys, names).join(names, "alias")
+    return pairs.groupBy("key").agg(F.max_by("alias", F.struct(F.col("ratio"), -F.col("ord"))).alias("alias"), F.round(F.max("ratio"), 4).alias("ratio"), F.count(F.lit(1)).alias("n"))
+
+
+SKILLS = {"kubernetes": ["k8s"], "postgresql": ["postgres"], "typescript": None, "javascript": ["js"]}
+
+
+def parse_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with misspelt technologies, repeated keys and NaN."""
+    event, k = F.col("event_type"), F.pmod("event_id", F.lit(4))
+    answer = (
+        F.when(k == 0, F.concat(F.lit('{"tech_expected": ["Kubernets", "k8s", "kubernetess"], "tech_optional": ["cobol", " ", "'), event, F.lit('"]}')))
+        .when(k == 1, F.concat(F.lit('{"title": "a", "title": "'), event, F.lit('", "tech_expected": ["typescripts", "javscript"]}')))
+        .when(k == 2, F.lit('{"salary": {"amount_from": NaN}, "tech_optional": ["POSTGRESQL ", "postgre"]}'))
+        .otherwise(F.lit('{"tech_optional": ["k9s", 7, null]} and more'))
+    )
+    rows = _table(spark, sf_dir, "events").select("event_id", answer.alias("raw"))
+    out = parsing.parse_results(rows, aliases=records.aliases(spark, SKILLS))
+    lists = (F.array_join(f"parsed.{f}", ",").alias(f) for f in ("tech_expected", "tech_optional"))
+    return out.select("event_id", "valid", "parsed.title", *lists, F.isnan("parsed.salary.amount_from").alias("is_nan"))
+
+
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine tenths of the rows are one group; no group is held by one task."""
     group = F.when(F.pmod("l_orderkey", F.lit(10)) != 0, "hot").otherwise(F.col("l_returnflag"))
@@ -167,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words,
+        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies,
     )
 }
 
@@ -260,6 +288,32 @@ ORACLES = {
         )
         SELECT *, round_even(present / terms, 4) AS share, round_even(unanswerable / records, 4) AS unanswerable_share FROM s
     """,
+    # the common subsequence bit by bit: a letter of the key at a time, a bit for each letter of the alias
+    "similar_terms": """
+        WITH RECURSIVE names AS (
+            SELECT w AS alias, row_number() OVER (ORDER BY w) AS ord
+            FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7
+        ), keys AS (
+            SELECT w AS key FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM conversations) WHERE w <> '' AND w NOT IN (SELECT alias FROM names)
+        ), letters AS (
+            SELECT alias, substr(alias, i, 1) AS c, sum(1::HUGEINT << (i - 1)::INT)::HUGEINT AS places
+            FROM (SELECT alias, unnest(range(1, length(alias) + 1))::INT AS i FROM names) GROUP BY ALL
+        ), walk AS (
+            SELECT key, alias, ord, 1 AS i, (1::HUGEINT << length(alias)::INT) - 1 AS v FROM keys, names
+            WHERE least(length(key), length(alias)) * 200.0 / (length(key) + length(alias)) >= 88
+            UNION ALL
+            SELECT key, walk.alias, ord, i + 1, ((v + (v & coalesce(places, 0::HUGEINT))) | (v - (v & coalesce(places, 0::HUGEINT)))) & ((1::HUGEINT << length(walk.alias)::INT) - 1)
+            FROM walk LEFT JOIN letters ON letters.alias = walk.alias AND letters.c = substr(key, i, 1) WHERE i <= length(key)
+        ), rated AS (
+            SELECT key, alias, ord, 200.0::DOUBLE * (length(alias) - bit_count(v)) / (length(key) + length(alias)) AS ratio FROM walk WHERE i = length(key) + 1
+        )
+        SELECT key, arg_max(alias, ratio * 1e6 - ord) AS alias, round(max(ratio), 4) AS ratio, count(*) AS n FROM rated WHERE ratio >= 88 GROUP BY key
+    """,
+    "parse_technologies": """
+        SELECT event_id, true AS valid, CASE WHEN event_id % 4 = 1 THEN event_type END AS title,
+               ['kubernetes,kubernetes,kubernetes', 'typescript,javascript', '', ''][event_id % 4 + 1] AS tech_expected,
+               [concat('cobol,', event_type), '', 'postgresql,postgresql', 'k9s'][event_id % 4 + 1] AS tech_optional, event_id % 4 = 2 AS is_nan FROM events
+    """,
     "latency_percentiles": """
         WITH v AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN 'hot' ELSE l_returnflag END AS variant, (l_discount - 0.05::DOUBLE) * l_extendedprice AS v FROM lineitem)
         SELECT variant, count(*) AS n, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95,
