@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import contract, vocab
 from ..functions.columns import rounded, same_salary, same_set, text_set, title_key
 from ..sources.records import one_of_each_key
 from . import curate, scoring
@@ -104,16 +104,16 @@ def human_leg(rows: DataFrame, aliases: DataFrame, id_col: str = "offer_id") ->
 
 
 def checked_human_gold(rows: DataFrame, id_col: str = "offer_id") -> DataFrame:
-    """``rows``, whose ``human_gold`` must keep to the closed vocabularies; a row that does not fails the job by name.
-
-    Rows that are not labelled yet (null) are left alone.
-    """
-    g = F.col("human_gold")
-    within = lambda x, allowed: F.forall(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.coalesce(v.isin(*allowed), F.lit(False)))
-    kind = g["salary"]["kind"]
-    good = within(g["seniority"], vocab.SENIORITY_LEVELS) & within(g["work_mode"], vocab.WORK_MODES) & (kind.isNull() | kind.isin(*vocab.SALARY_KINDS))
-    message = F.concat(F.lit("human_gold row "), F.col(id_col).cast("string"), F.lit(" does not fit the schema"))
-    return rows.where(F.when(g.isNull() | good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    """``rows``, whose labels must keep to the contract, in ``human_gold`` or, where that is null or absent, in columns of their
+    own; a row that does not fails the job with its name and fields. Rows that are not labelled yet are left alone."""  # noqa: D205
+    nested = F.col("human_gold") if "human_gold" in rows.columns else F.lit(None).cast(vocab.GOLD)
+    lacking = lambda f: F.lit(None).cast(contract.spark_type(contract.GOLD.fields[f])).alias(f)
+    flat = F.struct(*(F.col(f) if f in rows.columns else lacking(f) for f in contract.GOLD_FIELDS))
+    names = [f.name for f in rows.schema["human_gold"].dataType.fields] if "human_gold" in rows.columns else []
+    broken = F.when(nested.isNotNull(), contract.violations(nested, contract.GOLD, fields=names)).otherwise(contract.violations(flat, contract.GOLD))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    message = F.concat(F.lit("human_gold row "), name, F.lit(" does not fit the schema: "), F.array_join(broken, ", "))
+    return rows.where(F.when(F.size(broken) == 0, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def pairwise(a: DataFrame, b: DataFrame, tolerance: float = 0.05, id_col: str = "offer_id") -> DataFrame:

@@ -131,8 +131,3 @@ def messages(system: Column, instruction: Column, acknowledgement: Column, shots
     pairs = F.flatten(F.transform(shots, lambda s: F.array(say("user", posting(s["prose"])), say("assistant", s["answer"]))))
     return F.concat(F.array(say("system", system), say("user", instruction), say("assistant", acknowledgement)), pairs, F.array(say("user", posting(target))))
 
-
-def completion_labels(prompt_length: Column, ids: Column) -> Column:
-    """Token ids with those of the prompt masked by -100."""
-    return F.concat(F.array_repeat(F.lit(-100), prompt_length), F.slice(ids, prompt_length + 1, F.greatest(F.size(ids) - prompt_length, F.lit(0))))
-

@@ -4,62 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ..functions import vocab
+from ..functions import contract
 from ..functions.columns import rounded
 from .parsing import messages
 from .percentiles import exact_percentiles
 
-Tokenizer = Callable[[str], list[int]]
-
-
-def schema_text() -> str:
-    """The fields of the answer and their types, for the prompt."""
-    return vocab.POSTING
+#: Chat messages, and whether an answer is to follow, to token ids.
+Template = Callable[[list[dict], bool], list[int]]
+#: Fixed value: the label of a place that is not learnt.
+MASKED = -100
+ENCODED = ("input_ids", "labels", "attention_mask", "prompt_length", "cut_chars")
 
 
 def sft_examples(records: DataFrame, system: str, instruction: str, acknowledgement: str, id_col: str = "offer_id") -> DataFrame:
     """``(id, prompt_messages, prose, completion)``: a prompt without shots and the gold label as JSON.
 
-    A gold label outside the closed vocabularies fails the job by name, so that nothing malformed is taught.
+    A gold label that breaks the contract anywhere fails the job by name, so that nothing malformed is taught.
     """
-    g = F.col("gold")
-    within = lambda x, allowed: F.forall(F.coalesce(x, F.array().cast("array<string>")), lambda v: F.coalesce(v.isin(*allowed), F.lit(False)))
-    good = within(g["seniority"], vocab.SENIORITY_LEVELS) & within(g["work_mode"], vocab.WORK_MODES)
-    bad = F.raise_error(F.concat(F.lit("gold of "), F.col(id_col).cast("string"), F.lit(" does not fit the schema")))
     none = F.array().cast("array<struct<prose:string,answer:string>>")
     prompt = messages(F.lit(system), F.lit(instruction), F.lit(acknowledgement), none, F.col("prose"))
-    completion = F.when(good, F.to_json("gold", {"ignoreNullFields": "false"})).otherwise(bad.cast("string"))
-    return records.select(id_col, prompt.alias("prompt_messages"), "prose", completion.alias("completion"))
-
-
-def encode_one(before: str, prose: str, after: str, completion: str, tokenize: Tokenizer, max_len: int) -> tuple[list[int], int, int]:
-    """Ids, length of the prompt, and characters cut from the end of the posting until both fit; the completion is whole."""
-    answer, kept = tokenize(completion), prose
-    while True:
-        prompt = tokenize(before + kept + after)
-        if len(prompt) + len(answer) <= max_len:
-            return prompt + answer, len(prompt), len(prose) - len(kept)
-        if not kept:
-            raise ValueError("the prompt without a posting and the completion exceed the limit")
+    gold = contract.conforming(F.col("gold"), contract.GOLD, F.concat(F.lit("gold of "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    return records.select(id_col, prompt.alias("prompt_messages"), "prose", F.to_json(gold, {"ignoreNullFields": "false"}).alias("completion"))
+
+
+def encode_one(messages: list[dict], completion: str, template: Template, max_len: int) -> tuple[list[int], list[int], int]:
+    """Ids, labels and the characters cut from the end of the last message.
+
+    The prompt must be a prefix of the whole, id by id, or labels would mask the wrong places. Only the last message, the
+    posting, is cut, by a tenth at a time; the completion stays whole, and what is too long even without a posting is
+    returned as it is.
+    """
+    answer = {"role": "assistant", "content": completion}
+
+    def both(asked: list[dict]) -> tuple[list[int], list[int]]:
+        prompt, whole = list(template(asked, True)), list(template([*asked, answer], False))
+        if whole[: len(prompt)] != prompt:
+            raise ValueError("the chat template does not begin the whole with the prompt")
+        return prompt, whole
+
+    *before, last = messages
+    posting = kept = last["content"]
+    prompt, whole = both(messages)
+    while len(whole) > max_len and kept:
         kept = kept[: len(kept) - max(1, len(kept) // 10)]
+        prompt, whole = both([*before, {**last, "content": kept}])
+    return whole, [MASKED] * len(prompt) + whole[len(prompt) :], len(posting) - len(kept)
 
 
-def encoded(examples: DataFrame, tokenizer: Callable[[], Tokenizer], max_len: int, before: str = "", after: str = "\n", id_col: str = "offer_id") -> DataFrame:
-    """``(id, ids, prompt_length, cut_chars)`` of ``examples (id, prose, completion)``; ``tokenizer()`` is called in the tasks."""
+def encoded(examples: DataFrame, template: Callable[[], Template], max_len: int, id_col: str = "offer_id") -> DataFrame:
+    """``(id, input_ids, labels, attention_mask, prompt_length, cut_chars)`` of ``examples (id, prompt_messages, completion)``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenize = tokenizer()
-        for f in frames:
-            got = [encode_one(before, p or "", after, c, tokenize, max_len) for p, c in zip(f["prose"], f["completion"])]
-            yield pd.DataFrame({id_col: f[id_col], "ids": [g[0] for g in got], "prompt_length": [g[1] for g in got], "cut_chars": [g[2] for g in got]})
+    ``template()`` is called in the tasks and gives a function of messages and whether an answer is to follow. Labels are
+    the ids of the completion, behind a mask for the prompt. An example without messages or completion has null columns.
+    """
 
-    kind = StructType([examples.schema[id_col]]).add("ids", ArrayType(LongType())).add("prompt_length", "long").add("cut_chars", "long")
-    return examples.select(id_col, "prose", "completion").mapInPandas(run, kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = template()
+        for b in batches:
+            made = []
+            for asked, completion in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if not asked or completion is None:
+                    made.append((None,) * 5)
+                    continue
+                whole, labels, cut = encode_one(asked, completion, ids, max_len)
+                made.append((whole, labels, [1] * len(whole), sum(x == MASKED for x in labels), cut))
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            columns = [pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *ENCODED])
+
+    kind = f"`{id_col}` {examples.schema[id_col].dataType.simpleString()}, input_ids array<long>, labels array<long>, attention_mask array<long>, prompt_length long, cut_chars long"
+    return examples.select(id_col, "prompt_messages", "completion").mapInArrow(run, kind)
 
 
 def length_profile(lengths: DataFrame, length: str = "length") -> DataFrame:

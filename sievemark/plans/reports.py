@@ -146,10 +146,27 @@ def trial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("offer_id"), F.col("text").alias("prose"), _gold(title=F.col("source")).alias("gold"))
-    made = training.sft_examples(rows, "s", "i", "ok").select("offer_id", "prose", F.lit("one two three").alias("completion"))
-    ids = training.encoded(made, lambda: lambda text: [len(w) for w in text.split(" ") if w], 10**9)
-    return training.length_profile(ids.select((F.size("ids")).alias("length")))
+    """Lengths by a template of an id for each word."""
+
+    def template() -> training.Template:
+        return lambda asked, _: [len(w) for m in asked for w in m["content"].split(" ") if w]
+
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("offer_id"), F.coalesce("text", F.lit("")).alias("prose"), _gold(title=F.col("source")).alias("gold"))
+    made = training.sft_examples(rows, "s", "i", "ok").withColumn("completion", F.lit("one two three"))
+    return training.length_profile(training.encoded(made, template, 10**9).select(F.size("input_ids").alias("length")))
+
+
+def sft_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples under a limit, by a template of an id for each character and a mark before each turn."""
+
+    def template() -> training.Template:
+        return lambda asked, answer: [x for m in asked for x in (0, *map(ord, m["content"]))] + [0] * answer
+
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("offer_id"), F.coalesce("text", F.lit("")).alias("prose"), _gold(title=F.col("source"), seniority=F.array(F.lit("mid"))).alias("gold"))
+    made = training.sft_examples(rows, "system", "instruction", "ok").withColumn("completion", F.concat(F.lit("{"), F.col("offer_id").cast("string"), F.lit("}")))
+    out = training.encoded(made, template, 3000)
+    learnt = F.concat_ws(",", F.filter("labels", lambda x: x != training.MASKED).cast("array<string>"))
+    return out.select(F.col("offer_id").alias("doc_id"), F.size("input_ids").cast("long").alias("n_ids"), "prompt_length", "cut_chars", learnt.alias("learnt"), F.size("attention_mask").cast("long").alias("n_mask"))
 
 
 def sft_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies,
+        sft_profile, sft_encoding, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies,
     )
 }
 
@@ -270,9 +287,17 @@ ORACLES = {
     "frozen_gold": "SELECT CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS part, doc_id AS pos, CASE WHEN doc_id % 9 <> 0 THEN source END AS title, 0::BIGINT AS n_seniority FROM documents",
     "trial_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25",
     "sft_profile": """
-        WITH l AS (SELECT len(list_filter(string_split(concat(coalesce(text, ''), chr(10)), ' '), lambda w : w <> '')) + 3 AS n FROM documents)
+        WITH l AS (SELECT len(list_filter(string_split(concat('Posting:', chr(10), coalesce(text, '')), ' '), lambda w : w <> '')) + 6 AS n FROM documents)
         SELECT count(*) AS n, round(quantile_cont(n, 0.5), 3) AS p50, round(quantile_cont(n, 0.9), 3) AS p90, round(quantile_cont(n, 0.99), 3) AS p99, max(n)::BIGINT AS longest FROM l
     """,
+    "sft_encoding": """
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, length(coalesce(text, '')) + 9 AS l, length(coalesce(text, '')) + 9 AS whole, 24 + length(doc_id::VARCHAR) + 2 AS beside FROM documents
+            UNION ALL SELECT doc_id, l - greatest(1, l // 10), whole, beside FROM cut WHERE l + beside > 3000 AND l > 0
+        ), last AS (SELECT doc_id, min(l) AS l, whole, beside FROM cut GROUP BY doc_id, whole, beside)
+        SELECT doc_id, (l + beside)::BIGINT AS n_ids, (l + 24)::BIGINT AS prompt_length, (whole - l)::BIGINT AS cut_chars,
+               concat('123,', array_to_string(list_transform(string_split(doc_id::VARCHAR, ''), lambda c : ascii(c)), ','), ',125') AS learnt, (l + beside)::BIGINT AS n_mask FROM last
+    """,
     "sft_completions": "SELECT doc_id, 4::BIGINT AS n_messages, md5(concat('Posting:', chr(10), text)) AS asked_md5, 'mid' AS seniority FROM documents",
     "term_ceiling_words": r"""
         WITH items AS (

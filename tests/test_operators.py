@@ -87,17 +87,29 @@ def test_guards(spark):
 
 
 def test_encoding_shrinks_the_posting(spark):
+    asked = lambda prose: [("system", "be brief"), ("user", prose)]
     prose = " ".join(f"w{i}" for i in range(200))
-    words = lambda text: [len(w) for w in text.split()]
-    rows = spark.createDataFrame([(1, prose, "one two"), (2, "short", "one"), (3, None, "x")], "offer_id long, prose string, completion string")
-    got = {r.offer_id: r for r in training.encoded(rows, lambda: str.split and words, 50, "before ").collect()}
+    rows = spark.createDataFrame(
+        [(1, asked(prose), "one two"), (2, asked("short"), "one"), (3, asked(""), "x " * 60), (4, None, "x"), (5, asked("y"), None)],
+        "offer_id long, prompt_messages array<struct<role:string,content:string>>, completion string",
+    )
+    template = lambda messages, answer: [x for m in messages for x in (7, *(len(w) for w in m["content"].split()))] + [7] * answer
+    got = {r.offer_id: r for r in training.encoded(rows, lambda: template, 50).collect()}
     kept = prose
-    while len(words("before " + kept + "\n")) + 2 > 50:
+    while len(template([{"content": "be brief"}, {"content": kept}, {"content": "one two"}], False)) > 50:
         kept = kept[: len(kept) - max(1, len(kept) // 10)]
-    assert got[1].ids == words("before " + kept + "\n") + [3, 3] and got[1].cut_chars == len(prose) - len(kept)
-    assert (got[2].prompt_length, got[2].cut_chars, got[3].ids) == (2, 0, [6, 1])
-    with pytest.raises(ValueError):
-        training.encode_one("a b c", "d", "", "e f", words, 4)
+    prompt = template([{"content": "be brief"}, {"content": kept}], True)
+    assert got[1].input_ids == [*prompt, 3, 3] and got[1].labels == [-100] * len(prompt) + [3, 3] and got[1].cut_chars == len(prose) - len(kept)
+    assert (got[1].attention_mask, got[1].prompt_length) == ([1] * len(got[1].input_ids), len(prompt))
+    assert (got[2].input_ids, got[2].labels, got[2].cut_chars) == ([7, 2, 5, 7, 5, 7, 3], [-100] * 6 + [3], 0)
+    assert len(got[3].input_ids) == 65 and got[3].labels[-60:] == [1] * 60  # too long even without a posting: returned whole
+    assert got[4].input_ids is None and got[5].labels is None
+
+
+def test_a_template_that_breaks_the_prompt(spark):
+    rows = spark.createDataFrame([(1, [("user", "a")], "b")], "offer_id long, prompt_messages array<struct<role:string,content:string>>, completion string")
+    with pytest.raises(Exception, match="does not begin the whole with the prompt"):
+        training.encoded(rows, lambda: lambda messages, answer: [len(messages)], 50).collect()
 
 
 def test_report_rows_of_variants_without_gold(spark):
