@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +12,10 @@ from ..operators import agreement, bootstrap, ceiling, curate, parsing, runs, sc
 from ..operators.percentiles import exact_percentiles
 from ..operators.similar import similar
 from ..sources import records
-from ..streaming.resume import answer_stream
-from ..tables import shared_folder
-from .queries import TERMS, _examples, _gold, _legs, _table
+from ..sources.versions import freeze, read_frozen
+from ..streaming.resume import answer_stream, resume_run
+from ..tables import materialise, scratch_folder
+from .queries import _IS_TEST, _RANKED, _SQL_EXAMPLES, TERMS, _examples, _gold, _legs, _table
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders come as a stream; a third of them is in the sink from an earlier run and is not answered again."""
-    folder = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex[:12]}"
+    folder = scratch_folder(spark, "resume")
     orders, schema = _table(spark, sf_dir, "orders"), "id long, answer string"
     records.write_jsonl(orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("answer")), f"{folder}/sink")
     # a pattern, because a stream takes a plain path for a folder, and the table may be one file
@@ -208,11 +208,34 @@ def resume_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_strict(spark, f"{folder}/sink", schema)
 
 
+def resume_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three starts: a part under one cap, all under another, which supersedes it, and again, with nothing left to answer."""
+    root, orders, schema = scratch_folder(spark, "restarts"), _table(spark, sf_dir, "orders"), "id long, answer string"
+    source = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]")
+    wanted = source.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("answer"))
+    for cap, rows in ((512, wanted.where("id % 3 = 0")), (1024, wanted), (1024, wanted)):
+        run = resume_run(spark, root, "id", schema, cap)
+        run.stream(rows, lambda new: new).awaitTermination()
+    done = run.finish(orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos")))
+    superseded = F.lit(run.info["superseded"]["suffix"]).alias("superseded")
+    return records.read_strict(spark, done, f"{schema}, max_tokens long").select("id", "answer", "max_tokens", superseded)
+
+
+def frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split data set, frozen as one version and read back, held against what was committed."""
+    kept = curate.build_dataset(_examples(spark, sf_dir), 400)[0]
+    split = materialise(curate.temporal_split(kept, 0.2), "split")
+    root = scratch_folder(spark, "frozen")
+    freeze({name: split.where(F.col("split") == name).drop("split") for name in ("train", "test")}, root, {"test_fraction": 0.2})
+    parts = [read_frozen(spark, root, name).select("offer_id", F.lit(name).alias("split"), F.md5(F.col("prose").cast("binary")).alias("prose_md5")) for name in ("train", "test")]
+    return parts[0].unionByName(parts[1]).withColumnRenamed("offer_id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_encoding, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies,
+        sft_profile, sft_encoding, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies, resume_restarts, frozen_split,
     )
 }
 
@@ -350,5 +373,9 @@ ORACLES = {
         SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS input_tokens, 3::BIGINT AS output_tokens, 64::BIGINT AS max_tokens, length(coalesce(text, '')) % 2 = 1 AS valid,
                CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN 'no_json_object' END AS failure, CASE WHEN length(text) % 2 = 1 THEN md5(text) END AS title_md5 FROM conversations
     """,
+    "resume_restarts": "SELECT o_orderkey AS id, o_orderstatus AS answer, 1024::BIGINT AS max_tokens, '.cap512' AS superseded FROM orders",
+    "frozen_split": f"""
+        WITH {_SQL_EXAMPLES} SELECT doc_id, CASE WHEN {_IS_TEST} THEN 'test' ELSE 'train' END AS split, md5(text) AS prose_md5 FROM {_RANKED} JOIN kept USING (doc_id)
+    """,
     "resume_stream": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE o_orderstatus END AS answer FROM orders",
 }

@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import strip
 
 
-def read_strict(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+def read_strict(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

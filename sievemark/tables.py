@@ -19,10 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets; what is there when the driver ends goes then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; the table goes when the driver ends."""
-    path = f"{shared_folder(df.sparkSession)}/table-{name}-{uuid.uuid4().hex[:12]}"
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = scratch_folder(df.sparkSession, f"table-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
