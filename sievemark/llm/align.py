@@ -80,7 +80,9 @@ class Alignment:
 
 def align(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Alignment:
     """Groups and links of two token sequences over the same bytes; ``links`` has the two token numbers of each interval."""
-    ends = np.union1d(ends_a, ends_b)
+    ended = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 0, bool)
+    ended[ends_a] = ended[ends_b] = True
+    ends = np.flatnonzero(ended)  # the union of both, as np.union1d gives it, without its sort
     own_a, own_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     shared = ends[(ends_a[own_a] == ends) & (ends_b[own_b] == ends)]
     return Alignment(a, b, np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b), np.stack([own_a, own_b]))
@@ -93,7 +95,8 @@ class Pair:
         self.encode_a, self.codec = encoder(ranks), Codec(vocabulary)
         self.tokens = flattened(spelt)
         self.lengths = self.tokens[2]
-        self.digits = [[f"{i}{sep}" for i in range(max(len(spelt), len(vocabulary.pieces)))] for sep in ",|;"]
+        self.most = max(len(spelt), len(vocabulary.pieces))
+        self.digits = [f"{i}{after}" for after in ",|;" for i in range(self.most)]
 
     def of(self, text: str | None) -> Alignment:
         none = np.zeros(0, np.int64)
@@ -110,15 +113,13 @@ class Pair:
         """``a1,a2|b1;a3|b2,b3``"""
         n_a, n_b = x.group_sizes()
         before_a, before_b = np.cumsum(n_a), np.cumsum(n_b)
-        ids, after = np.zeros(len(x.a) + len(x.b), np.int64), np.zeros(len(x.a) + len(x.b), np.int8)
+        ids = np.zeros(len(x.a) + len(x.b), np.int64)
         ids[np.arange(len(x.a)) + (before_b - n_b)[x.groups_a]] = x.a
         ids[np.arange(len(x.b)) + before_a[x.groups_b]] = x.b
-        after[before_a + before_b - n_b - 1] = 1
-        after[before_a + before_b - 1] = 2
-        out, tables = [], self.digits
-        for at in range(0, len(ids), 1 << 18):
-            out.append("".join([tables[s][i] for i, s in zip(ids[at : at + (1 << 18)].tolist(), after[at : at + (1 << 18)].tolist())]))
-        return "".join(out)[:-1]
+        ids[before_a + before_b - n_b - 1] += self.most  # the last A of a group
+        ids[before_a + before_b - 1] += 2 * self.most  # its last B
+        parts = (ids[at : at + (1 << 18)].tolist() for at in range(0, len(ids), 1 << 18))
+        return "".join("".join(map(self.digits.__getitem__, part)) for part in parts)[:-1]
 
 
 _pairs: dict[int, Pair] = {}
