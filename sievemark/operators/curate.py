@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -54,12 +56,24 @@ def build_salary(contracts: Column) -> Column:
     return F.when(first.isNotNull(), made.cast(vocab.SALARY))
 
 
+#: What can become of a page, in the order of a report.
+PAGE_REASONS = ("fetch_failed", "unusable_page", "usable")
+
+
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """``(offer_id, url, pub_date, prose, gold)`` of the pages that hold an offer with prose; technologies are as written,
     lower-cased (``normalise_lists`` makes them canonical)."""  # noqa: D205
+    return judged_pages(pages, html).where("reason = 'usable'").drop("reason")
+
+
+def judged_pages(pages: DataFrame, html: str = "html", seen: Observation | None = None) -> DataFrame:
+    """``parse_pages`` of every page, with the ``reason`` of ``PAGE_REASONS`` that says what became of it.
+
+    ``seen`` counts the reasons while the rows are read for whatever they are read for, in the same pass.
+    """
     wrapped = f"STRUCT<props: STRUCT<pageProps: STRUCT<offer: STRUCT<{_OFFER}>>>>"
     offer = F.from_json(embedded_json(F.col(html)), wrapped)["props"]["pageProps"]["offer"]
-    rows = pages.withColumn("__offer", offer).where(F.coalesce(F.col("__offer.id"), F.lit("")) != "")
+    rows = pages.withColumn("__offer", offer)
     o, job = F.col("__offer"), F.col("__offer.attributes.employment")
     names = lambda x: F.array_distinct(F.filter(F.transform(texts(x["name"]), lambda v: F.lower(strip(v))), lambda v: v != ""))
     gold = F.struct(
@@ -73,8 +87,15 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     out = rows.select(
         o["id"].alias("offer_id"), (F.col("url") if "url" in pages.columns else F.lit("")).alias("url"),
         o["publicationDetails"]["dateOfInitialPublicationUtc"].alias("pub_date"), build_prose(o["jsonSections"]).alias("prose"), gold.alias("gold"),
+        F.col(html).isNull().alias("__missing"),
     )
-    return out.where("prose <> ''")
+    good = (F.coalesce("offer_id", F.lit("")) != "") & (F.col("prose") != "")
+    out = out.withColumn("reason", F.when(F.col("__missing"), PAGE_REASONS[0]).when(good, PAGE_REASONS[2]).otherwise(PAGE_REASONS[1])).drop("__missing")
+    return out if seen is None else out.observe(seen, *_reason_counts())
+
+
+def _reason_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("requested"), *(F.count_if(F.col("reason") == r).alias(r) for r in PAGE_REASONS)]
 
 
 def has_signal(gold: Column) -> Column:
@@ -137,12 +158,36 @@ def build_dataset(examples: DataFrame, min_prose_chars: int) -> tuple[DataFrame,
 
 
 def collection_stats(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row of counts by what became of a page, and a line that says so: not fetched (no html), not usable, usable."""
-    found = parse_pages(pages.withColumn("url", F.lit("")), html).agg(F.count(F.lit(1)).alias("usable"))
-    counts = pages.agg(F.count(F.lit(1)).alias("requested"), F.count_if(F.col(html).isNull()).alias("fetch_failed")).crossJoin(found)  # one row each
-    unusable = F.col("requested") - F.col("fetch_failed") - F.col("usable")
-    line = F.format_string("requested %d: fetch_failed %d, unusable_page %d, usable %d", "requested", "fetch_failed", unusable, "usable")
-    return counts.select("requested", "fetch_failed", unusable.alias("unusable_page"), "usable", line.alias("line"))
+    """One row of counts by what became of a page, and a line that says so, in one pass over the pages."""
+    counts = judged_pages(pages.withColumn("url", F.lit("")), html).agg(*_reason_counts())
+    line = F.format_string("requested %d: fetch_failed %d, unusable_page %d, usable %d", "requested", *PAGE_REASONS)
+    return counts.select("requested", *PAGE_REASONS, line.alias("line"))
+
+
+def fetched_pages(urls: DataFrame, fetcher: Callable[[], Callable[[str], str]], delay: float = 0.0, url: str = "url", html: str = "html") -> DataFrame:
+    """``urls`` with ``html`` and ``error``. ``fetcher()`` is called once in each task and gives a function of an address.
+
+    What it raises for one address is that row's ``error`` and no html; the others go on. A task asks one address at a time
+    and waits ``delay`` seconds between two, so the number of partitions says how many are asked at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch, first = fetcher(), True
+        for b in batches:
+            for at in range(b.num_rows):
+                one = b.slice(at, 1)
+                if delay and not first:
+                    time.sleep(delay)
+                first, page, error = False, None, None
+                try:
+                    page = fetch(one.column(b.schema.get_field_index(url))[0].as_py())
+                except Exception as e:  # noqa: BLE001  whatever a page does must not end the others
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([page], pa.string()), pa.array([error], pa.string())], names=[*b.schema.names, html, "error"])
+
+    kept = urls.select(*(F.col(f"`{c}`") for c in urls.columns if c not in (html, "error")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{schema}, `{html}` string, error string")
 
 
 def newest(rows: DataFrame, order: Column, n: int) -> Column:
@@ -189,13 +234,24 @@ def shots_split(rows: DataFrame, n: int, pos: str = "pos") -> DataFrame:
     return rows.join(head, pos, "left").withColumn("is_shot", F.coalesce("is_shot", F.lit(False)))
 
 
+def ranked(rows: DataFrame, order: str) -> DataFrame:
+    """``(order, rank)``: places from 0 in this order, worked out over ranges in all tasks; ties are in no certain order."""
+    keys = materialise(rows.select(order).repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftright("__at", 33)
+    sizes = keys.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each task
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__part", (F.coalesce(before, F.lit(0)) - F.shiftleft(F.col("__part"), 33)).alias("__shift"))
+    return keys.join(F.broadcast(sizes), part == F.col("__part")).select(order, (F.col("__at") + F.col("__shift")).alias("rank"))
+
+
 def spread_sample(rows: DataFrame, n: int, pos: str = "pos") -> DataFrame:
-    """Every step-th row of a table with dense ``pos`` from 0, at most ``n``; all rows if there are no more."""
+    """Every step-th row in the order of ``pos``, whatever its values, at most ``n``; all rows if there are no more."""
     total = rows.count()
     if n >= total:
         return rows
     step = max(1, total // max(1, n))
-    return rows.where((F.pmod(F.col(pos), F.lit(step)) == 0) & (F.col(pos) < step * n))
+    taken = ranked(rows, pos).where((F.pmod(F.col("rank"), F.lit(step)) == 0) & (F.col("rank") < step * n))
+    return rows.join(taken.select(pos), pos, "left_semi")
 
 
 def select_sample(ids: DataFrame, disagreeing: DataFrame, n: int, seed: str, strategy: str = "stratified", id_col: str = "offer_id") -> DataFrame:
@@ -218,10 +274,18 @@ def select_sample(ids: DataFrame, disagreeing: DataFrame, n: int, seed: str, str
 
 
 def review_queue(sample: DataFrame, records: DataFrame, proposals: DataFrame, flags: DataFrame, id_col: str = "offer_id") -> DataFrame:
-    """Sampled records with their proposal (null where there is none), their disagreement flags and an empty label to fill."""
-    empty = F.lit(None).cast(vocab.GOLD).alias("human_gold")
-    queue = records.join(sample, id_col, "left_semi").join(proposals.select(id_col, "parsed"), id_col, "left").join(flags, id_col, "left")
-    return queue.select("*", empty)
+    """Sampled records with their proposal (null where there is none), their disagreement flags and an empty label to fill.
+
+    With a ``pos`` in ``sample`` the rows carry it as ``queue_pos`` and are sorted by it. An empty label has empty lists and
+    null texts.
+    """
+    lists = {"title": "string", "salary": vocab.SALARY}
+    fields = ("title", *vocab.SET_FIELDS, "contract_types", "salary")
+    empty = F.struct(*((F.lit(None).cast(lists[f]) if f in lists else F.array().cast("array<string>")).alias(f) for f in fields))
+    order = [F.col("pos").alias("queue_pos")] if "pos" in sample.columns else []
+    queue = records.join(sample.select(id_col, *order), id_col).join(proposals.select(id_col, "parsed"), id_col, "left").join(flags, id_col, "left")
+    queue = queue.withColumn("human_gold", empty)
+    return queue.orderBy("queue_pos") if order else queue
 
 
 def normalise_terms(terms: DataFrame, aliases: DataFrame, threshold: float = vocab.FUZZY_THRESHOLD, term: str = "term") -> DataFrame:

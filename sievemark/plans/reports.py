@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -50,11 +50,27 @@ def report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairwise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _legs(spark, sf_dir)
-    label = lambda c: _gold(seniority=F.array(c), title=F.when(F.pmod("offer_id", F.lit(5)) != 0, F.col(c)))
-    a = rows.select("offer_id", (F.pmod("offer_id", F.lit(7)) != 0).alias("valid"), label("l").alias("label"))
-    out = agreement.pairwise(a, rows.select("offer_id", label("h").alias("label")))
-    return out.where("field IN ('all', 'seniority')").withColumn("value", F.round("value", 4))
+    """Two label sources that differ in every field."""
+    rows, k = _legs(spark, sf_dir), F.col("offer_id")
+    mode = lambda c: F.array(F.when(F.col(c) == "senior", "remote").otherwise("office"))
+    pay = lambda there, code, low: F.when(there, F.struct(F.lit("b2b").alias("kind"), code.alias("currency"), F.lit(low).alias("amount_from"), F.lit(200.0).alias("amount_to"), F.lit("month").alias("period")))
+
+    def label(c: str, other: str, optional: Column, salary: Column) -> Column:
+        title = F.when(F.pmod(k, F.lit(5)) != 0, F.col(c))
+        return _gold(seniority=F.array(c), title=title, work_mode=mode(other), tech_expected=F.array(F.col(c), F.concat(F.lit("p "), "p")), tech_optional=optional, salary=salary)
+
+    none = F.array().cast("array<string>")
+    own = label("l", "p", F.array("l"), pay(F.pmod(k, F.lit(3)) != 0, F.lit("PLN"), 100.0))
+    other = label("h", "h", none, pay(F.pmod(k, F.lit(2)) == 0, F.when(F.pmod(k, F.lit(5)) == 0, "EUR").otherwise("PLN"), 103.0))
+    a = rows.select("offer_id", (F.pmod(k, F.lit(7)) != 0).alias("valid"), own.alias("label"))
+    return agreement.pairwise(a, rows.select("offer_id", other.alias("label"))).withColumn("value", F.round("value", 4))
+
+
+def pick_winner_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants whose sums are equal: the lower latency wins, then the place."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", F.lit("/"), (F.col("l_linenumber") % 3).cast("string")).alias("variant"))
+    report = lines.agg(F.round(F.avg("l_discount"), 1).alias("headline_f1"), F.lit(1.0).alias("json_validity"), F.round(F.avg("l_quantity"), -1).alias("latency_p50"))
+    return scoring.pick_winner(report.withColumn("pos", F.reverse("variant"))).select("variant", "headline_f1", "latency_p50")
 
 
 def human_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collection_stats, variant_report, report_metadata, pairwise_report, human_labels, model_labels, bootstrap_separation, frozen_gold, trial_rows,
-        sft_profile, sft_encoding, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies, resume_restarts, frozen_split,
+        sft_profile, sft_encoding, sft_completions, longest_prompt, probe_grid, model_run, resume_stream, latency_percentiles, term_ceiling_words, similar_terms, parse_technologies, resume_restarts, frozen_split, pick_winner_tied,
     )
 }
 
@@ -270,15 +286,31 @@ ORACLES = {
     "report_metadata": "SELECT count(*) AS n_gold, count(*) FILTER (doc_id % 3 = 1) AS salary_support, 'b,c' AS incomplete, 'b' AS duplicated FROM documents",
     "pairwise_report": """
         WITH legs AS (
-            SELECT doc_id % 7 <> 0 AS valid, CASE WHEN quality = 1 THEN 'senior' ELSE 'junior' END AS h, CASE WHEN n_chars >= 800 THEN 'senior' ELSE 'junior' END AS l
+            SELECT doc_id AS k, doc_id % 7 <> 0 AS valid, CASE WHEN quality = 1 THEN 'senior' ELSE 'junior' END AS h, CASE WHEN n_chars >= 800 THEN 'senior' ELSE 'junior' END AS l,
+                   CASE WHEN doc_id % 3 = 0 THEN 'senior' ELSE 'junior' END AS p, doc_id % 3 <> 0 AS sa, doc_id % 2 = 0 AS sb, doc_id % 5 <> 0 AS named
             FROM labels JOIN documents USING (doc_id)
         ), s AS (
             SELECT count(*) AS n, avg(valid::INT) AS v, avg((h = l)::INT) AS po, sum((valid AND h = l)::INT) AS tp, sum((valid AND h <> l)::INT) AS fp,
-                   sum((NOT (valid AND h = l))::INT) AS fn, avg((h = 'senior')::INT) AS hs, avg((l = 'senior')::INT) AS ls FROM legs
-        ), k AS (SELECT *, hs * ls + (1 - hs) * (1 - ls) AS pe FROM s)
-        SELECT 'all' AS field, 'n' AS metric, n::DOUBLE AS value FROM k UNION ALL SELECT 'all', 'json_validity', round(v, 4) FROM k
-        UNION ALL SELECT 'seniority', 'agreement', round(po, 4) FROM k UNION ALL SELECT 'seniority', 'f1', round(2 * tp / (2 * tp + fp + fn), 4) FROM k
-        UNION ALL SELECT 'seniority', 'exact', round(tp / n, 4) FROM k UNION ALL SELECT 'seniority', 'kappa', round((po - pe) / (1 - pe), 4) FROM k
+                   sum((NOT (valid AND h = l))::INT) AS fn, avg((h = 'senior')::INT) AS hs, avg((l = 'senior')::INT) AS ls, avg((p = 'senior')::INT) AS ps,
+                   avg((h = p)::INT) AS wo, sum((valid AND h = p)::INT) AS wtp, sum((valid AND h <> p)::INT) AS wfp,
+                   sum(valid::INT * (1 + (h = l)::INT)) AS etp, sum((valid AND h <> l)::INT) AS efp, avg((NOT named OR h = l)::INT) AS same_title,
+                   count(*) FILTER (named) AS titles, count(*) FILTER (named AND valid AND h = l) AS right_titles,
+                   count(*) FILTER (sb) AS support, avg((valid AND sa = sb)::INT) AS detection, count(*) FILTER (valid AND sa AND sb) AS both_paid, count(*) FILTER (valid AND sa AND sb AND named) AS same_code
+            FROM legs
+        ), k AS (SELECT *, hs * ls + (1 - hs) * (1 - ls) AS pe, hs * ps + (1 - hs) * (1 - ps) AS wpe FROM s)
+        SELECT f.field, f.metric, round(f.value::DOUBLE, 4) AS value FROM k, LATERAL (VALUES
+            ('all', 'n', n), ('all', 'json_validity', v), ('title', 'exact', right_titles / titles), ('title', 'agreement', same_title),
+            ('seniority', 'agreement', po), ('seniority', 'f1', 2 * tp / (2 * tp + fp + fn)), ('seniority', 'exact', tp / n), ('seniority', 'kappa', (po - pe) / (1 - pe)),
+            ('work_mode', 'agreement', wo), ('work_mode', 'f1', 2 * wtp / (wtp + wfp + n)), ('work_mode', 'exact', wtp / n), ('work_mode', 'kappa', (wo - wpe) / (1 - wpe)),
+            ('tech_expected', 'agreement', po), ('tech_expected', 'f1', 2 * etp / (etp + efp + 2 * n)), ('tech_expected', 'exact', tp / n),
+            ('tech_optional', 'agreement', 0), ('tech_optional', 'f1', 0), ('tech_optional', 'exact', NULL),
+            ('salary', 'salary_support', support), ('salary', 'detection', detection), ('salary', 'currency', same_code / support), ('salary', 'kind', both_paid / support),
+            ('salary', 'amounts', both_paid / support)
+        ) f(field, metric, value)
+    """,
+    "pick_winner_tied": """
+        SELECT l_returnflag || '/' || (l_linenumber % 3) AS variant, round(avg(l_discount), 1) AS headline_f1, round(avg(l_quantity), -1) AS latency_p50
+        FROM lineitem GROUP BY 1 ORDER BY headline_f1 DESC, latency_p50, reverse(l_returnflag || '/' || (l_linenumber % 3)) LIMIT 1
     """,
     "human_labels": """
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, CASE WHEN doc_id % 2 = 0 THEN 'mid' ELSE 'lead' END AS seniority,
