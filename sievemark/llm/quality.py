@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise, restricted, row_key, small_batches
-from .textvec import LOWER, Block, blocks, mix, shingle_hashes, span_hashes
+from .textvec import LOWER, SPACE, Block, blocks, mix, shingle_hashes, span_hashes
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -80,14 +80,29 @@ def _by_text(kind: np.ndarray, text: np.ndarray, n: int, width: int) -> np.ndarr
     return np.bincount(text * width + kind, minlength=n * width).reshape(n, width)
 
 
+#: Bytes that are counted at once, so that what is made of them does not grow with the text.
+PIECE = 1 << 20
+
+
+def _byte_counts(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the characters by class, and those in words."""
+    classes, word_chars = np.zeros((block.n, len(CLASSES)), np.int64), np.zeros(block.n, np.int64)
+    for at in range(0, len(block.data), PIECE):
+        part = block.data[at : at + PIECE]
+        text = np.repeat(np.arange(block.n), np.diff(np.clip(block.bounds, at, at + len(part))))
+        kind = _CLASS[part]
+        real = kind >= 0
+        classes += _by_text(kind[real].astype(np.int64), text[real], block.n, len(CLASSES))
+        word_chars += np.bincount(text[((part & 0xC0) != 0x80) & ~SPACE[part]], minlength=block.n)
+    return classes, word_chars
+
+
 def features(block: Block) -> dict[str, np.ndarray]:
     """The counts of each text of a block."""
     data, n = block.data, block.n
     starts, ends, text = block.words()
-    chars = (data & 0xC0) != 0x80
     n_words = np.bincount(text, minlength=n)
-    total = np.concatenate(([0], np.cumsum(chars, dtype=np.int64)))
-    word_chars = np.bincount(text, weights=total[ends] - total[starts], minlength=n).astype(np.int64)
+    by_class, word_chars = _byte_counts(block)
 
     cuts = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate((block.bounds[:-1], cuts + 1)))
@@ -108,17 +123,17 @@ def features(block: Block) -> dict[str, np.ndarray]:
     n_dup_lines = np.bincount(line_text, minlength=n) - np.bincount(line_text[firsts], minlength=n)
 
     grams, at = shingle_hashes(span_hashes(data, starts, ends), text, 5)
-    _, back, count = np.unique(mix(grams + text[at].astype(np.uint64)), return_inverse=True, return_counts=True)
-    repeated = at[count[back] > 1]
+    grams = mix(grams + text[at].astype(np.uint64))
+    ordered = np.sort(grams)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    repeated = at[twice[np.minimum(np.searchsorted(twice, grams), len(twice) - 1)] == grams] if len(twice) else at[:0]
+    del grams, at
     cover = np.zeros(len(starts) + 6, np.int64)
     np.add.at(cover, repeated, 1)
     np.add.at(cover, repeated + 5, -1)
     n_repeat = np.bincount(text[np.cumsum(cover)[: len(starts)] > 0], minlength=n)
 
-    kind = _CLASS[data]
-    real = kind >= 0
-    of_byte = np.repeat(np.arange(n), np.diff(block.bounds))
-    by_class = _by_text(kind[real].astype(np.int64), of_byte[real], n, len(CLASSES))
     a, b, letters_text = block.runs(_LETTER[data])
     h = span_hashes(LOWER[data], a, b)
     slot = np.minimum(np.searchsorted(_WORD_HASH, h), len(WORDS) - 1)

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
@@ -81,7 +81,7 @@ class Block:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text of each word ``[^\\x20\\x09-\\x0D]+``."""
-        return self.runs(~_SPACE[self.data])
+        return self.runs(~SPACE[self.data])
 
 
 def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
