@@ -166,7 +166,7 @@ def _placed(permutation: Feistel):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=9).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             slots = permutation.slot(b.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([squeeze(x.as_buffer()) for x in b.column(1)], pa.binary())], names=["slot", "packed"])
