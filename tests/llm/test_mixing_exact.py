@@ -35,3 +35,29 @@ def test_more_sources_than_a_thousand(spark):
         got = mix(rows, block=4, repeat=repeat).collect()
         assert Counter(r.row.doc_id for r in got if r.epoch == 0) == Counter(range(9000))
         assert len({(r.slot, r.place) for r in got}) == len(got) and len({r.source for r in got}) == 1502
+
+
+def test_the_query_against_a_plain_walk_over_the_slots(spark, sf):
+    """At each slot the released block with the earliest deadline, all sources looked at one by one."""
+    import math
+
+    from sievemark.llm import queries
+
+    n = Counter(r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").collect())
+    weights = {s: Fraction(x**0.7 / sum(y**0.7 for y in n.values())) for s, x in n.items()}
+    total = sum(weights.values())
+    share, blocks = {s: w / total for s, w in weights.items()}, {s: -(-x // 64) for s, x in n.items()}
+    had, want, t = Counter(), {}, 0
+    while had != blocks:
+        waiting = [s for s in blocks if had[s] < blocks[s] and math.floor(had[s] / share[s]) <= t]
+        if waiting:
+            first = min(waiting, key=lambda s: (math.ceil((had[s] + 1) / share[s]), s is not None, str(s)))
+            want[first, had[first]] = t
+            had[first] += 1
+        t += 1
+    got = queries.op3_mixing(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert {(r.source, r.block): r.slot for r in got} == want
+    filled = Counter((r.source, r.block) for r in got)
+    assert all(filled[s, k] == min(64, n[s] - 64 * k) for s, k in filled)
+    assert all({r.place for r in got if (r.source, r.block) == b} == set(range(c)) for b, c in filled.items())
