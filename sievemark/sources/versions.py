@@ -24,12 +24,14 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a small file as a whole; false, and nothing changed, where it is there already."""
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Write a small file as a whole. Where it is there already: with ``replace`` it is exchanged, else false and unchanged."""
     (temporary, fs), (target, _) = _path(spark, f"{path}.{uuid.uuid4().hex}.part"), _path(spark, path)
     out = fs.create(temporary, False)
     out.write(bytearray(text.encode()))
     out.close()
+    if replace:
+        fs.delete(target, False)
     done = not fs.exists(target) and fs.rename(temporary, target)
     if not done:
         fs.delete(temporary, False)
