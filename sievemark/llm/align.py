@@ -96,7 +96,7 @@ class Pair:
         self.tokens = flattened(spelt)
         self.lengths = self.tokens[2]
         self.most = max(len(spelt), len(vocabulary.pieces))
-        self.digits = [f"{i}{after}" for after in ",|;" for i in range(self.most)]
+        self.digits = flattened([f"{i}{after}".encode() for after in ",|;" for i in range(self.most)])
 
     def of(self, text: str | None) -> Alignment:
         none = np.zeros(0, np.int64)
@@ -109,7 +109,7 @@ class Pair:
             return empty
         return align(a, b, np.cumsum(self.lengths[a]), np.cumsum(self.codec.lengths[b]))
 
-    def groups_text(self, x: Alignment) -> str:
+    def groups_text(self, x: Alignment) -> bytes:
         """``a1,a2|b1;a3|b2,b3``"""
         n_a, n_b = x.group_sizes()
         before_a, before_b = np.cumsum(n_a), np.cumsum(n_b)
@@ -118,18 +118,17 @@ class Pair:
         ids[np.arange(len(x.b)) + before_a[x.groups_b]] = x.b
         ids[before_a + before_b - n_b - 1] += self.most  # the last A of a group
         ids[before_a + before_b - 1] += 2 * self.most  # its last B
-        parts = (ids[at : at + (1 << 18)].tolist() for at in range(0, len(ids), 1 << 18))
-        return "".join("".join(map(self.digits.__getitem__, part)) for part in parts)[:-1]
+        return spelling(*self.digits, ids)[:-1]
 
 
-_pairs: dict[int, Pair] = {}
+#: The encoders of this worker, with the broadcast value that they were made of.
+_pairs: list[tuple] = []
 
 
 def _pair(shared) -> Pair:
-    if id(shared.value) not in _pairs:
-        _pairs.clear()
-        _pairs[id(shared.value)] = Pair(*shared.value)
-    return _pairs[id(shared.value)]
+    if not _pairs or _pairs[0][0] is not shared.value:
+        _pairs[:] = [(shared.value, Pair(*shared.value))]
+    return _pairs[0][1]
 
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_products")
@@ -144,7 +143,7 @@ def _aligned(shared, size: int):
                 x = pair.of(text.as_py())
                 n_a, n_b = x.group_sizes()
                 counts.append((len(x.a), len(x.b), x.n_groups, x.links.shape[1], int((n_a * n_b).sum())))
-                digests.append(hashlib.sha256(pair.groups_text(x).encode()).hexdigest() if len(x.a) else "")
+                digests.append(hashlib.sha256(pair.groups_text(x)).hexdigest() if len(x.a) else "")
                 key, n = np.unique(x.a[x.links[0]] * size + x.b[x.links[1]], return_counts=True)
                 keys.append(key)
                 times.append(n.astype(np.int32))

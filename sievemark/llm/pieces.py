@@ -76,7 +76,7 @@ class Codec:
         self.length = [len(p) for p in v.pieces]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            if self.merged(piece) == [piece]:  # others are never met
+            if len(piece) > 1 and self.merged(piece) == [piece]:  # others are never met
                 self.automaton.add_word(piece, (i, len(piece), {}))
         self.automaton.make_automaton()
         self.words: dict[str, bytes] = {}
@@ -115,16 +115,29 @@ class Codec:
         return fits[before]
 
     def word(self, word: str) -> bytes:
-        """Ids of a word, as 32-bit numbers, by its prefix table; an entry of None is a character that no piece has."""
+        """Ids of a word, as 32-bit numbers, by its prefix table.
+
+        One token fits at each place, so where none of the longer pieces does it is the character's own piece, which needs no
+        test: those entries stay None. A character that no piece has fits beside anything.
+        """
         table: list[int | None] = [None] * len(word)
+        single = self.ids.get
         for end, (token, length, fits) in self.automaton.iter(word):
             if table[end] is None:
-                before = table[end - length] if end >= length else None
+                at = end - length
+                if at < 0:
+                    table[end] = token
+                    continue
+                before = table[at]
+                if before is None:
+                    before = table[at] = single(word[at])
                 if before is None or (fit := fits.get(before)) or (fit is None and self.compatible(before, token, fits)):
                     table[end] = token
         out, at = [], len(word) - 1
         while at >= 0:
             token = table[at]
+            if token is None:
+                token = single(word[at])
             if token is None:
                 out += [self.vocabulary.first_byte + b for b in reversed(word[at].encode())]
                 at -= 1
@@ -191,15 +204,15 @@ def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 
 codecs.register_error("byte_by_byte", _each_byte)
 
-_codecs: dict[int, Codec] = {}
+#: The codec of this worker.
+_codecs: list[Codec] = []
 
 
 def codec(shared) -> Codec:
     """The codec of this worker for a broadcast vocabulary."""
-    if shared.value is not None and id(shared.value) not in _codecs:
-        _codecs.clear()
-        _codecs[id(shared.value)] = Codec(shared.value)
-    return _codecs[id(shared.value)]
+    if not _codecs or _codecs[0].vocabulary is not shared.value:
+        _codecs[:] = [Codec(shared.value)]
+    return _codecs[0]
 
 
 def lists(rows: list[np.ndarray], kind=np.int32) -> pa.ListArray:

@@ -99,18 +99,19 @@ def encoder(ranks: dict[bytes, int]) -> Callable[[str], np.ndarray]:
 
     whole = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     single = whole._core_bpe.encode_single_piece
+    ids = lambda text: whole.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
     cut = regex.compile(r"(?<=[!-~\p{L}\p{N}])[ \n]")
     pieces = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
     def encode(text: str) -> np.ndarray:
         if len(text) <= 2 * PART:
-            return np.array(whole.encode_ordinary(text), np.uint16)
+            return ids(text)
         out, at = [], 0
         while at < len(text):
             found = cut.search(text, at + PART) if len(text) - at > 2 * PART else None
             end = found.start() if found else len(text)
             if end - at <= 2 * PART:
-                out.append(np.array(whole.encode_ordinary(text[at:end]), np.uint16))
+                out.append(ids(text[at:end]))
             else:
                 out += [np.array(single(m[0].encode()), np.uint16) for m in pieces.finditer(text[at:end])]
             at = end
