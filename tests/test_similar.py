@@ -77,3 +77,16 @@ def test_lists_of_rows_that_share_an_id(spark):
     assert got == {1: ["javascript", "x"], 2: ["javascript"], 3: ["typescript"], 4: [], 5: ["y"]}
     assert {r.n: r.t for r in curate.normalise_lists(rows, ("t",), names, distinct=False).collect()}[2] == ["javascript", "javascript"]
     assert curate.normalise_lists(rows.limit(0), ("t",), names).count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_terms_of_all_rows_are_not_broadcast(spark, monkeypatch, most):
+    """Rows so alike that their file is small; no side of a join that has a row's number is a broadcast."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(curate, "BROADCAST_TERMS", most)
+    rows = spark.range(20000).select(F.col("id").alias("offer_id"), F.array(F.lit("js"), F.lit("Typescripts"), F.lit("x")).alias("t"), F.repeat(F.lit("y"), 500).alias("wide"))
+    made = curate.normalise_lists(rows, ("t",), records.aliases(spark, {"javascript": ["js"], "typescript": None}))
+    assert {(tuple(r.t), r["count"]) for r in made.groupBy("t").count().collect()} == {(("javascript", "typescript", "x"), 20000)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 - bool(most) and "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == bool(most)
