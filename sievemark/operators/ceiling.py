@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
 from ..functions.columns import rounded, texts
 
 #: Spellings that a dictionary may have; every task holds all of them.
@@ -99,7 +100,7 @@ def found_terms(rows: DataFrame, aliases: DataFrame, text: str = "prose", into:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made()
-        for b in batches:
+        for b in pieces(batches):
             values = pa.array([sorted(known.found(folded(t.as_py() or ""))) for t in b.column("__text")], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], values], names=[*b.schema.names[:-1], into])
 
@@ -118,7 +119,7 @@ def ceilings(records: DataFrame, aliases: DataFrame, fields: Sequence[str] = ("t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made()
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for text, *lists in zip(*(c.to_pylist() for c in b.columns)):
                 if not any(lists):

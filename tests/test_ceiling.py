@@ -77,3 +77,23 @@ def test_one_pass_over_the_records(spark):
     frame = spark.range(10).select(F.col("id").alias("offer_id"), F.lit("react").alias("prose"), F.struct(F.array(F.lit("react")).alias("tech_expected"), F.array(F.lit("c")).alias("tech_optional")).alias("gold"))
     plan = ceiling.ceilings(frame, records.aliases(spark, NAMES))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Range") == 1
+
+
+def test_batches_of_long_texts_are_read_in_pieces(spark, monkeypatch):
+    """What a task makes of one Arrow batch comes in pieces of about a MB of text, with the sums of the whole."""
+    made = []
+
+    def watched(frame, run, kind, real=type(spark.range(0)).mapInArrow):
+        made.append(run)
+        return real(frame, run, kind)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    gold = F.struct(F.array(F.lit("react"), F.lit("cobol")).alias("tech_expected"), F.array().cast("array<string>").alias("tech_optional"))
+    frame = spark.range(200).select(F.col("id").alias("offer_id"), F.concat(F.repeat(F.lit("x"), 50_000), F.lit(" ReactJS")).alias("prose"), gold.alias("gold"))
+    got = {r.field: (r.terms, r.present, r.records) for r in ceiling.ceilings(frame, records.aliases(spark, NAMES)).collect()}
+    assert got == {"tech_expected": (400, 200, 200), "tech_optional": (0, 0, 0)}
+    found = ceiling.found_terms(frame.select("offer_id", "prose"), records.aliases(spark, NAMES))
+    assert found.where("found = array('react')").count() == 200
+    batch = frame.select("prose", "gold.tech_expected", "gold.tech_optional").toArrow().combine_chunks().to_batches()[0]
+    parts = [p.num_rows for p in made[0](iter([batch]))]
+    assert sum(parts) == 200 and max(parts) < 25
