@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contract
+from ..functions.batches import pieces
 from ..functions.columns import rounded
 from .parsing import messages
 from .percentiles import exact_percentiles
@@ -17,6 +18,8 @@ from .percentiles import exact_percentiles
 Template = Callable[[list[dict], bool], list[int]]
 #: Fixed value: the label of a place that is not learnt.
 MASKED = -100
+#: Ids after which a task hands its rows on.
+MOST_IDS = 1 << 17
 ENCODED = ("input_ids", "labels", "attention_mask", "prompt_length", "cut_chars")
 
 
@@ -59,22 +62,31 @@ def encoded(examples: DataFrame, template: Callable[[], Template], max_len: int,
     """``(id, input_ids, labels, attention_mask, prompt_length, cut_chars)`` of ``examples (id, prompt_messages, completion)``.
 
     ``template()`` is called in the tasks and gives a function of messages and whether an answer is to follow. Labels are
-    the ids of the completion, behind a mask for the prompt. An example without messages or completion has null columns.
+    the ids of the completion, behind a mask for the prompt. An example without messages or completion has null columns. A
+    task holds the ids of few rows at a time.
     """
 
+    def batch(made: list[tuple], own: pa.DataType) -> pa.RecordBatch:
+        kinds = (own, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        columns = [pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=[id_col, *ENCODED])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = template()
-        for b in batches:
-            made = []
-            for asked, completion in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for b in pieces(batches):
+            made, n = [], 0
+            for row, asked, completion in zip(*b.columns):
+                asked, completion = asked.as_py(), completion.as_py()
                 if not asked or completion is None:
-                    made.append((None,) * 5)
+                    made.append((row, *(None,) * 5))
                     continue
                 whole, labels, cut = encode_one(asked, completion, ids, max_len)
-                made.append((whole, labels, [1] * len(whole), sum(x == MASKED for x in labels), cut))
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            columns = [pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *ENCODED])
+                made.append((row, whole, labels, [1] * len(whole), sum(x == MASKED for x in labels), cut))
+                n += len(whole)
+                if n >= MOST_IDS:
+                    yield batch(made, b.schema.types[0])
+                    made, n = [], 0
+            yield batch(made, b.schema.types[0])
 
     kind = f"`{id_col}` {examples.schema[id_col].dataType.simpleString()}, input_ids array<long>, labels array<long>, attention_mask array<long>, prompt_length long, cut_chars long"
     return examples.select(id_col, "prompt_messages", "completion").mapInArrow(run, kind)

@@ -84,3 +84,23 @@ def test_labels_are_refused_by_name(spark):
 def test_labels_to_come_are_left_alone(spark):
     rows = spark.createDataFrame([(1, None), (None, None)], f"offer_id long, human_gold {vocab.GOLD}")
     assert agreement.checked_human_gold(rows).count() == 2
+
+
+def test_ids_are_handed_on_a_few_rows_at_a_time(spark, monkeypatch):
+    """Batches of one Arrow batch from Spark: none holds more than a bound of ids and one row, and no row is lost."""
+    made = []
+
+    def watched(frame, run, kind, real=type(spark.range(0)).mapInArrow):
+        made.append(run)
+        return real(frame, run, kind)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    monkeypatch.setattr(training, "MOST_IDS", 1000)
+    template = lambda: lambda asked, answer: [7] * sum(len(m["content"]) for m in asked)
+    rows = [(i if i % 9 else None, [{"role": "user", "content": "x" * (i % 300)}] if i % 7 else None, "ok") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "offer_id long, prompt_messages array<struct<role:string,content:string>>, completion string")
+    got = training.encoded(frame, template, 10**9)
+    assert sorted(tuple(r) for r in got.selectExpr("coalesce(offer_id, -1)", "coalesce(size(input_ids), -1)").collect()) == sorted((-1 if i is None else i, -1 if m is None else len(m[0]["content"]) + 2) for i, m, _ in rows)
+    parts = list(made[0](iter([frame.toArrow().combine_chunks().to_batches()[0]])))
+    assert sum(p.num_rows for p in parts) == 3000 and max(p.num_rows for p in parts) <= 1000
+    assert max(len(p.column(1).flatten()) for p in parts) < 1000 + 302
