@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import vocab
-from ..functions.columns import amounts_within, rounded, text_set, title_key
+from ..functions.columns import amounts_within, rounded, set_keys, title_key
 from ..sources.records import one_of_each_key
 from .percentiles import exact_percentiles
 
@@ -17,10 +18,10 @@ def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id", fields:
     """``preds (variant, id, valid, parsed, ...)`` with their gold; of repeated gold the last by ``pos`` counts (without a
     ``pos`` it is an error), repeated predictions each do. A missing ``valid`` is false.
 
-    With ``fields``, both sides carry only these through the join, the set fields as sets.
+    With ``fields``, both sides carry only these through the join, the set fields as sets of hashes (``set_keys``).
     """  # noqa: D205
     if fields is not None:
-        only = lambda x: F.struct(*((text_set(F.col(x)[f]) if f in vocab.SET_FIELDS else F.col(x)[f]).alias(f) for f in fields))
+        only = lambda x: F.struct(*((set_keys(F.col(x)[f]) if f in vocab.SET_FIELDS else F.col(x)[f]).alias(f) for f in fields))
         preds, gold = preds.withColumn("parsed", only("parsed")), gold.withColumn("gold", only("gold"))
     rows = preds.join(one_of_each_key(gold, id_col).select(id_col, "gold"), id_col)
     return rows.withColumn("valid", F.coalesce("valid", F.lit(False)))
@@ -29,20 +30,30 @@ def matched(preds: DataFrame, gold: DataFrame, id_col: str = "offer_id", fields:
 def set_contributions(rows: DataFrame, fields: Sequence[str] = vocab.SET_FIELDS) -> DataFrame:
     """Counts of each row and field; an invalid prediction is an empty one.
 
-    Both sides are made sets once; all counts follow from their sizes and that of what they share.
+    Both sides are made sets of hashes once, unless they came as such (``matched``); all counts follow from their sizes and
+    that of what they share, and only these are dealt out to the fields.
     """
 
-    def sides(field: str) -> Column:
-        p = F.when(F.col("valid"), text_set(F.col("parsed")[field])).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.lit(field).alias("field"), p.alias("p"), text_set(F.col("gold")[field]).alias("g"))
+    def keys(side: str, field: str) -> Column:
+        x = F.col(side)[field]
+        made = isinstance(rows.schema[side].dataType[field].dataType.elementType, LongType)
+        return x if made else set_keys(x)
 
-    rows = rows.withColumn("__s", F.explode(F.array(*map(sides, fields)))).withColumn("__tp", F.size(F.array_intersect("__s.p", "__s.g")))
-    tp, n_p, n_g = F.col("__tp"), F.size("__s.p"), F.size("__s.g")
+    made = rows.withColumns({f"__{side}_{f}": keys(side, f) for side in ("parsed", "gold") for f in fields})
+
+    def sizes(field: str) -> Column:
+        p, g = F.col(f"__parsed_{field}"), F.col(f"__gold_{field}")
+        own = lambda n: F.when(F.col("valid"), n).otherwise(0)
+        return F.struct(F.lit(field).alias("field"), own(F.size(F.array_intersect(p, g))).alias("tp"), own(F.size(p)).alias("p"), F.size(g).alias("g"))
+
+    made = made.withColumn("__s", F.array(*map(sizes, fields))).drop(*(f"__{side}_{f}" for side in ("parsed", "gold") for f in fields))
+    made = made.withColumn("__s", F.explode("__s"))
+    tp, n_p, n_g = F.col("__s.tp"), F.col("__s.p"), F.col("__s.g")
     counts = F.struct(
         F.col("__s.field").alias("field"), tp.alias("tp"), (n_p - tp).alias("fp"), (n_g - tp).alias("fn"),
         ((n_g > 0) & (tp == n_p) & (tp == n_g)).cast("int").alias("exact_supported"), (n_g > 0).cast("int").alias("support"), (n_p > 0).cast("int").alias("n_pred_nonempty"),
     )
-    return rows.withColumn("c", counts).drop("__s", "__tp")
+    return made.withColumn("c", counts).drop("__s")
 
 
 COUNTS = ("tp", "fp", "fn", "exact_supported", "support", "n_pred_nonempty")

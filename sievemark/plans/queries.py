@@ -108,16 +108,16 @@ def _variants(docs: DataFrame) -> DataFrame:
 
 
 def _scored(preds: DataFrame, gold: DataFrame, got: Column, fields: Sequence[str]) -> DataFrame:
-    parsed = _gold(tech_expected=got, tech_optional=got, title=F.when(F.pmod("doc_id", F.lit(3)) == 0, F.upper("source")).otherwise("lang"))
-    preds = preds.select("variant", F.col("doc_id").alias("offer_id"), (F.pmod("doc_id", F.lit(7)) != 0).alias("valid"), parsed.alias("parsed"))
+    parsed = _gold(tech_expected=F.col("got"), tech_optional=F.col("got"), title=F.when(F.pmod("doc_id", F.lit(3)) == 0, F.upper("source")).otherwise("lang"))
+    preds = preds.withColumn("got", got).select("variant", F.col("doc_id").alias("offer_id"), (F.pmod("doc_id", F.lit(7)) != 0).alias("valid"), parsed.alias("parsed"))
     return scoring.matched(preds, gold, fields=fields)
 
 
 def _predictions(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """Sets of all words of the whole text: gold as they are, and without those of three letters; predictions with the words
     of seven letters misspelt (a), or without those of four (b)."""  # noqa: D205
-    docs = _table(spark, sf_dir, "documents")
-    words = F.filter(F.split("text", " "), lambda w: w != "")
+    docs = _table(spark, sf_dir, "documents").withColumn("words", F.filter(F.split("text", " "), lambda w: w != "")).drop("text")
+    words = F.col("words")
     some = F.filter(words, lambda w: F.length(w) != 3)
     gold = docs.select(F.col("doc_id").alias("offer_id"), _gold(tech_expected=words, tech_optional=some, title=F.col("source")).alias("gold"))
     misspelt = F.transform(words, lambda w: F.when(F.length(w) == 7, F.concat(w, F.lit("~"))).otherwise(w))

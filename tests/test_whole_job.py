@@ -3,7 +3,7 @@
 import numpy as np
 
 import sievemark.plans.queries as plans
-from sievemark.operators import bootstrap
+from sievemark.operators import bootstrap, scoring
 
 
 def test_extract_pages_searches_every_page_whole(spark, tmp_path):
@@ -23,6 +23,31 @@ def test_set_scores_count_the_words_of_whole_texts(spark, tmp_path):
     assert got == {"a": (5001, 1, 1), "b": (5001, 0, 1)}
 
 
+def test_sets_cross_the_join_as_hashes(spark):
+    """What is carried through the join is numbers; counts are those of the terms, with nulls, repeats, and null or invalid answers."""
+    kind = "struct<tech_expected:array<string>,tech_optional:array<string>>"
+    lists = [None, [], ["a"], ["a", "a", None, "b"], ["b", "", "ä"], ["a b", "b a"], ["c", "b", "a", "x" * 100]]
+    gold = [(i * 7 + j, {"tech_expected": g, "tech_optional": h}) for i, g in enumerate(lists) for j, h in enumerate(lists)] + [(49, None)]
+    preds = [(v, k, ok, {"tech_expected": lists[(k + v) % 7], "tech_optional": lists[k % 5]}) for v in (0, 1) for k in range(50) for ok in (True, False, None)] + [(1, 3, True, None), (0, 49, True, None)]
+    preds = spark.createDataFrame(preds, f"variant int, offer_id long, valid boolean, parsed {kind}")
+    gold = spark.createDataFrame(gold, f"offer_id long, gold {kind}")
+    fields = ("tech_expected", "tech_optional")
+    rows = scoring.matched(preds, gold, fields=fields)
+    assert {rows.schema[side].dataType[f].dataType.elementType.typeName() for side in ("parsed", "gold") for f in fields} == {"long"}
+
+    answers = {r.offer_id: r.gold for r in gold.collect()}
+    as_set = lambda row, f: {t for t in (row and row[f]) or () if t is not None}
+    want = {}
+    for r in preds.collect():
+        for f in fields:
+            p, g = as_set(r.parsed if r.valid else None, f), as_set(answers[r.offer_id], f)
+            own = (len(p & g), len(p - g), len(g - p), int(bool(g) and p == g), int(bool(g)), int(bool(p)), 1)
+            want[r.variant, f] = tuple(map(sum, zip(want.get((r.variant, f), (0,) * 7), own)))
+    for sides in (rows, scoring.matched(preds, gold)):
+        got = {(r.variant, r.field): (r.tp, r.fp, r.fn, r.exact_supported, r.support, r.n_pred_nonempty, r.n) for r in scoring.set_scores(sides, fields).collect()}
+        assert got == want
+
+
 def test_bootstrap_draws_2000_resamples(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(bootstrap, "intervals", lambda metrics: seen.append(metrics) or metrics)
