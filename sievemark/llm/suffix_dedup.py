@@ -16,23 +16,27 @@ The strings to compare are all windows of ``length`` bytes. Three steps bring eq
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches
-from .textvec import Block, blocks, mix, rolling_hashes, span_hashes
+from ._common import arrow_batches, materialise, small_batches
+from .textvec import BLOCK_BYTES, Block, blocks, mix, rolling_hashes, span_hashes
 
 PIECE = 32
 #: Minimizers with more distinct segments than this are dealt window by window.
 MANY = 2000
-#: Segments that a task collapses at once, and bytes of a transform.
+#: Segments that a task collapses at once; bytes that are hashed, compared and transformed at once, or one group.
 TOGETHER = 1 << 20
-TRANSFORM_BYTES = 1 << 20
+HASHED_BYTES = 1 << 17
+SOLVED_BYTES = 1 << 22
+TRANSFORM_BYTES = 1 << 18
+#: Narrow rows of an Arrow batch; texts are bounded by bytes.
+NARROW = 1 << 15
 SEPARATOR = 0xFF  # no byte of UTF-8
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 SEGMENTS = "mini long, seg long, id long, tie long, start int, n int"
@@ -75,7 +79,7 @@ def segments(block: Block, length: int) -> tuple[np.ndarray, ...]:
     last = whole.copy()
     last[:-1] &= first[1:] | ~whole[1:]
     count = np.flatnonzero(last) + 1 - starts
-    text = np.searchsorted(bounds, starts, "right") - 1
+    text = np.repeat(np.arange(block.n), np.diff(np.searchsorted(starts, bounds)))
     return h[place[starts]], span_hashes(data, starts, starts + count + length - 1), text, starts - bounds[text], count
 
 
@@ -99,19 +103,22 @@ def _segmented(length: int):
 
     def collapse(held: list) -> Iterator[pa.RecordBatch]:
         mini, seg, doc, start, count, ids, ties = (np.concatenate(x) for x in zip(*held))
-        rank = np.empty(len(ids), np.int64)
-        order = np.lexsort((ties, ids))
-        same = np.concatenate(([False], (ids[order][1:] == ids[order][:-1]) & (ties[order][1:] == ties[order][:-1])))
-        rank[order] = np.cumsum(~same) - 1
-        who = rank[doc]
-        order = np.lexsort((start, who, seg, mini))
-        mini, seg, doc, start, count, who = (x[order] for x in (mini, seg, doc, start, count, who))
-        first = np.ones(len(mini), bool)
-        first[1:] = (mini[1:] != mini[:-1]) | (seg[1:] != seg[:-1])
-        head = np.maximum.accumulate(np.where(first, np.arange(len(mini)), 0))
-        later = ~first & ((who != who[head]) | (start != start[head]))
-        if len(mini):
-            yield _batch(SEGMENTS, _signed(mini[first]), _signed(seg[first]), ids[doc[first]], ties[doc[first]], start[first], count[first])
+        key = mix(mini) + seg
+        order = np.argsort(key)
+        several = np.zeros(len(key), bool)
+        equal = key[order[1:]] == key[order[:-1]]
+        several[1:] |= equal
+        several[:-1] |= equal
+        alone, order = order[~several], order[several]
+        order = order[np.lexsort((start[order], ties[doc[order]], ids[doc[order]], seg[order], mini[order]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (mini[order[1:]] != mini[order[:-1]]) | (seg[order[1:]] != seg[order[:-1]])
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        later = (ids[doc[order]] != ids[doc[head]]) | (ties[doc[order]] != ties[doc[head]]) | (start[order] != start[head])
+        at = np.concatenate((alone, order[first]))
+        if len(at):
+            yield _batch(SEGMENTS, _signed(mini[at]), _signed(seg[at]), ids[doc[at]], ties[doc[at]], start[at], count[at])
+        later = order[later]
         of, a, b = merged(doc[later], start[later], start[later] + count[later] + length - 1)
         if len(of):
             spread = _signed(mix((of.astype(np.uint64) << np.uint64(32)) + a.astype(np.uint64)))
@@ -186,57 +193,90 @@ def _sorted_places(length: int):
 CUT = "route long, id long, tie long, start int, n int, bytes binary"
 
 
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``data[start:start + size]`` of each, as one array of binaries."""
+    edges = _edges(sizes)
+    taken = data[np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(taken)])
+
+
+def _dealt(data: np.ndarray, a: np.ndarray, n: np.ndarray, mini: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Windows of crowded minimizers by where the minimizer stands in them: row, first window, number and route of each part.
+
+    The windows of a part share more bytes than the minimizer, and the part is named after all that it shares. Equal windows
+    have their minimizer at the same place, so they are in parts of one name.
+    """
+    wide = length - PIECE + 1
+    h = rolling_hashes(data[(a[:, None] + np.arange(length)).ravel()], PIECE)
+    h = np.concatenate((h, np.zeros(PIECE - 1, np.uint64))).reshape(-1, length)[:, :wide]
+    place = a + np.argmax(h == mini.view(np.uint64)[:, None], axis=1)
+    row = np.repeat(np.arange(len(a)), n)
+    window = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    part = (place[row] - window) * parts[row] // wide
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))
+    count = np.diff(np.concatenate((first, [len(row)])))
+    row, part = row[first], part[first]
+    low, high = (-(-(part + i) * wide // parts[row]) for i in (0, 1))
+    return row, window[first], count, _signed(span_hashes(data, place[row] - low, place[row] - high + 1 + length))
+
+
 def _cut(length: int):
-    """The bytes of the segments listed for each text; those of crowded minimizers window by window."""
+    """The bytes of the segments listed for each text; those of crowded minimizers in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list = []
-            windows: dict[int, list] = {}
-            for who, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for w in wanted:
-                    if not w["crowded"]:
-                        rows.append((w["mini"], who, tie, w["start"], w["n"], data[w["start"] : w["start"] + w["n"] + length - 1]))
-                        continue
-                    for s in range(w["start"], w["start"] + w["n"]):
-                        one = data[s : s + length]
-                        route = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
-                        windows.setdefault(route, []).append((who, tie, s, one))
-            for route, found in windows.items():  # a window that recurs in the batch is sent once; the others travel empty, as spans
-                found.sort(key=lambda x: x[:3])
-                sent: dict[bytes, tuple] = {}
-                for who, tie, s, one in found:
-                    first = sent.setdefault(one, (who, tie, s))
-                    if first == (who, tie, s):
-                        rows.append((route, who, tie, s, 1, one))
-                    else:
-                        rows.append((route, who, tie, s, 0, b""))
-            if rows:
-                yield _batch(CUT, *map(list, zip(*rows)))
+        for batch, block in blocks(batches, "text", 4 * BLOCK_BYTES):
+            wanted = batch.column(3)
+            text = np.repeat(np.arange(block.n), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            wanted = wanted.flatten()
+            start, n, mini, parts = (wanted.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "mini", "parts"))
+            a = block.bounds[text] + start
+            ids, ties = (batch.column(c).to_numpy()[text] for c in (0, 1))
+            plain = parts == 1
+            if plain.any():
+                yield _batch(CUT, mini[plain], ids[plain], ties[plain], start[plain], n[plain], _pieces(block.data, a[plain], n[plain] + length - 1))
+            at = np.flatnonzero(~plain)
+            for some in np.split(at, range(TOGETHER // length, len(at), TOGETHER // length)):
+                if not len(some):
+                    continue
+                row, first, count, route = _dealt(block.data, a[some], n[some], mini[some], parts[some], length)
+                row = some[row]
+                start_of, size = start[row] + first - a[row], count + length - 1
+                # a part that recurs here is sent once; the others travel empty, as spans
+                same = span_hashes(block.data, first, first + size)
+                order = np.lexsort((start_of, ties[row], ids[row], same, route))
+                row, first, count, route, same, start_of, size = (x[order] for x in (row, first, count, route, same, start_of, size))
+                new = np.concatenate(([True], (route[1:] != route[:-1]) | (same[1:] != same[:-1])))
+                head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                sent = new | ((ids[row] == ids[row[head]]) & (ties[row] == ties[row[head]]) & (start_of == start_of[head]))
+                yield _batch(CUT, route, ids[row], ties[row], start_of, np.where(sent, count, -size), _pieces(block.data, first, np.where(sent, size, 0)))
 
     return run
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` bytes or more, by doubling."""
+    """Suffixes in order of their first ``depth`` bytes or more; each round joins as many ranks as 64 bits hold, two at least."""
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : n + j]
-    done = 8
+    done, bits = 8, n.bit_length()
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if done >= depth:
             return order
         ranked = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        ahead = np.zeros(n, np.uint64)
-        ahead[: max(0, n - done)] = rank[done:]
-        key = (rank << np.uint64(32)) | ahead
-        done *= 2
+        key = rank.copy()
+        for j in range(1, 64 // bits):
+            key <<= np.uint64(bits)
+            key[: max(0, n - j * done)] |= rank[j * done :]
+        done *= 64 // bits
 
 
 def interval_boundaries(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -244,7 +284,7 @@ def interval_boundaries(data: np.ndarray, order: np.ndarray, length: int) -> np.
 
     Breadth first over the transform: place q, whose preceding character was last seen at place p, maps to a place that
     parts suffixes of common prefix l + 1 as soon as a boundary of value l lies in (p, q]. Values come in increasing order,
-    so the first one is right.
+    so the first one is right. Within a run of one character p is q - 1, and a boundary at q is handed on without a search.
     """
     n = len(data)
     before = data[order - 1]
@@ -255,62 +295,123 @@ def interval_boundaries(data: np.ndarray, order: np.ndarray, length: int) -> np.
     values[opens] = 0
     target = np.flatnonzero(~opens)
     q, p = column[target], column[target - 1]
+    run = q == p + 1
+    mapped = np.full(n, -1, np.int64)
+    mapped[q[run]] = target[run]
+    target, q, p = target[~run], q[~run], p[~run]
     fresh = np.flatnonzero(opens)
     for value in range(1, length):
-        if not len(fresh) or not len(target):
+        if not len(fresh):
             break
         flags = np.zeros(n, np.int32)
         flags[fresh] = 1
         seen = np.cumsum(flags, dtype=np.int32)
         hit = seen[q] > seen[p]
-        fresh = target[hit]
+        fresh = mapped[fresh]
+        fresh = np.concatenate((fresh[fresh >= 0], target[hit]))
         values[fresh] = value
         left = ~hit
         target, q, p = target[left], q[left], p[left]
     return values
 
 
+def _transformed(data: np.ndarray, starts: np.ndarray, n: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Of the ``n`` windows from each of ``starts`` on, in that order: those equal to one with a smaller ``place``."""
+    sizes = n + length
+    edges = np.cumsum(sizes) - sizes
+    text = data[np.minimum(np.repeat(starts - edges, sizes) + np.arange(sizes.sum()), len(data) - 1)]
+    text[edges + sizes - 1] = SEPARATOR
+    order = suffix_order(text, length)
+    group = np.cumsum(interval_boundaries(text, order, length) >= 0)
+    number = np.full(len(text), -1, np.int64)
+    number[np.repeat(edges - (np.cumsum(n) - n), n) + np.arange(len(place))] = np.arange(len(place))
+    number = number[order]
+    group, number = group[number >= 0], number[number >= 0]
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+    least = np.minimum.reduceat(place[number], np.flatnonzero(first))
+    again = np.zeros(len(place), bool)
+    again[number] = place[number] != least[np.cumsum(first) - 1]
+    return again
+
+
+def _window_hashes(data: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """A name of each of the ``n`` windows from each of ``starts`` on, which ascend; some rows at once, so that arrays stay small."""
+    out = np.empty(n.sum(), np.uint64)
+    ends = np.cumsum(n)
+    cuts = np.flatnonzero(np.diff(starts // HASHED_BYTES)) + 1
+    for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(n)]))):
+        low, done = starts[i], ends[i] - n[i]
+        at = np.repeat(starts[i:j] - low - (ends[i:j] - n[i:j] - done), n[i:j]) + np.arange(ends[j - 1] - done)
+        out[done : ends[j - 1]] = rolling_hashes(data[low : starts[j - 1] + n[j - 1] + length - 1], length)[at]
+    return out
+
+
 def _repeats(length: int):
-    """Repeats among the windows of the segments of a task, in transforms of whole groups."""
-
-    def solve(rows: list) -> pa.RecordBatch | None:
-        sizes = np.array([len(r[5]) for r in rows])
-        data = np.frombuffer(b"".join(r[5] + bytes([SEPARATOR]) for r in rows), np.uint8)
-        base = np.cumsum(sizes + 1) - sizes - 1
-        n = np.array([r[4] for r in rows])
-        who, tie, start = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        order = suffix_order(data, length)
-        group = np.cumsum(interval_boundaries(data, order, length) >= 0)
-        row = np.full(len(data), -1, np.int64)
-        windows = np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        row[windows] = np.repeat(np.arange(len(rows)), n)
-        valid = row[order] >= 0
-        at, group = order[valid], group[valid]
-        r = row[at]
-        place = start[r] + at - base[r]
-        by = np.lexsort((place, tie[r], who[r], group))
-        group, r, place = group[by], r[by], place[by]
-        first = np.ones(len(group), bool)
-        first[1:] = group[1:] != group[:-1]
-        head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-        again = ~first & ((who[r] != who[r[head]]) | (tie[r] != tie[r[head]]) | (place != place[head]))
-        of, a, b = merged(r[again], place[again], place[again] + length)
-        empty = np.flatnonzero(n == 0)
-        of, a, b = np.concatenate((of, empty)), np.concatenate((a, start[empty])), np.concatenate((b, start[empty] + length))
-        return _batch(SPANS, who[of], tie[of], a, b - a) if len(of) else None
+    """Repeats among the windows of the segments of a task.
+
+    A window whose hash no other has cannot be a repeat. The transforms hold what is left, in whole groups.
+    """
+
+    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        route, who, tie, start, n = (rows.column(i).to_numpy().astype(np.int64) for i in range(5))
+        block = Block(rows.column(5).combine_chunks())
+        ready = n < 0
+        spans = [np.stack((who[ready], tie[ready], start[ready], -n[ready]), 1)]
+        base = block.bounds[:-1][~ready]
+        route, who, tie, start, n = (x[~ready] for x in (route, who, tie, start, n))
+        if len(n):
+            row = np.repeat(np.arange(len(n)), n)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            h = _window_hashes(block.data, base, n, length)
+            order = np.argsort(h)
+            equal = h[order[1:]] == h[order[:-1]]
+            left = np.zeros(len(h), bool)
+            left[order[1:][equal]] = True
+            left[order[:-1][equal]] = True
+            order = np.lexsort((start, tie, who))
+            new = np.concatenate(([False], *[(np.diff(np.stack((who, tie, start))[:, order]) != 0).any(0)]))
+            rank = np.empty(len(n), np.int64)
+            rank[order] = np.cumsum(new)
+            place = rank[row] * int(n.max() + 1) + offset
+            again = np.zeros(len(h), bool)
+            window = np.flatnonzero(left)
+            if len(window):
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(window) > 1) | (np.diff(row[window]) > 0))))
+                count = np.diff(np.concatenate((first, [len(window)])))
+                of = row[window[first]]
+                begin = base[of] + offset[window[first]]
+                reach = np.cumsum(count + length)
+                changes = np.flatnonzero(np.diff(route[of])) + 1  # runs of windows before which a group starts
+                cuts = changes[np.flatnonzero(np.diff(reach[changes - 1] // TRANSFORM_BYTES, prepend=0))] if len(changes) else changes
+                for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(first)]))):
+                    some = window[first[i] : first[j - 1] + count[j - 1]]
+                    again[some] = _transformed(block.data, begin[i:j], count[i:j], place[some], length)
+            window = np.flatnonzero(again)
+            if len(window):
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(window) > 1) | (np.diff(row[window]) > 0))))
+                count = np.diff(np.concatenate((first, [len(window)])))
+                of = row[window[first]]
+                spans.append(np.stack((who[of], tie[of], start[of] + offset[window[first]], count + length - 1), 1))
+        found = np.concatenate(spans)
+        return _batch(SPANS, *found.T) if len(found) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        held = 0
+        held: list = []
+        size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if held >= TRANSFORM_BYTES and row[0] != rows[-1][0]:
-                    if (out := solve(rows)) is not None:
+            route = batch.column(0).to_numpy()
+            if size >= SOLVED_BYTES:  # a group is held whole
+                changes = np.flatnonzero(route != held[-1].column(0)[-1].as_py())
+                if len(changes):
+                    held.append(batch.slice(0, int(changes[0])))
+                    batch = batch.slice(int(changes[0]))
+                    if (out := solve(held)) is not None:
                         yield out
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[5]) + 1
-        if rows and (out := solve(rows)) is not None:
+                    held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if sum(x.num_rows for x in held) and (out := solve(held)) is not None:
             yield out
 
     return run
@@ -320,25 +421,20 @@ OUT = "id {id}, n_bytes long, n_removed long, spans array<struct<start:int,stop:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, removed, runs, kept = [], [], [], []
-        for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            a, b = (np.array([x[c] for x in found or []], np.int64) for c in ("start", "n"))
-            _, a, b = merged(np.zeros(len(a), np.int64), a, a + b)
-            cuts = list(zip(a.tolist(), b.tolist()))
-            edge, pieces = 0, []
-            for x, y in cuts:
-                pieces.append(data[edge:x])
-                edge = y
-            kept.append(b"".join([*pieces, data[edge:]]))
-            sizes.append(len(data))
-            removed.append(len(data) - len(kept[-1]))
-            runs.append([{"start": x, "stop": y} for x, y in cuts])
-        spans = pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), spans, pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"]
-        )
+    for batch, block in blocks(batches, "text"):
+        found = batch.column(2)
+        text = np.repeat(np.arange(block.n), pc.fill_null(found.value_lengths(), 0).to_numpy())
+        a, n = (found.flatten().field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+        a += block.bounds[text]
+        size = len(block.data) + 1
+        removed = np.cumsum(np.bincount(a, minlength=size) - np.bincount(a + n, minlength=size))[:-1] > 0
+        gone = block.per_text(removed)
+        start, stop, text = block.runs(removed)
+        spans = [pa.array((x - block.bounds[text]).astype(np.int32)) for x in (start, stop)]
+        spans = pa.ListArray.from_arrays(_edges(np.bincount(text, minlength=block.n)), pa.StructArray.from_arrays(spans, names=["start", "stop"]))
+        sizes = np.diff(block.bounds)
+        kept = pa.Array.from_buffers(pa.binary(), block.n, [None, pa.py_buffer(_edges(sizes - gone)), pa.py_buffer(block.data[~removed])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(gone), spans, kept], names=["id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,14 +455,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     )
     found = base.select("id", "tie", "text").mapInArrow(_segmented(length), SEGMENTS).repartition("mini")
     found = found.sortWithinPartitions("mini", "seg", "id", "tie", "start").mapInArrow(_sorted_places(length), FOUND)
-    found = materialise(found, "segments")
+    with arrow_batches(docs.sparkSession, NARROW):
+        found = materialise(found, "segments")
     spans = found.where("mini is null").select("id", "tie", "start", "n")
     several = found.where("mini is not null")
-    crowded = several.groupBy("mini").agg(F.max("nth").alias("most")).where(F.col("most") >= MANY).select("mini", F.lit(True).alias("crowded"))
-    several = several.join(crowded, "mini", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    listed = several.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "mini", "crowded")).alias("wanted"))
+    crowded = several.groupBy("mini").agg(F.max("nth").alias("most")).where(F.col("most") >= MANY)
+    parts = F.least(F.lit(length - PIECE + 1), F.ceil((F.col("most") + 1) / MANY)).cast("int")
+    several = several.join(crowded.select("mini", parts.alias("parts")), "mini", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    listed = several.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "mini", "parts")).alias("wanted"))
     cut = base.select("id", "tie", "text").join(listed, ["id", "tie"]).select("id", "tie", "text", "wanted").mapInArrow(_cut(length), CUT)
     solved = cut.repartition("route").sortWithinPartitions("route", "id", "tie", "start").mapInArrow(_repeats(length), SPANS)
-    spans = materialise(spans.unionByName(solved), "repeats")
+    with arrow_batches(docs.sparkSession, NARROW):
+        spans = materialise(spans.unionByName(solved), "repeats")
     by_text = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("found"))
     return base.join(by_text, ["id", "tie"], "left").select("own", "text", "found").mapInArrow(_kept, OUT.format(id=kind))

@@ -122,8 +122,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     long = np.flatnonzero(lanes > _LANES)
     edge = np.concatenate(([0], np.cumsum(lanes[long] - _LANES)))
     for a in range(0, int(edge[-1]), _SLICE):
-        number = np.arange(a, min(a + _SLICE, int(edge[-1])))
-        which = np.searchsorted(edge, number, "right") - 1
+        b = min(a + _SLICE, int(edge[-1]))
+        i, j = np.searchsorted(edge, [a, b - 1], "right") - [1, 0]
+        number, which = np.arange(a, b), np.repeat(np.arange(i, j), np.diff(np.clip(edge[i : j + 1], a, b)))
         first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
         lane = number - edge[which] + _LANES
         value = eights[starts[long[which]] + 8 * lane] & _MASKS[np.minimum(size[long[which]] - 8 * lane, 8)]
