@@ -34,12 +34,12 @@ MANY = 2000
 TOGETHER = 1 << 20
 HASHED_BYTES = 1 << 17
 SOLVED_BYTES = 1 << 22
-TRANSFORM_BYTES = 1 << 18
+TRANSFORM_BYTES = 1 << 15
 #: Narrow rows of an Arrow batch; texts are bounded by bytes.
 NARROW = 1 << 15
 SEPARATOR = 0xFF  # no byte of UTF-8
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-SEGMENTS = "mini long, seg long, id long, tie long, start int, n int"
+SEGMENTS = "mini long, seg long, id long, tie long, at long"  # at: start and n, so that a row is narrower
 FOUND = "mini long, nth long, id long, tie long, start int, n int"
 SPANS = "id long, tie long, start int, n int"
 
@@ -54,6 +54,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _packed(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 32) | (n.astype(np.int64) & 0xFFFFFFFF)
+
+
 def segments(block: Block, length: int) -> tuple[np.ndarray, ...]:
     """Minimizer, segment hash, text, start in the text and number of windows of each segment."""
     data, bounds = block.data, block.bounds
@@ -117,17 +121,17 @@ def _segmented(length: int):
         later = (ids[doc[order]] != ids[doc[head]]) | (ties[doc[order]] != ties[doc[head]]) | (start[order] != start[head])
         at = np.concatenate((alone, order[first]))
         if len(at):
-            yield _batch(SEGMENTS, _signed(mini[at]), _signed(seg[at]), ids[doc[at]], ties[doc[at]], start[at], count[at])
+            yield _batch(SEGMENTS, _signed(mini[at]), _signed(seg[at]), ids[doc[at]], ties[doc[at]], _packed(start[at], count[at]))
         later = order[later]
         of, a, b = merged(doc[later], start[later], start[later] + count[later] + length - 1)
         if len(of):
             spread = _signed(mix((of.astype(np.uint64) << np.uint64(32)) + a.astype(np.uint64)))
-            yield _batch(SEGMENTS, spread, spread, ids[of], ties[of], a, a - b)
+            yield _batch(SEGMENTS, spread, spread, ids[of], ties[of], _packed(a, a - b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         rows = docs = 0
-        for part, block in blocks(batches, "text"):
+        for part, block in blocks(batches, "text", HASHED_BYTES):
             mini, seg, text, start, count = segments(block, length)
             held.append((mini, seg, text + docs, start, count, part.column(0).to_numpy(), part.column(1).to_numpy()))
             rows, docs = rows + len(mini), docs + block.n
@@ -147,7 +151,8 @@ def _sorted_places(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # mini, seg, first place of the segment, number of the segment, first place of the minimizer
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(6)]
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            columns[4:] = columns[4] >> 32, columns[4].astype(np.int32)
             ready = columns[5] < 0
             spans = [x[ready] for x in columns]
             mini, seg, *place = (x[~ready] for x in columns)
@@ -454,18 +459,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text")
     )
     found = base.select("id", "tie", "text").mapInArrow(_segmented(length), SEGMENTS).repartition("mini")
-    found = found.sortWithinPartitions("mini", "seg", "id", "tie", "start").mapInArrow(_sorted_places(length), FOUND)
+    found = found.sortWithinPartitions("mini", "seg", "id", "tie", "at").mapInArrow(_sorted_places(length), FOUND)
     with arrow_batches(docs.sparkSession, NARROW):
         found = materialise(found, "segments")
     spans = found.where("mini is null").select("id", "tie", "start", "n")
     several = found.where("mini is not null")
     crowded = several.groupBy("mini").agg(F.max("nth").alias("most")).where(F.col("most") >= MANY)
     parts = F.least(F.lit(length - PIECE + 1), F.ceil((F.col("most") + 1) / MANY)).cast("int")
-    several = several.join(crowded.select("mini", parts.alias("parts")), "mini", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    crowded = F.broadcast(crowded.select("mini", parts.alias("parts")))  # one at most for each MANY segments that are left
+    several = several.join(crowded, "mini", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     listed = several.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "mini", "parts")).alias("wanted"))
-    cut = base.select("id", "tie", "text").join(listed, ["id", "tie"]).select("id", "tie", "text", "wanted").mapInArrow(_cut(length), CUT)
+    cut = base.select("id", "tie", "text").join(listed.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "wanted").mapInArrow(_cut(length), CUT)
     solved = cut.repartition("route").sortWithinPartitions("route", "id", "tie", "start").mapInArrow(_repeats(length), SPANS)
     with arrow_batches(docs.sparkSession, NARROW):
         spans = materialise(spans.unionByName(solved), "repeats")
     by_text = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    return base.join(by_text, ["id", "tie"], "left").select("own", "text", "found").mapInArrow(_kept, OUT.format(id=kind))
+    return base.join(by_text.hint("shuffle_hash"), ["id", "tie"], "left").select("own", "text", "found").mapInArrow(_kept, OUT.format(id=kind))

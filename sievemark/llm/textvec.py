@@ -48,6 +48,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SALTS = mix(np.arange(1, _LANES + 1, dtype=np.uint64))
+_LANE_SALTS = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
 class Block:
@@ -124,11 +125,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     for a in range(0, int(edge[-1]), _SLICE):
         b = min(a + _SLICE, int(edge[-1]))
         i, j = np.searchsorted(edge, [a, b - 1], "right") - [1, 0]
-        number, which = np.arange(a, b), np.repeat(np.arange(i, j), np.diff(np.clip(edge[i : j + 1], a, b)))
-        first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-        lane = number - edge[which] + _LANES
-        value = eights[starts[long[which]] + 8 * lane] & _MASKS[np.minimum(size[long[which]] - 8 * lane, 8)]
-        out[long[which[first]]] += np.add.reduceat(mix(value ^ mix(lane.astype(np.uint64) + np.uint64(1))), first)
+        which, cuts = long[i:j], np.clip(edge[i : j + 1], a, b)
+        lane = np.arange(a, b) - np.repeat(edge[i:j] - _LANES, np.diff(cuts))
+        value = eights[np.repeat(starts[which], np.diff(cuts)) + 8 * lane]
+        ends = np.flatnonzero(edge[i + 1 : j + 1] <= b)  # the last lane of a span can be shorter
+        value[edge[i + 1 : j + 1][ends] - 1 - a] &= _MASKS[size[which[ends]] - 8 * (lanes[which[ends]] - 1)]
+        salts = _LANE_SALTS[lane] if lane.max() < len(_LANE_SALTS) else mix(lane.astype(np.uint64) + np.uint64(1))
+        out[which] += np.add.reduceat(mix(value ^ salts), cuts[:-1] - a)
     return mix(out)
 
 
