@@ -106,6 +106,41 @@ def test_encoding_shrinks_the_posting(spark):
     assert got[4].input_ids is None and got[5].labels is None
 
 
+def test_each_cut_asks_the_template_for_the_whole_alone(spark):
+    """The prompt is asked for once a row, and the cut is the first that fits, also where less text has more ids."""
+
+    def ids(messages, answer):
+        return [x for m in messages for x in (7, *([9] * (60 if len(m["content"]) % 7 == 3 else len(m["content"]))))] + [7] * answer
+
+    def first_fit(messages, completion, most):
+        *before, last = messages
+        kept, answer = last["content"], {"role": "assistant", "content": completion}
+        while True:
+            asked = [*before, {**last, "content": kept}]
+            prompt, whole = ids(asked, True), ids([*asked, answer], False)
+            if len(whole) <= most or not kept:
+                return whole, [-100] * len(prompt) + whole[len(prompt) :], len(last["content"]) - len(kept)
+            kept = kept[: len(kept) - max(1, len(kept) // 10)]
+
+    asked = []
+
+    def template(messages, answer):
+        asked.append(answer)
+        return ids(messages, answer)
+
+    rows = [([{"role": "system", "content": "s"}, {"role": "user", "content": "x" * n}], "c" * c) for n in (0, 1, 10, 31, 200, 999) for c in (0, 2, 90)]
+    for most in (0, 30, 70, 10**6):
+        for messages, completion in rows:
+            asked.clear()
+            assert training.encode_one(messages, completion, template, most) == first_fit(messages, completion, most)
+            assert asked.count(True) == 1
+    frame = [(1, *rows[13]), (1, *rows[13]), (None, *rows[7]), (2, None, "x"), (3, [], "x"), (4, rows[4][0], None)]  # ids come twice, or are null
+    frame = spark.createDataFrame(frame, "offer_id long, prompt_messages array<struct<role:string,content:string>>, completion string")
+    got = [(r.offer_id, r.input_ids, r.labels, r.cut_chars) for r in training.encoded(frame, lambda: ids, 70).collect()]
+    made = [(i, *first_fit(*rows[k], 70)) for i, k in ((1, 13), (1, 13), (None, 7))] + [(i, None, None, None) for i in (2, 3, 4)]
+    assert sorted(got, key=repr) == sorted(made, key=repr)
+
+
 def test_a_template_that_breaks_the_prompt(spark):
     rows = spark.createDataFrame([(1, [("user", "a")], "b")], "offer_id long, prompt_messages array<struct<role:string,content:string>>, completion string")
     with pytest.raises(Exception, match="does not begin the whole with the prompt"):
