@@ -239,8 +239,9 @@ def resume_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split data set, frozen as one version and read back, held against what was committed."""
-    kept = curate.build_dataset(_examples(spark, sf_dir), 400)[0]
-    split = materialise(curate.temporal_split(kept, 0.2), "split")
+    # the records are written before the split, which reads only their dates and ids to find its place
+    kept = materialise(curate.build_dataset(_examples(spark, sf_dir), 400)[0], "kept")
+    split = curate.temporal_split(kept, 0.2)
     root = scratch_folder(spark, "frozen")
     freeze({name: split.where(F.col("split") == name).drop("split") for name in ("train", "test")}, root, {"test_fraction": 0.2})
     parts = [read_frozen(spark, root, name).select("offer_id", F.lit(name).alias("split"), F.md5(F.col("prose").cast("binary")).alias("prose_md5")) for name in ("train", "test")]

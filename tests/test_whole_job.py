@@ -1,9 +1,13 @@
 """Queries of the plans read whole tables and whole texts."""
 
+import datetime
+import hashlib
+
 import numpy as np
 
 import sievemark.plans.queries as plans
-from sievemark.operators import bootstrap, scoring
+import sievemark.plans.reports as reports
+from sievemark.operators import bootstrap, curate, scoring
 
 
 def test_extract_pages_searches_every_page_whole(spark, tmp_path):
@@ -66,3 +70,52 @@ def test_bootstrap_weights_are_draws_with_replacement():
     assert w.shape == (3000, n) and (w.sum(axis=1) == n).all()
     assert abs(w.mean(axis=0) - 1).max() < 0.1 and abs(w.var(axis=0) - (1 - 1 / n)).max() < 0.2
     assert abs(np.corrcoef(w[:, 0], w[:, 240])[0, 1]) < 0.1
+
+
+def _counted(spark, rows):
+    """``rows``, and an accumulator of the rows that were worked out, over all times that they were."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return rows.mapInArrow(run, rows.schema), seen
+
+
+def test_frozen_split_works_its_records_out_once(spark, tmp_path, monkeypatch):
+    """The documents are read for the keys of the deduplication and for the records, and not for the split or its parts."""
+    text = lambda i: None if i % 13 == 0 else "" if i % 17 == 0 else f"words of {i % 40} " * 40
+    rows = [(i, text(i), "en", None if i % 7 == 0 else "s") for i in range(1, 120)] + [(30, text(30), "en", "s"), (32, "other " * 100, "en", "s"), (None, text(3), "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, real = [], reports._examples
+
+    def examples(spark, sf_dir):
+        rows, n = _counted(spark, real(spark, sf_dir))
+        seen.append(n)
+        return rows
+
+    monkeypatch.setattr(reports, "_examples", examples)
+    got = [tuple(r) for r in reports.frozen_split(spark, str(tmp_path)).collect()]
+    assert [n.value for n in seen] == [2 * len(rows)]
+
+    taken, texts = [], {}  # ids that come twice are one place, so that neither row is before the other
+    for i, t, _, source in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        if t and len(t) >= 400 and i % 11 and i % 9 and source is not None and texts.setdefault(t, i) == i:
+            taken.append((i, t))
+    assert len(got) == len(taken) and sorted((i, p) for i, _, p in got) == sorted((i, hashlib.md5(t.encode()).hexdigest()) for i, t in taken)
+    late = sorted(((datetime.date(2024, 1, 1) + datetime.timedelta(i % 365), i) for i, _ in taken), reverse=True)[: round(len(taken) * 0.2)]
+    assert {i for i, s, _ in got if s == "test"} == {i for _, i in late}
+
+
+def test_splits_count_their_rows_while_they_order_them(spark):
+    """Range partitioning reads what it puts in order twice, for its bounds and to deal it; nothing else reads it before the result."""
+    for n, share, want in ((0, 0.5, 0), (1, 0.5, 0), (2, 0.01, 1), (2, 0.99, 1), (10, 0.25, 2), (10, 0.99, 9), (30, 0.1, 3)):
+        for split, late in ((curate.temporal_split, "test"), (curate.dev_split, "dev")):
+            rows = spark.range(n).selectExpr("id AS pos", "id AS offer_id", "IF(id % 5 = 0, NULL, cast(id % 7 AS string)) AS pub_date")
+            rows, seen = _counted(spark, rows.repartition(2))
+            made = split(rows, share)
+            assert seen.value == 2 * n
+            newest = sorted(made.collect(), key=lambda r: (r.pub_date or "", r.pos), reverse=True)
+            assert [r.split for r in newest] == [late] * want + ["train"] * (n - want)
