@@ -90,3 +90,33 @@ def test_terms_of_all_rows_are_not_broadcast(spark, monkeypatch, most):
     assert {(tuple(r.t), r["count"]) for r in made.groupBy("t").count().collect()} == {(("javascript", "typescript", "x"), 20000)}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 - bool(most) and "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == bool(most)
+
+
+def test_terms_are_found_once_and_only_renamed_ones_are_joined(spark, monkeypatch):
+    """The terms are worked out once for the comparison and the result; names that are the term itself are not dealt to rows."""
+    written, real = {}, curate.materialise
+    monkeypatch.setattr(curate, "materialise", lambda df, name: written.setdefault(name, real(df, name)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    names = records.aliases(spark, {"javascript": ["js"], "typescript": None})
+    lists = [None, [], [None], ["", " ", None], ["javascript", "JS", "x"], [" X ", "x", "Typescripts", "typescript"], ["cobol"], ["js"], ["javascrip"] * 2]
+    terms = spark.createDataFrame([(t,) for k in lists for t in k or ()], "term string")
+    got = {r.term: r.canonical for r in curate.normalise_terms(terms.mapInArrow(run, terms.schema), names).collect()}
+    assert seen.value == terms.count()
+    want = {"javascript": "javascript", "JS": "javascript", "js": "javascript", "javascrip": "javascript", "Typescripts": "typescript", "typescript": "typescript", "x": "x", " X ": "x", "cobol": "cobol", "": "", " ": "", None: ""}
+    assert got == want
+
+    rows = [(n % 4 or None, k, lists[-n], n) for n, k in enumerate(lists)]  # ids come twice, or are null
+    rows = spark.createDataFrame(rows, "offer_id long, a array<string>, b array<string>, n int")
+    for distinct in (True, False):
+        written.clear()
+        made = {r.n: (r.offer_id, r.a, r.b) for r in curate.normalise_lists(rows, ("a", "b"), names, distinct=distinct).collect()}
+        for n, k in enumerate(lists):
+            both = [[v for t in x or () if t is not None and (v := want[t])] for x in (k, lists[-n])]
+            assert made[n] == (n % 4 or None, *(list(dict.fromkeys(x)) if distinct else x for x in both))
+        assert {(r.term, r.canonical) for r in written["term-names"].collect()} == {(t, c) for t, c in want.items() if t is not None and t != c}
